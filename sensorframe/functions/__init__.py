@@ -1,9 +1,9 @@
 from sensorframe.functions.scalar import (
-    day_date, day_start, from_epoch_seconds, hour_of, hour_start, humanize_ms,
+    day_date, day_start, floor_to, from_epoch_seconds, hour_of, hour_start, humanize_ms,
     micros_between, midpoint_of, n_rows, rfc3339, shift, spread_of, to_real,
 )
 
 __all__ = [
-    "day_date", "day_start", "from_epoch_seconds", "hour_of", "hour_start", "humanize_ms",
+    "day_date", "day_start", "floor_to", "from_epoch_seconds", "hour_of", "hour_start", "humanize_ms",
     "micros_between", "midpoint_of", "n_rows", "rfc3339", "shift", "spread_of", "to_real",
 ]

@@ -1,4 +1,4 @@
-"""Column helpers. All of them are built-in expressions, so they stay inside generated code."""
+"""Column helpers. All are built-in expressions, so they stay inside generated code; times are UTC."""
 
 from __future__ import annotations
 
@@ -20,12 +20,25 @@ def shift(ts: Column | str, n: int, unit: str = "HOUR") -> Column:
     return F.timestamp_add(unit, F.lit(n), col(ts))
 
 
+# Buckets are cut by arithmetic on the epoch: in UTC that equals date_trunc and hour, which go through
+# the time zone rules for every row and take two to three times as long.
+
+HOUR_US = 3_600_000_000
+DAY_US = 24 * HOUR_US
+
+
+def floor_to(ts: Column | str, width_us: int) -> Column:
+    """Start of the bucket of ``width_us`` microseconds, counted from the epoch, that ``ts`` falls in."""
+    us = F.unix_micros(col(ts))
+    return F.timestamp_micros(us - F.pmod(us, F.lit(width_us)))
+
+
 def hour_start(ts: Column | str) -> Column:
-    return F.date_trunc("hour", col(ts))
+    return floor_to(ts, HOUR_US)
 
 
 def day_start(ts: Column | str) -> Column:
-    return F.date_trunc("day", col(ts))
+    return floor_to(ts, DAY_US)
 
 
 def day_date(ts: Column | str) -> Column:
@@ -34,7 +47,8 @@ def day_date(ts: Column | str) -> Column:
 
 def hour_of(ts: Column | str) -> Column:
     """Hour of the day, 0-23."""
-    return F.hour(col(ts)).cast("bigint")
+    us = F.unix_micros(col(ts))
+    return F.floor(F.pmod(us, F.lit(DAY_US)) / HOUR_US)
 
 
 def micros_between(lo: Column | str, hi: Column | str) -> Column:

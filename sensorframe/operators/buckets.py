@@ -7,30 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.functions import hour_of
+from sensorframe.functions import floor_to, hour_of
 
-CALENDAR_UNITS = {"1 hour": "hour", "1 day": "day"}
+_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
 
 
 def bucket_of(every: str, ts: Column | str = "ts") -> Column:
-    """Start of the calendar-aligned bucket of width ``every`` a timestamp falls in."""
-    t = F.col(ts) if isinstance(ts, str) else ts
-    if every in CALENDAR_UNITS:
-        return F.date_trunc(CALENDAR_UNITS[every], t)
-    return F.window(t, every)["start"]
+    """Start of the bucket of width ``every``, e.g. ``15 minutes``, that a timestamp falls in.
+
+    Buckets are aligned to the calendar: one hour starts on the hour, one day at midnight UTC.
+    """
+    n, unit = every.split()
+    return floor_to(ts, int(n) * _UNIT_US[unit.rstrip("s")])
 
 
 def bucket_agg(df: DataFrame, every: str, aggs: Sequence[Column], keys: Sequence[str] = (),
                name: str = "bucket", as_date: bool = False, ts: str = "ts") -> DataFrame:
     """Aggregate per bucket, and per ``keys`` if given; buckets without rows do not appear.
 
-    ``every`` is an interval such as ``1 hour``, or ``inf`` for one bucket over everything.
+    ``every`` is an interval such as ``1 hour``, or ``inf`` for one bucket over everything. ``as_date``
+    labels daily buckets with dates.
     """
     if every == "inf":
         return df.groupBy(*keys).agg(*aggs)
-    bucket = bucket_of(every, ts)
-    if as_date:
-        bucket = bucket.cast("date")
+    bucket = F.to_date(ts) if as_date else bucket_of(every, ts)
     return df.groupBy(*keys, bucket.alias(name)).agg(*aggs)
 
 

@@ -1,7 +1,9 @@
 """Analysis of run logs: load rates, query times, the baseline engine and speedups over it.
 
 ``log`` has one row per loaded chunk (``engine, run, chunk, duration_ms, n_records``), ``qlog`` one
-row per query execution (``engine, run, query_id, duration_ms``), where -1 stands for failed.
+row per query execution (``engine, run, query_id, duration_ms``), where -1 stands for failed. ``base`` is the
+baseline's name, as a literal or ``baseline(..).scalar()``. ``query_means`` and ``ingest_stats`` are
+used several times by the steps after them; on large logs write them once (``session.materialize``).
 """
 
 from __future__ import annotations
@@ -79,22 +81,23 @@ def _ratio(base: Column, value: Column) -> Column:
     return F.when(base > 0, F.when(value > 0, base / value).when(value == 0, base / FASTEST_MS))
 
 
-def speedups(means: DataFrame, base: DataFrame) -> DataFrame:
+def _all_ratios(means: DataFrame, base: Column) -> DataFrame:
+    """``engine, query_id, speedup`` for every mean: 1 for the baseline, null where there is no speedup."""
+    ref = means.filter(F.col("engine") == base).select("query_id", F.col("avg_ms").alias("base_ms"))
+    ratio = F.when(F.col("engine") == base, 1.0).otherwise(_ratio(F.col("base_ms"), F.col("avg_ms")))
+    return means.join(ref, "query_id", "left").select("engine", "query_id", ratio.alias("speedup"))
+
+
+def speedups(means: DataFrame, base: Column) -> DataFrame:
     """``engine, query_id, speedup`` over the baseline, for every other engine and query that has one."""
-    base_engine = base.select("engine").scalar()
-    ref = means.filter(F.col("engine") == base_engine).select("query_id", F.col("avg_ms").alias("base_ms"))
-    others = means.filter(F.col("engine") != base_engine)
-    return others.join(ref, "query_id").select(
-        "engine", "query_id", _ratio(F.col("base_ms"), F.col("avg_ms")).alias("speedup")).filter("speedup IS NOT NULL")
+    return _all_ratios(means, base).filter((F.col("engine") != base) & F.col("speedup").isNotNull())
 
 
-def ingest_speedups(stats: DataFrame, base: DataFrame) -> DataFrame:
+def ingest_speedups(stats: DataFrame, base: Column) -> DataFrame:
     """``engine, duration_speedup, rate_improvement``; the baseline itself is 1."""
-    base_engine = base.select("engine").scalar()
-    ref = stats.filter(F.col("engine") == base_engine)
-    base_duration = ref.select("med_duration").scalar()
-    base_rate = ref.select("med_rate").scalar()
-    is_base = F.col("engine") == base_engine
+    own = stats.filter(F.col("engine") == base)
+    base_duration, base_rate = own.select("med_duration").scalar(), own.select("med_rate").scalar()
+    is_base = F.col("engine") == base
     rate = F.when(base_rate > 0, F.col("med_rate") / base_rate).otherwise(0.0)
     return stats.select(
         "engine",
@@ -103,27 +106,24 @@ def ingest_speedups(stats: DataFrame, base: DataFrame) -> DataFrame:
     ).filter("duration_speedup IS NOT NULL")
 
 
-def speedup_summary(means: DataFrame, stats: DataFrame, base: DataFrame) -> DataFrame:
+def speedup_summary(means: DataFrame, stats: DataFrame, base: Column) -> DataFrame:
     """``engine, median, min, max, n``: speedups of each engine over all queries of the suite.
 
     A query an engine failed or never ran counts as 0 in the median, and not in the other columns.
     The baseline is 1, with the number of queries it completed.
     """
-    base_engine = base.select("engine").scalar()
     suite = means.agg(F.array_sort(F.collect_set("query_id"))).scalar()  # the ids of the suite's queries
-    grid = stats.select("engine").filter(F.col("engine") != base_engine).select(
-        "engine", F.explode(suite).alias("query_id"))
-    scored = grid.join(speedups(means, base), ["engine", "query_id"], "left")
+    grid = stats.select("engine", F.explode(suite).alias("query_id"))
+    scored = grid.join(_all_ratios(means, base), ["engine", "query_id"], "left").join(
+        means.select("engine", "query_id", (F.col("avg_ms") >= 0).alias("done")), ["engine", "query_id"], "left")
+    is_base = F.col("engine") == base
     positive = F.when(F.col("speedup") > 0, F.col("speedup"))
-    others = scored.groupBy("engine").agg(
-        F.median(F.coalesce("speedup", F.lit(0.0))).alias("median"),
-        F.coalesce(F.min(positive), F.lit(0.0)).alias("min"),
-        F.coalesce(F.max(positive), F.lit(0.0)).alias("max"),
-        F.count(positive).alias("n"),
+    return scored.groupBy("engine").agg(
+        F.when(is_base, 1.0).otherwise(F.median(F.coalesce("speedup", F.lit(0.0)))).alias("median"),
+        F.when(is_base, 1.0).otherwise(F.coalesce(F.min(positive), F.lit(0.0))).alias("min"),
+        F.when(is_base, 1.0).otherwise(F.coalesce(F.max(positive), F.lit(0.0))).alias("max"),
+        F.when(is_base, F.count_if("done")).otherwise(F.count(positive)).alias("n"),
     )
-    own = means.filter((F.col("engine") == base_engine) & (F.col("avg_ms") >= 0)).agg(F.count("*").alias("n"))
-    return others.unionByName(base.select(
-        "engine", F.lit(1.0).alias("median"), F.lit(1.0).alias("min"), F.lit(1.0).alias("max"), own.scalar().alias("n")))
 
 
 def pivot_times(means: DataFrame, engines: Sequence[str]) -> DataFrame:
@@ -132,23 +132,15 @@ def pivot_times(means: DataFrame, engines: Sequence[str]) -> DataFrame:
     return wide.fillna(-1.0, list(engines))
 
 
-def pivot_speedups(means: DataFrame, base: DataFrame, engines: Sequence[str]) -> DataFrame:
+def pivot_speedups(means: DataFrame, base: Column, engines: Sequence[str]) -> DataFrame:
     """``query_id`` and one column of speedups per engine; 1 for the baseline, null where there is none."""
-    own = means.filter(F.col("engine") == base.select("engine").scalar()).select(
-        "engine", "query_id", F.lit(1.0).alias("speedup"))
-    rows = speedups(means, base).unionByName(own)
-    # queries nobody could be compared on still get their row
-    every = means.select("query_id").distinct().select(
-        F.lit(None).cast("string").alias("engine"), "query_id", F.lit(None).cast("double").alias("speedup"))
-    return rows.unionByName(every).groupBy("query_id").pivot("engine", list(engines)).agg(F.first("speedup"))
+    return _all_ratios(means, base).groupBy("query_id").pivot("engine", list(engines)).agg(F.first("speedup"))
 
 
-def best(stats: DataFrame, means: DataFrame, base: DataFrame) -> DataFrame:
+def best(stats: DataFrame, means: DataFrame, base: Column) -> DataFrame:
     """``metric, engine, speedup``: the fastest engine at loading, and by median query speedup."""
-    base_engine = base.select("engine").scalar()
-
     def winner(rows: DataFrame, metric: str, value: str) -> DataFrame:
-        return rows.filter(F.col("engine") != base_engine).orderBy(F.desc(value), "engine").limit(1).select(
+        return rows.filter(F.col("engine") != base).orderBy(F.desc(value), "engine").limit(1).select(
             F.lit(metric).alias("metric"), "engine", F.col(value).alias("speedup"))
 
     return winner(ingest_speedups(stats, base), "ingest", "duration_speedup").unionByName(

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.functions import micros_between, spread_of
+from sensorframe.functions import micros_between, n_rows, spread_of
 
 
 def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("n"))
+    return df.agg(n_rows())
 
 
 def distinct_count(df: DataFrame, column: str) -> DataFrame:
@@ -47,28 +47,32 @@ def implicit_group(df: DataFrame, *items: str) -> DataFrame:
     return df.sparkSession.sql(f"SELECT {', '.join(items)} FROM {{df}} GROUP BY ALL", df=df)
 
 
-# Percentiles. Everything starts from the histogram value -> count, which Spark builds with map-side
-# partial aggregation, so a value held by a third of all rows costs one counter per task. Ranks are
-# then located in two steps, through coarse bins and through the values of the few bins hit.
+# Percentiles. A histogram of coarse bins, whose number is bounded, tells which few bins hold the wanted
+# ranks; only the values of those bins are then counted and ordered. No task ever sees all values, and
+# a value held by a third of all rows is one counter per task.
 
-BINS_PER_OCTAVE = 256
-_OCTAVE_SHIFT = 1100  # above the largest binary exponent of a double, keeps bin numbers positive
+ROOTS = 6
+BIN_SCALE = 40_000
 
 
-def _log_bin(v: Column) -> Column:
-    """Bin number that never decreases with ``v``: 256 bins per power of two, on both sides of zero.
+def _bin(v: Column) -> Column:
+    """Bin number that never decreases with ``v``: the 64th root, scaled and cut to an integer.
 
-    A REAL column has at most 2 * 277 * 256 bins with less than 50,000 distinct values each.
+    Like a logarithm it gives bins of similar relative width over the whole range, but works for
+    both signs and zero, and square roots are much cheaper. A REAL column has at most 320,000 bins
+    of at most 100,000 distinct values each. NaN shares the last bin with infinity.
     """
-    size = F.floor((F.log2(F.abs(v)) + _OCTAVE_SHIFT) * BINS_PER_OCTAVE)
-    signed = F.when(F.isnan(v), F.lit(2**40)).when(v > 0, size).when(v < 0, -size)
-    return F.coalesce(signed, F.lit(0).cast("bigint"))  # zero; also tells the optimizer it is never null
+    root = F.abs(v)
+    for _ in range(ROOTS):
+        root = F.sqrt(root)
+    scaled = F.floor(F.nanvl(F.signum(v) * root, F.lit(float("inf"))) * BIN_SCALE)
+    return F.coalesce(scaled, F.lit(0).cast("bigint"))  # tells the optimizer it is never null
 
 
 def _bin_middle(bin_: Column) -> Column:
-    """A representative value of a bin, at most 0.14 % away from every value in it."""
-    size = F.pow(F.lit(2.0), (F.abs(bin_) + 0.5) / BINS_PER_OCTAVE - _OCTAVE_SHIFT)
-    return F.when(bin_ == 0, F.lit(0.0)).when(bin_ == 2**40, F.lit(float("nan"))).otherwise(F.signum(bin_) * size)
+    """A representative value of a bin, for magnitudes above 1 at most 0.08 % away from its values."""
+    root = (bin_ + 0.5) / BIN_SCALE
+    return F.signum(root) * F.pow(F.abs(root), F.lit(2.0**ROOTS))
 
 
 def _running(bins: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame:
@@ -78,63 +82,70 @@ def _running(bins: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFr
         "_total", F.sum(n).over(Window.partitionBy(*keys)))
 
 
-def _holds(rank: Column, before: str, n: str) -> Column:
-    """Does the 0-based rank fall on one of the ``n`` rows that follow the first ``before`` rows?"""
-    return (rank >= F.col(before)) & (rank < F.col(before) + F.col(n))
+def _inside(ranks: Column, before: str, n: str) -> Column:
+    """Those of the 0-based ranks that fall on the ``n`` rows after the first ``before`` rows."""
+    return F.filter(ranks, lambda r: (r >= F.col(before)) & (r < F.col(before) + F.col(n)))
+
+
+def _value_counts(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.sum("_n").alias("_n"))
 
 
 def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
     """Exact, linearly interpolated percentiles: one column per entry of ``probs``, one row per key.
 
-    Equal to ``percentile_cont``, without its map of all distinct values in a single task.
+    Equal to ``percentile_cont``, without its map of all distinct values in a single task. Over a
+    whole table the column is scanned twice, and only bin counts and the values of the bins hit are
+    shuffled. With ``keys`` the values are counted first, as the bins hit may be too many to broadcast.
     """
     value = F.col(column).cast("double")
-    hist = df.select(*keys, value.alias("_v")).filter("_v IS NOT NULL").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
-    hist = hist.withColumn("_bin", _log_bin(F.col("_v")))
-    bins = _running(hist.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows")), keys, "_bin", "_rows")
-
-    # the exact rank lies between two neighbouring rows, `below` and `above`, `part` of the way
-    rank = {name: p * (F.col("_total") - 1) for name, p in probs.items()}
-    below = {name: F.floor(r) for name, r in rank.items()}
-    above = {name: F.ceil(r) for name, r in rank.items()}
-    wanted = F.lit(False)
-    for name in probs:
-        wanted = wanted | _holds(below[name], "_before", "_rows") | _holds(above[name], "_before", "_rows")
-    hit = bins.filter(wanted).drop("_rows")
-    if not keys:
-        hit = F.broadcast(hit)  # at most two bins per percentile
-
-    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = hist.join(hit, [*keys, "_bin"]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-    picks = []
-    for name in probs:
-        picks += [
-            F.max(F.when(_holds(below[name], "_first", "_n"), F.col("_v"))).alias(f"_lo_{name}"),
-            F.max(F.when(_holds(above[name], "_first", "_n"), F.col("_v"))).alias(f"_hi_{name}"),
-        ]
-    found = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    rows = df.select(*keys, value.alias("_v"), F.lit(1).cast("bigint").alias("_n")).filter("_v IS NOT NULL")
+    if keys:
+        rows = _value_counts(rows, *keys, "_v")
+    rows = rows.withColumn("_bin", _bin(F.col("_v")))
+    bins = _running(rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows")), keys, "_bin", "_rows")
+
+    # an exact rank lies on one row or between two neighbouring ones
+    rank = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
+    wanted = F.array_distinct(F.array(*[edge for r in rank.values() for edge in (F.floor(r), F.ceil(r))]))
+    hit = bins.filter(F.size(_inside(wanted, "_before", "_rows")) > 0).drop("_rows")
+    if keys:
+        values = rows.join(hit, [*keys, "_bin"])
+    else:
+        # at most two bins per percentile
+        values = _value_counts(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
+
+    upto = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    found = ranked.select(*keys, "_total", "_v", F.explode(_inside(wanted, "_first", "_n")).alias("_rank"))
+    # one entry per wanted rank
+    at = found.groupBy(*keys).agg(
+        F.first("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
     out = []
-    for name in probs:
-        lo, hi, part = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), rank[name] - below[name]
+    for name, r in rank.items():
+        lo, hi, part = F.col("_at")[F.floor(r)], F.col("_at")[F.ceil(r)], r - F.floor(r)
         out.append(F.when(part == 0, lo).otherwise(lo * (1 - part) + hi * part).alias(name))
-    return found.select(*keys, *out)
+    return at.select(*keys, *out)
 
 
 def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Percentiles with a fixed relative error (0.14 %) from a histogram of logarithmic bins.
+    """Percentiles within 0.08 % of a value at the wanted rank, from a histogram of coarse bins.
 
     Needs one aggregation into a bounded number of bins, is mergeable and repeatable, and takes
     negative values as they are. The value at rank ``floor(p * (n - 1))`` is reported.
     """
     value = F.col(column).cast("double")
     rows = df.select(*keys, value.alias("_v")).filter("_v IS NOT NULL")
-    bins = rows.groupBy(*keys, _log_bin(F.col("_v")).alias("_bin")).agg(F.count("*").alias("_rows"))
+    bins = rows.groupBy(*keys, _bin(F.col("_v")).alias("_bin")).agg(n_rows("_rows"))
     bins = _running(bins, keys, "_bin", "_rows")
-    return bins.groupBy(*keys).agg(*[
-        F.max(F.when(_holds(F.floor(p * (F.col("_total") - 1)), "_before", "_rows"), _bin_middle(F.col("_bin")))).alias(name)
-        for name, p in probs.items()
-    ])
+    first = F.col("_before")
+
+    def at(p: float) -> Column:
+        rank = F.floor(F.lit(p) * (F.col("_total") - 1))
+        here = (rank >= first) & (rank < first + F.col("_rows"))
+        return F.max(F.when(here, _bin_middle(F.col("_bin"))))
+
+    return bins.groupBy(*keys).agg(*[at(p).alias(name) for name, p in probs.items()])
 
 
 def sketch_percentiles(df: DataFrame, column: str, probs: dict[str, float], k: int = 2000, fan_in: int = 256) -> DataFrame:
@@ -152,7 +163,7 @@ def sketch_percentiles(df: DataFrame, column: str, probs: dict[str, float], k: i
 
 def percentiles(df: DataFrame, column: str, probs: dict[str, float], method: str = "exact",
                 keys: Sequence[str] = ()) -> DataFrame:
-    """``exact`` (interpolated), ``binned`` (bounded value error) or ``sketch`` (bounded rank error, no keys)."""
+    """``exact`` (interpolated), ``binned`` (bounded relative error) or ``sketch`` (bounded rank error, no keys)."""
     if method == "exact":
         return exact_percentiles(df, column, probs, keys)
     if method == "binned":

@@ -5,14 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions import midpoint_of
+from sensorframe.functions import midpoint_of, shift
 
 #: Width of one time partition of the ``time`` table layout, in hours.
 PART_HOURS = 4
 
 
+def _has_time_layout(df: DataFrame) -> bool:
+    return {"event_date", "part_hour"} <= set(df.columns)
+
+
+def _part_number() -> Column:
+    """The partition of a row of the time layout as hours since the epoch."""
+    return F.unix_date("event_date") * 24 + F.col("part_hour")
+
+
 def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """One row ``(min_ts, max_ts)``; both null for an empty table."""
+    """One row ``(min_ts, max_ts)``; both null for an empty table.
+
+    On a table in the ``time`` layout only the first and the last partition are read: which ones
+    these are follows from partition values and file footers.
+    """
+    if _has_time_layout(df):
+        edges = df.agg(F.min(_part_number()).alias("first"), F.max(_part_number()).alias("last"))
+        first, last = edges.select("first").scalar(), edges.select("last").scalar()
+        df = df.filter((_part_number() == first) | (_part_number() == last))
     return df.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
 
 
@@ -24,13 +41,17 @@ def latest(df: DataFrame, ts: str = "ts") -> Column:
     return time_bounds(df, ts).select("max_ts").scalar()
 
 
-def midpoint(df: DataFrame, ts: str = "ts") -> Column:
-    """Middle of the table's time range, as a scalar subquery.
+def midpoint(df: DataFrame, ts: str = "ts", plus_hours: int = 0) -> Column:
+    """Middle of the table's time range, moved by ``plus_hours``, as a scalar subquery.
 
-    A subquery, unlike a join with a one-row table, is evaluated first and pushed into the scan
-    as a plain bound. Repeated uses in one query are computed once.
+    A subquery, unlike a join with a one-row table, is evaluated first and then a plain bound of the
+    scan. The shift is part of it, so it is not repeated for every row. Subqueries over the same
+    table are computed once per query.
     """
-    return time_bounds(df, ts).select(midpoint_of("min_ts", "max_ts").alias("mid_ts")).scalar()
+    mid = midpoint_of("min_ts", "max_ts")
+    if plus_hours:
+        mid = shift(mid, plus_hours)
+    return time_bounds(df, ts).select(mid.alias("mid_ts")).scalar()
 
 
 def part_hour(ts: Column) -> Column:
@@ -53,15 +74,18 @@ def time_slice(df: DataFrame, lo: Column | None = None, hi: Column | None = None
         df = df.filter(t > lo if closed == "none" else t >= lo)
     if hi is not None:
         df = df.filter(t <= hi if closed == "both" else t < hi)
-    if {"event_date", "part_hour"} <= set(df.columns):
-        day, part = F.col("event_date"), F.unix_date("event_date") * 24 + F.col("part_hour")
+    if _has_time_layout(df):
+        day = F.col("event_date")
         if lo is not None:
-            df = df.filter((day >= F.to_date(lo)) & (part >= F.unix_date(F.to_date(lo)) * 24 + part_hour(lo)))
+            df = df.filter((day >= F.to_date(lo)) & (_part_number() >= F.unix_date(F.to_date(lo)) * 24 + part_hour(lo)))
         if hi is not None:
-            df = df.filter((day <= F.to_date(hi)) & (part <= F.unix_date(F.to_date(hi)) * 24 + part_hour(hi)))
+            df = df.filter((day <= F.to_date(hi)) & (_part_number() <= F.unix_date(F.to_date(hi)) * 24 + part_hour(hi)))
     return df
 
 
-def relative_slice(df: DataFrame, back: str, as_of: Column, ts: str = "ts") -> DataFrame:
-    """Rows of the last ``back`` (e.g. ``30 years``) before ``as_of``, which itself is excluded."""
-    return time_slice(df, as_of - F.expr(f"INTERVAL {back}"), as_of, "left", ts)
+def relative_slice(df: DataFrame, days: int, as_of: Column, ts: str = "ts") -> DataFrame:
+    """Rows of the ``days`` days before ``as_of``, which itself is excluded.
+
+    The end is an argument and not the clock, so a query gives the same result tomorrow.
+    """
+    return time_slice(df, as_of - F.make_dt_interval(F.lit(days)), as_of, "left", ts)

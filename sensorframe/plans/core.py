@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions import n_rows, shift
+from sensorframe.functions import n_rows
 from sensorframe.operators import (
     activity_span, bucket_agg, distinct_count, earliest, hour_of_day, latest, mean, midpoint,
     percentiles, row_count, time_bounds, time_slice, top_k, top_rows,
@@ -40,13 +40,12 @@ def q06_after_mid(ue: DataFrame) -> DataFrame:
 
 
 def q07_around_mid(ue: DataFrame) -> DataFrame:
-    mid = midpoint(ue)
-    return row_count(time_slice(ue, shift(mid, -1), shift(mid, 1)))
+    return row_count(time_slice(ue, midpoint(ue, plus_hours=-1), midpoint(ue, plus_hours=1)))
 
 
 def q08_hourly_24h(ue: DataFrame) -> DataFrame:
-    mid = midpoint(ue)
-    return bucket_agg(time_slice(ue, mid, shift(mid, 24)), "1 hour", [n_rows()], name="hour").orderBy("hour")
+    day = time_slice(ue, midpoint(ue), midpoint(ue, plus_hours=24))
+    return bucket_agg(day, "1 hour", [n_rows()], name="hour").orderBy("hour")
 
 
 def q09_top_users(ue: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions import n_rows, shift
+from sensorframe.functions import n_rows
 from sensorframe.operators import bucket_agg, midpoint, time_slice, with_dense_id
 from sensorframe.plans.tables import EVENTS, chunked_events, staged_readings, user_events
 from sensorframe.session import ensure_utc, scratch_dir
@@ -64,8 +64,8 @@ def layout_pruned_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_dir(spark, "by-time")
     write_events(user_events(spark, sf_dir), table, "time")
     stored = read_events(spark, table, "time")
-    mid = midpoint(stored)
-    return bucket_agg(time_slice(stored, mid, shift(mid, 24)), "1 hour", [n_rows()], name="hour").orderBy("hour")
+    day = time_slice(stored, midpoint(stored), midpoint(stored, plus_hours=24))
+    return bucket_agg(day, "1 hour", [n_rows()], name="hour").orderBy("hour")
 
 
 def layout_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

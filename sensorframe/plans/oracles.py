@@ -103,11 +103,12 @@ _HOURLY_24H = "FROM user_events, b WHERE ts BETWEEN mid AND mid + INTERVAL 24 HO
 _ENGINES = ("click", "error", "purchase", "signup", "view")
 _TIMES = ", ".join(f"round(coalesce(max(CASE WHEN engine = '{e}' THEN avg_ms END), -1), 6) AS \"{e}\"" for e in _ENGINES)
 _RATIOS = ", ".join(f"round(max(CASE WHEN engine = '{e}' THEN speedup END), 6) AS \"{e}\"" for e in _ENGINES)
-# bins of 1/256 octave on a logarithmic scale; all signal values are negative
-_BINNED = """, v AS (SELECT CAST(floor((ln(-CAST(rssi AS DOUBLE)) / ln(2) + 1100) * 256) AS BIGINT) AS bin,
-         row_number() OVER (ORDER BY rssi) - 1 AS r, count(*) OVER () AS n FROM user_events WHERE rssi < 0)
+# bins of 1/40000 of the 64th root; all signal values are negative
+_ROOT = "sqrt(sqrt(sqrt(sqrt(sqrt(sqrt(-CAST(rssi AS DOUBLE)))))))"
+_BINNED = f""", v AS (SELECT CAST(floor(-{_ROOT} * 40000) AS BIGINT) AS bin, row_number() OVER (ORDER BY rssi) - 1 AS r,
+         count(*) OVER () AS n FROM user_events)
   SELECT """ + ", ".join(
-    f"round(max(CASE WHEN r = CAST(floor({p}::DOUBLE * (n - 1)) AS BIGINT) THEN -pow(2, (bin + 0.5::DOUBLE) / 256 - 1100) END), 6) AS {c}"
+    f"round(max(CASE WHEN r = CAST(floor({p}::DOUBLE * (n - 1)) AS BIGINT) THEN -pow(-(bin + 0.5::DOUBLE) / 40000, 64) END), 6) AS {c}"
     for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))) + " FROM v"
 
 ORACLES = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.operators import runlog as r
@@ -11,21 +11,10 @@ from sensorframe.session import materialize, scratch_dir
 from sensorframe.sources import build_runlogs, ingest_facts, query_facts, read_runlogs, write_runlogs
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(ingest_log(spark, sf_dir), "ingest-log")
-
-
-def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(r.ingest_stats(_log(spark, sf_dir)), "ingest-stats")
-
-
-def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(r.query_means(run_log(spark, sf_dir)), "query-means")
-
-
-def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    means, stats = _means(spark, sf_dir), _stats(spark, sf_dir)
-    return means, stats, r.baseline(means, stats)
+def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    means = materialize(r.query_means(run_log(spark, sf_dir)), "query-means")
+    stats = materialize(r.ingest_stats(ingest_log(spark, sf_dir)), "ingest-stats")
+    return means, stats, r.baseline(means, stats).scalar()
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -65,7 +54,7 @@ def r_ingest_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(r.ingest_stats(_log(spark, sf_dir)), "med_rate", "total_records", "total_duration")
+    return _rounded(r.ingest_stats(ingest_log(spark, sf_dir)), "med_rate", "total_records", "total_duration")
 
 
 def r_query_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +62,7 @@ def r_query_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def r_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r.baseline(r.query_means(run_log(spark, sf_dir)), _stats(spark, sf_dir))
+    return r.baseline(r.query_means(run_log(spark, sf_dir)), r.ingest_stats(ingest_log(spark, sf_dir)))
 
 
 def r_speedups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ SERIES = ["user_id", "ssid"]
 def v_sample_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly samples after the midpoint, cut off after 24 of them."""
     ue = user_events(spark, sf_dir)
-    mid = midpoint(ue)
-    return bucket_agg(time_slice(ue, mid, shift(mid, 24)), "1 hour", [n_rows()], name="ts").orderBy("ts").limit(24)
+    day = time_slice(ue, midpoint(ue), midpoint(ue, plus_hours=24))
+    return bucket_agg(day, "1 hour", [n_rows()], name="ts").orderBy("ts").limit(24)
 
 
 def v_implicit_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def v_range_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_range_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 10 days of the table; "now" is its latest instant."""
     ue = user_events(spark, sf_dir)
-    return row_count(relative_slice(ue, "10 days", latest(ue)))
+    return row_count(relative_slice(ue, 10, latest(ue)))
 
 
 def v_series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ def v_series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_window_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts per series for 24 hours from the midpoint, hours without rows included."""
     ue = user_events(spark, sf_dir)
-    lo = midpoint(ue)
-    hi = shift(lo, 24)
+    lo, hi = midpoint(ue), midpoint(ue, plus_hours=24)
     hourly = bucket_agg(time_slice(ue, lo, hi, "left"), "1 hour", [n_rows()], SERIES, name="hour")
     return gap_fill(hourly, "1 hour", lo, hi, {"n": 0}, SERIES, name="hour")
 
