@@ -23,7 +23,8 @@ def shift(ts: Column | str, n: int, unit: str = "HOUR") -> Column:
 # Buckets are cut by arithmetic on the epoch: in UTC that equals date_trunc and hour, which go through
 # the time zone rules for every row and take two to three times as long.
 
-HOUR_US = 3_600_000_000
+SECOND_US = 1_000_000
+HOUR_US = 3600 * SECOND_US
 DAY_US = 24 * HOUR_US
 
 

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.functions import floor_to, hour_of
+from sensorframe.functions import DAY_US, HOUR_US, SECOND_US, floor_to, hour_of
 
-_UNIT_US = {"second": 1_000_000, "minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+_UNIT_US = {"second": SECOND_US, "minute": 60 * SECOND_US, "hour": HOUR_US, "day": DAY_US}
 
 
 def bucket_of(every: str, ts: Column | str = "ts") -> Column:

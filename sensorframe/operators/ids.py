@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sensorframe.functions import n_rows
+
 
 def with_dense_id(df: DataFrame, chunk: str = "chunk", pos: str = "pos", name: str = "id",
                   block_rows: int = 1 << 16) -> DataFrame:
@@ -14,19 +16,23 @@ def with_dense_id(df: DataFrame, chunk: str = "chunk", pos: str = "pos", name: s
     ``block_rows`` positions instead, and shifted by the number of rows in earlier blocks, which
     comes from a small table of block sizes. A chunk holding most of the rows is many blocks.
     """
-    block = F.floor(F.col(pos) / block_rows)
-    rows = df.withColumn("_block", block)
-    sizes = rows.groupBy(chunk, "_block").agg(F.count("*").alias("_rows"))
-    earlier_chunks = Window.orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    earlier_blocks = Window.partitionBy(chunk).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    chunk_start = sizes.groupBy(chunk).agg(F.sum("_rows").alias("_rows")).select(
-        chunk, F.coalesce(F.sum("_rows").over(earlier_chunks), F.lit(0)).alias("_chunk_start"))
-    block_start = sizes.join(chunk_start, chunk).select(
-        chunk, "_block",
+    # keys that are never null: rows without a chunk come first, and the joins need no null filters,
+    # which would make the branches differ and the table be scanned once more
+    rows = df.withColumns({
+        "_chunk": F.coalesce(F.col(chunk), F.lit(-1)),
+        "_block": F.coalesce(F.floor(F.col(pos) / block_rows), F.lit(-1).cast("bigint")),
+    })
+    sizes = rows.groupBy("_chunk", "_block").agg(n_rows("_rows"))
+    earlier_chunks = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    earlier_blocks = Window.partitionBy("_chunk").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    chunk_start = sizes.groupBy("_chunk").agg(F.sum("_rows").alias("_rows")).select(
+        "_chunk", F.coalesce(F.sum("_rows").over(earlier_chunks), F.lit(0)).alias("_chunk_start"))
+    block_start = sizes.join(chunk_start, "_chunk").select(
+        "_chunk", "_block",
         (F.col("_chunk_start") + F.coalesce(F.sum("_rows").over(earlier_blocks), F.lit(0))).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy(chunk, "_block").orderBy(pos))
+    inside = F.row_number().over(Window.partitionBy("_chunk", "_block").orderBy(pos))
     return (
-        rows.withColumn("_n", inside).join(block_start, [chunk, "_block"])
+        rows.withColumn("_n", inside).join(block_start, ["_chunk", "_block"])
         .withColumn(name, F.col("_start") + F.col("_n"))
-        .drop("_block", "_n", "_start")
+        .drop("_chunk", "_block", "_n", "_start")
     )

@@ -33,25 +33,28 @@ def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.agg(F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"))
 
 
+def bound(df: DataFrame, expr: Column, ts: str = "ts") -> Column:
+    """A value computed from ``min_ts`` and ``max_ts`` of the table, as a scalar subquery.
+
+    A subquery, unlike a join with a one-row table, is evaluated first and then a plain bound of the
+    scan. Arithmetic belongs into ``expr``, where it is done once and not for every row. Several
+    bounds of one table are computed together.
+    """
+    return time_bounds(df, ts).select(expr.alias("bound")).scalar()
+
+
 def earliest(df: DataFrame, ts: str = "ts") -> Column:
-    return time_bounds(df, ts).select("min_ts").scalar()
+    return bound(df, F.col("min_ts"), ts)
 
 
 def latest(df: DataFrame, ts: str = "ts") -> Column:
-    return time_bounds(df, ts).select("max_ts").scalar()
+    return bound(df, F.col("max_ts"), ts)
 
 
 def midpoint(df: DataFrame, ts: str = "ts", plus_hours: int = 0) -> Column:
-    """Middle of the table's time range, moved by ``plus_hours``, as a scalar subquery.
-
-    A subquery, unlike a join with a one-row table, is evaluated first and then a plain bound of the
-    scan. The shift is part of it, so it is not repeated for every row. Subqueries over the same
-    table are computed once per query.
-    """
+    """Middle of the table's time range, moved by ``plus_hours``."""
     mid = midpoint_of("min_ts", "max_ts")
-    if plus_hours:
-        mid = shift(mid, plus_hours)
-    return time_bounds(df, ts).select(mid.alias("mid_ts")).scalar()
+    return bound(df, shift(mid, plus_hours) if plus_hours else mid, ts)
 
 
 def part_hour(ts: Column) -> Column:
@@ -83,9 +86,13 @@ def time_slice(df: DataFrame, lo: Column | None = None, hi: Column | None = None
     return df
 
 
-def relative_slice(df: DataFrame, days: int, as_of: Column, ts: str = "ts") -> DataFrame:
-    """Rows of the ``days`` days before ``as_of``, which itself is excluded.
+def relative_slice(df: DataFrame, back: str, as_of: Column | None = None, ts: str = "ts") -> DataFrame:
+    """Rows of the time ``back`` (e.g. ``30 years``) before ``as_of``, which itself is excluded.
 
-    The end is an argument and not the clock, so a query gives the same result tomorrow.
+    ``as_of`` is given, or the table's latest instant, but never the clock: a query gives the same
+    result tomorrow.
     """
-    return time_slice(df, as_of - F.make_dt_interval(F.lit(days)), as_of, "left", ts)
+    span = F.expr(f"INTERVAL {back}")
+    if as_of is None:
+        return time_slice(df, bound(df, F.col("max_ts") - span, ts), latest(df, ts), "left", ts)
+    return time_slice(df, as_of - span, as_of, "left", ts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions import n_rows
 from sensorframe.operators import bucket_agg, midpoint, time_slice, with_dense_id
-from sensorframe.plans.tables import EVENTS, chunked_events, staged_readings, user_events
+from sensorframe.plans.tables import EVENTS, chunked_events, staged_by_time, staged_readings, user_events
 from sensorframe.session import ensure_utc, scratch_dir
 from sensorframe.sources import (
     chunk_files, chunk_progress, read_events, read_readings, scan_readings, to_points, upsert_points, write_events,
@@ -24,9 +24,9 @@ def ingest_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk files loaded as a stream, several steps into one table."""
+    """Chunk files loaded into a table as a stream."""
     table = scratch_dir(spark, "streamed")
-    readings = stream_readings(spark, staged_readings(spark, sf_dir), files_per_trigger=5)
+    readings = stream_readings(spark, staged_readings(spark, sf_dir))
     load_available(readings, table, scratch_dir(spark, "streamed-checkpoint")).awaitTermination()
     schema = "chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING"
     return spark.read.schema(schema).parquet(table)
@@ -54,16 +54,12 @@ def surrogate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_time_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per four-hour partition of the time layout."""
-    table = scratch_dir(spark, "by-time")
-    write_events(user_events(spark, sf_dir), table, "time")
-    return read_events(spark, table, "time").groupBy("event_date", "part_hour").agg(n_rows())
+    return read_events(spark, staged_by_time(spark, sf_dir), "time").groupBy("event_date", "part_hour").agg(n_rows())
 
 
 def layout_pruned_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 hours after the midpoint, read from the partitions they lie in."""
-    table = scratch_dir(spark, "by-time")
-    write_events(user_events(spark, sf_dir), table, "time")
-    stored = read_events(spark, table, "time")
+    stored = read_events(spark, staged_by_time(spark, sf_dir), "time")
     day = time_slice(stored, midpoint(stored), midpoint(stored, plus_hours=24))
     return bucket_agg(day, "1 hour", [n_rows()], name="hour").orderBy("hour")
 

@@ -9,9 +9,9 @@ EVENT_TABLE = """user_events AS (
 BOUNDS = """b AS (
   SELECT min(ts) AS lo, max(ts) AS hi, min(ts) + (max(ts) - min(ts)) / 2 AS mid FROM user_events)"""
 
-# number of rows per staged chunk, as in the staging step: 13 chunks of 500 to 2,000,000 rows
+# number of rows per staged chunk, as in the staging step: 13 chunks of 500 to 500,000 rows
 CHUNKS = """chunked AS (
-  SELECT *, CAST(id // (SELECT CAST(greatest(500, least(2000000, ceil((max(id) + 1) / 13.0))) AS BIGINT) FROM user_events)
+  SELECT *, CAST(id // (SELECT CAST(greatest(500, least(500000, ceil((max(id) + 1) / 13.0))) AS BIGINT) FROM user_events)
                  AS INTEGER) AS chunk
   FROM user_events)"""
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sensorframe.functions import SECOND_US, floor_to
 from sensorframe.session import ensure_utc, scratch_dir
-from sensorframe.sources import build_runlogs, write_runlogs
+from sensorframe.sources import build_runlogs, write_events, write_runlogs
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -14,7 +15,7 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, valu
 ENGINES = ("click", "error", "purchase", "signup", "view")
 
 #: Chunk documents of the staged readings hold between these numbers of rows.
-MIN_CHUNK_ROWS, MAX_CHUNK_ROWS = 500, 2_000_000
+MIN_CHUNK_ROWS, MAX_CHUNK_ROWS = 500, 500_000
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,7 +27,7 @@ def event_columns(e: DataFrame) -> DataFrame:
     return e.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("simuser-"), F.col("user_id").cast("string")).alias("user_id"),
-        F.date_trunc("second", "ts").alias("ts"),
+        floor_to("ts", SECOND_US).alias("ts"),
         (F.lit(-20.0) - F.col("value")).cast("float").alias("rssi"),
         F.concat(F.lit("AP-"), F.regexp_extract("props", "([0-9]+)", 1)).alias("ssid"),
     )
@@ -72,7 +73,7 @@ def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table with the chunk each row is staged in: runs of consecutive ids.
 
     There are 13 chunks, so that their numeric order differs from the order of names, and more
-    once chunks would grow beyond the usual size of a chunk file.
+    once chunks would grow beyond ``MAX_CHUNK_ROWS``.
     """
     ue = user_events(spark, sf_dir)
     size = ue.agg(F.greatest(
@@ -116,3 +117,8 @@ def staged_runlogs(spark: SparkSession, sf_dir: str) -> str:
     """Folder with one run-log document per engine and run."""
     return _stage_once(spark, sf_dir, "runlogs", lambda path: write_runlogs(
         build_runlogs(ingest_log(spark, sf_dir), run_log_per_query(spark, sf_dir)), path))
+
+
+def staged_by_time(spark: SparkSession, sf_dir: str) -> str:
+    """The event table in the ``time`` layout."""
+    return _stage_once(spark, sf_dir, "by-time", lambda path: write_events(user_events(spark, sf_dir), path, "time"))

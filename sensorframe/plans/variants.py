@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.functions import (
-    day_date, day_start, from_epoch_seconds, hour_of, hour_start, humanize_ms, micros_between, midpoint_of, n_rows,
+    SECOND_US, day_date, day_start, floor_to, from_epoch_seconds, hour_of, hour_start, humanize_ms, micros_between, midpoint_of, n_rows,
     rfc3339, shift, to_real,
 )
 from sensorframe.operators import (
@@ -47,7 +47,7 @@ def v_range_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 def v_range_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 10 days of the table; "now" is its latest instant."""
     ue = user_events(spark, sf_dir)
-    return row_count(relative_slice(ue, 10, latest(ue)))
+    return row_count(relative_slice(ue, "10 days"))
 
 
 def v_series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,7 @@ def variant_wide_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scalar helpers, applied to every event."""
-    e = events(spark, sf_dir).select("event_id", F.date_trunc("second", "ts").alias("ts"), "value")
+    e = events(spark, sf_dir).select("event_id", floor_to("ts", SECOND_US).alias("ts"), "value")
     return e.select(
         F.col("event_id").alias("id"),
         midpoint_of("ts", shift("ts", 1, "SECOND")).alias("mid_ts"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sensorframe.functions import SECOND_US, floor_to
 from sensorframe.operators.timeslice import part_hour
 from sensorframe.schema import EVENT
 from sensorframe.session import ensure_utc
@@ -65,7 +66,7 @@ def as_variant(events: DataFrame, variant: str) -> DataFrame:
     if variant == "no_zone":
         return events.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rssi", "ssid")
     if variant == "whole_seconds":
-        return events.select("id", "user_id", F.date_trunc("second", "ts").alias("ts"), "rssi", "ssid")
+        return events.select("id", "user_id", floor_to("ts", SECOND_US).alias("ts"), "rssi", "ssid")
     if variant == "wide_signal":
         return events.select("user_id", "ts", F.col("rssi").cast("double").alias("rssi"), "ssid")
     raise ValueError(f"unknown variant {variant!r}")

@@ -23,7 +23,7 @@ def json_reader(reader):
 
 
 def flatten_chunks(raw: DataFrame, with_pos: bool) -> DataFrame:
-    """One row per reading, in table types, for both file shapes.
+    """One row per reading of a chunk file, in table types, for both file shapes.
 
     ``pos`` orders the readings of a chunk: the row number of the scan (a bare array gives one row
     per reading) plus the index in the array (an object gives one row per file).
@@ -40,7 +40,7 @@ def flatten_chunks(raw: DataFrame, with_pos: bool) -> DataFrame:
     else:
         rows = raw.select(chunk, F.explode(items).alias("r"))
         lead = [F.col("chunk")]
-    return rows.select(
+    return rows.filter("chunk IS NOT NULL").select(
         *lead,
         F.col("r.userId").alias("user_id"),
         from_epoch_seconds("r.lastUpdatedTime").alias("ts"),

@@ -41,7 +41,8 @@ def at(seconds):
     return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
 
 
-def executed_plan(df):
+def scan_lines(df):
+    """The file scans of a plan after it ran, one line each."""
     df.collect()
     text = df._jdf.queryExecution().executedPlan().toString()
-    return text.split("== Initial Plan ==")[0]
+    return [line for line in text.splitlines() if "FileScan" in line]

@@ -82,7 +82,9 @@ def test_half_open_and_open_bounds(make_events):
 
 def test_relative_slice(make_events):
     ue = make_events([("a", s, -60.0, "x") for s in (0, 86400, 2 * 86400, 3 * 86400)])
-    assert relative_slice(ue, 2, F.lit(at(3 * 86400))).count() == 2
+    assert relative_slice(ue, "2 days", F.lit(at(3 * 86400))).count() == 2
+    assert relative_slice(ue, "30 years", F.lit(at(4 * 86400))).count() == 4
+    assert relative_slice(ue, "1 day").count() == 1
 
 
 def test_buckets_skip_gaps_and_gap_fill_adds_them(make_events):
