@@ -81,22 +81,19 @@ def _one_decimal(x: Column) -> Column:
     whole = F.floor(x)
     frac = x - whole
     tenth = F.floor(frac * 10)
-    boundary = tenth * 2 + 1
-    side = (frac * 16 - boundary) + frac * 4
-    up = (side > 0) | ((side == 0) & (tenth % 2 == 1))
-    rounded = tenth + F.when(up, 1).otherwise(0)
-    whole = whole + F.when(rounded >= 10, 1).otherwise(0)
-    return F.concat(whole.cast("string"), F.lit("."), (rounded % 10).cast("string"))
+    side = (frac * 16 - (tenth * 2 + 1)) + frac * 4
+    # no CASE: generated code shares common parts only where nothing is conditional
+    up = (side > 0).cast("int") + ((side == 0) & (tenth % 2 == 1)).cast("int")
+    tenths = whole * 10 + tenth + up
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def humanize_ms(ms: Column | str, missing: str = "N/A") -> Column:
     """``12.5ms`` below one second, ``1.4s`` from there on; negative durations mean failed."""
     ms = col(ms).cast("double")
-    return (
-        F.when(ms.isNull() | (ms < 0), F.lit(missing))
-        .when(ms >= 1000, F.concat(_one_decimal(ms / 1000), F.lit("s")))
-        .otherwise(F.concat(_one_decimal(ms), F.lit("ms")))
-    )
+    shown = F.when(ms >= 1000, ms / 1000).when(ms >= 0, ms)
+    unit = F.when(ms >= 1000, F.lit("s")).otherwise(F.lit("ms"))
+    return F.coalesce(F.concat(_one_decimal(shown), unit), F.lit(missing))
 
 
 def n_rows(name: str = "n") -> Column:

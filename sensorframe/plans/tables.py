@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sensorframe.functions import SECOND_US, floor_to
@@ -96,19 +96,23 @@ def _stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
 def staged_readings(spark: SparkSession, sf_dir: str) -> str:
     """Folder with the event table as chunk files, written once per session and input.
 
-    Even chunks are objects with a ``response`` list, odd ones bare arrays. A document is one row
-    by nature; its size is bounded by ``MAX_CHUNK_ROWS``.
+    Even chunks are objects with a ``response`` list, odd ones bare arrays. Every reading is a line
+    of its document, with the brackets and commas around it, so that a document is written row by
+    row and never held in memory.
     """
     def write(path: str) -> None:
-        reading = F.struct(
+        reading = F.to_json(F.struct(
             F.col("user_id").alias("userId"), F.unix_seconds("ts").alias("lastUpdatedTime"),
-            F.struct("ssid", "rssi").alias("connection"))
-        docs = chunked_events(spark, sf_dir).groupBy("chunk").agg(
-            F.sort_array(F.collect_list(F.struct("id", reading.alias("r")))).alias("items"))
-        readings = F.transform("items", lambda x: x["r"])
-        text = F.when(F.col("chunk") % 2 == 0, F.to_json(F.struct(readings.alias("response")))).otherwise(F.to_json(readings))
-        name = F.concat(F.lit("readings_"), F.col("chunk").cast("string"), F.lit(".json"))
-        docs.select(text.alias("value"), name.alias("file")).write.partitionBy("file").text(path)
+            F.struct("ssid", "rssi").alias("connection")))
+        rows = chunked_events(spark, sf_dir).select(
+            F.concat(F.lit("readings_"), F.col("chunk").cast("string"), F.lit(".json")).alias("file"),
+            "id", (F.col("chunk") % 2 == 0).alias("is_object"), reading.alias("reading"))
+        in_file = Window.partitionBy("file").orderBy("id")
+        is_first, is_last = F.lag("id").over(in_file).isNull(), F.lead("id").over(in_file).isNull()
+        opening = F.when(is_first, F.when(F.col("is_object"), '{"response": [').otherwise("[")).otherwise("")
+        closing = F.when(is_last, F.when(F.col("is_object"), "]}").otherwise("]")).otherwise(",")
+        # the window leaves the rows ordered by file and id, and the writer keeps that order
+        rows.select(F.concat(opening, "reading", closing).alias("value"), "file").write.partitionBy("file").text(path)
 
     return _stage_once(spark, sf_dir, "readings", write)
 
