@@ -54,41 +54,41 @@ def implicit_group(df: DataFrame, *items: str) -> DataFrame:
 ROOTS = 6
 BIN_SCALE = 40_000
 
+# Bin number of a value `_v`, which never decreases with it: the 64th root, scaled and cut to an integer.
+# Like a logarithm it gives bins of similar relative width over the whole range, but works for both signs
+# and zero, and square roots are much cheaper. A REAL column has at most 320,000 bins of at most 100,000
+# distinct values each. NaN shares the last bin with infinity. The outer coalesce only tells the optimizer
+# that a bin is never null.
+_ROOT = f"{'sqrt(' * ROOTS}abs(_v){')' * ROOTS}"
+_BIN = f"coalesce(floor(nanvl(signum(_v) * {_ROOT}, double('infinity')) * {BIN_SCALE}), 0L)"
 
-def _bin(v: Column) -> Column:
-    """Bin number that never decreases with ``v``: the 64th root, scaled and cut to an integer.
-
-    Like a logarithm it gives bins of similar relative width over the whole range, but works for
-    both signs and zero, and square roots are much cheaper. A REAL column has at most 320,000 bins
-    of at most 100,000 distinct values each. NaN shares the last bin with infinity.
-    """
-    root = F.abs(v)
-    for _ in range(ROOTS):
-        root = F.sqrt(root)
-    scaled = F.floor(F.nanvl(F.signum(v) * root, F.lit(float("inf"))) * BIN_SCALE)
-    return F.coalesce(scaled, F.lit(0).cast("bigint"))  # tells the optimizer it is never null
+# A representative value of a bin, for magnitudes above 1 at most 0.08 % away from the values in it.
+_BIN_ROOT = f"((_bin + 0.5D) / {BIN_SCALE})"
+_BIN_MIDDLE = f"signum({_BIN_ROOT}) * pow(abs({_BIN_ROOT}), {2 ** ROOTS})"
 
 
-def _bin_middle(bin_: Column) -> Column:
-    """A representative value of a bin, for magnitudes above 1 at most 0.08 % away from its values."""
-    root = (bin_ + 0.5) / BIN_SCALE
-    return F.signum(root) * F.pow(F.abs(root), F.lit(2.0**ROOTS))
+def _values(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """The values of a column as doubles, each counting once."""
+    return df.select(*keys, F.col(column).cast("double").alias("_v"), F.lit(1).cast("bigint").alias("_n")).filter("_v IS NOT NULL")
 
 
-def _running(bins: DataFrame, keys: Sequence[str], order: str, n: str) -> DataFrame:
-    """Add ``_before`` (rows in smaller groups) and ``_total`` to a small, already aggregated table."""
-    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return bins.withColumn("_before", F.coalesce(F.sum(n).over(upto), F.lit(0))).withColumn(
-        "_total", F.sum(n).over(Window.partitionBy(*keys)))
+def _counted(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.groupBy(*columns).agg(F.sum("_n").alias("_n"))
 
 
-def _inside(ranks: Column, before: str, n: str) -> Column:
-    """Those of the 0-based ranks that fall on the ``n`` rows after the first ``before`` rows."""
-    return F.filter(ranks, lambda r: (r >= F.col(before)) & (r < F.col(before) + F.col(n)))
+def _running_bins(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows per bin as ``_rows``, the rows in smaller bins as ``_before``, all rows as ``_total``."""
+    part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)}" if keys else ""
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"))
+    return bins.selectExpr(
+        "*",
+        f"coalesce(sum(_rows) OVER ({part} ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before",
+        f"sum(_rows) OVER ({part}) AS _total")
 
 
-def _value_counts(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy(*columns).agg(F.sum("_n").alias("_n"))
+def _rank(p: float) -> str:
+    """Position of a percentile among ``_total`` sorted rows, counted from 0; it may lie between two rows."""
+    return f"({float(p)!r}D * (_total - 1))"
 
 
 def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -98,34 +98,38 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
     whole table the column is scanned twice, and only bin counts and the values of the bins hit are
     shuffled. With ``keys`` the values are counted first, as the bins hit may be too many to broadcast.
     """
-    value = F.col(column).cast("double")
-    rows = df.select(*keys, value.alias("_v"), F.lit(1).cast("bigint").alias("_n")).filter("_v IS NOT NULL")
+    rows = _values(df, column, keys)
     if keys:
-        rows = _value_counts(rows, *keys, "_v")
-    rows = rows.withColumn("_bin", _bin(F.col("_v")))
-    bins = _running(rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows")), keys, "_bin", "_rows")
-
-    # an exact rank lies on one row or between two neighbouring ones
-    rank = {name: F.lit(p) * (F.col("_total") - 1) for name, p in probs.items()}
-    wanted = F.array_distinct(F.array(*[edge for r in rank.values() for edge in (F.floor(r), F.ceil(r))]))
-    hit = bins.filter(F.size(_inside(wanted, "_before", "_rows")) > 0).drop("_rows")
+        rows = _counted(rows, *keys, "_v")
+    rows = rows.selectExpr("*", f"{_BIN} AS _bin")
+
+    edges = ", ".join(f"floor({_rank(p)}), ceil({_rank(p)})" for p in probs.values())
+
+    def inside(before: str, n: str) -> str:
+        """The wanted ranks that fall on the ``n`` rows after the first ``before`` rows."""
+        return f"filter(array_distinct(array({edges})), r -> r >= {before} AND r < {before} + {n})"
+
+    hit = _running_bins(rows, keys).filter(f"size({inside('_before', '_rows')}) > 0").drop("_rows")
     if keys:
-        values = rows.join(hit, [*keys, "_bin"])
+        hit = hit.withColumnsRenamed({k: f"_hit_{k}" for k in [*keys, "_bin"]})
+        same = " AND ".join(f"`{k}` <=> `_hit_{k}`" for k in keys)  # null is a key like others
+        values = rows.join(hit, F.expr(f"_bin = _hit__bin AND {same}"))
     else:
         # at most two bins per percentile
-        values = _value_counts(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
+        values = _counted(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
 
     upto = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-    found = ranked.select(*keys, "_total", "_v", F.explode(_inside(wanted, "_first", "_n")).alias("_rank"))
+    found = ranked.selectExpr(*[f"`{k}`" for k in keys], "_total", "_v", f"explode({inside('_first', '_n')}) AS _rank")
     # one entry per wanted rank
-    at = found.groupBy(*keys).agg(
-        F.first("_total").alias("_total"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
-    out = []
-    for name, r in rank.items():
-        lo, hi, part = F.col("_at")[F.floor(r)], F.col("_at")[F.ceil(r)], r - F.floor(r)
-        out.append(F.when(part == 0, lo).otherwise(lo * (1 - part) + hi * part).alias(name))
-    return at.select(*keys, *out)
+    at = found.groupBy(*keys).agg(F.expr("first(_total) AS _total"), F.expr("map_from_entries(collect_list(struct(_rank, _v))) AS _at"))
+
+    def interpolated(p: float) -> str:
+        r = _rank(p)
+        lo, hi, share = f"_at[floor({r})]", f"_at[ceil({r})]", f"({r} - floor({r}))"
+        return f"if({share} = 0, {lo}, {lo} * (1 - {share}) + {hi} * {share})"
+
+    return at.selectExpr(*[f"`{k}`" for k in keys], *[f"{interpolated(p)} AS `{name}`" for name, p in probs.items()])
 
 
 def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -134,18 +138,13 @@ def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys
     Needs one aggregation into a bounded number of bins, is mergeable and repeatable, and takes
     negative values as they are. The value at rank ``floor(p * (n - 1))`` is reported.
     """
-    value = F.col(column).cast("double")
-    rows = df.select(*keys, value.alias("_v")).filter("_v IS NOT NULL")
-    bins = rows.groupBy(*keys, _bin(F.col("_v")).alias("_bin")).agg(n_rows("_rows"))
-    bins = _running(bins, keys, "_bin", "_rows")
-    first = F.col("_before")
-
-    def at(p: float) -> Column:
-        rank = F.floor(F.lit(p) * (F.col("_total") - 1))
-        here = (rank >= first) & (rank < first + F.col("_rows"))
-        return F.max(F.when(here, _bin_middle(F.col("_bin"))))
-
-    return bins.groupBy(*keys).agg(*[at(p).alias(name) for name, p in probs.items()])
+    bins = _running_bins(_values(df, column, keys).selectExpr("*", f"{_BIN} AS _bin"), keys)
+
+    def at(p: float, name: str) -> Column:
+        rank = f"floor({_rank(p)})"
+        return F.expr(f"max(if({rank} >= _before AND {rank} < _before + _rows, {_BIN_MIDDLE}, NULL)) AS `{name}`")
+
+    return bins.groupBy(*keys).agg(*[at(p, name) for name, p in probs.items()])
 
 
 def sketch_percentiles(df: DataFrame, column: str, probs: dict[str, float], k: int = 2000, fan_in: int = 256) -> DataFrame:

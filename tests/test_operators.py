@@ -51,6 +51,14 @@ def test_exact_percentiles_per_key(spark):
         assert got[k] == pytest.approx(statistics.median(x for key, x in rows if key == k))
 
 
+def test_percentiles_keep_the_null_key(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 4.0), ("a", 2.0)], "k string, x double")
+    for method in ("exact", "binned"):
+        got = {r["k"]: r["m"] for r in percentiles(df, "x", {"m": 0.5}, method, ["k"]).collect()}
+        assert set(got) == {None, "a"}
+    assert {r["k"]: r["m"] for r in percentiles(df, "x", {"m": 0.5}, keys=["k"]).collect()} == {None: 2.5, "a": 2.0}
+
+
 def test_binned_percentiles_stay_within_their_error(spark):
     values = [-20 - 300 * random.Random(i).random() for i in range(5000)]
     got = binned_percentiles(numbers(spark, values, "double"), "x", PROBS).first()
