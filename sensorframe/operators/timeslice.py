@@ -62,28 +62,39 @@ def part_hour(ts: Column) -> Column:
     return (F.hour(ts) - F.hour(ts) % PART_HOURS).cast("int")
 
 
+def _part_of(ts: Column) -> Column:
+    return F.unix_date(F.to_date(ts)) * 24 + part_hour(ts)
+
+
+def _within(df: DataFrame, lo: Column | None, hi: Column | None, closed: str, ts: str) -> DataFrame:
+    t = F.col(ts)
+    if lo is not None:
+        df = df.filter(t > lo if closed == "none" else t >= lo)
+    if hi is not None:
+        df = df.filter(t <= hi if closed == "both" else t < hi)
+    return df
+
+
 def time_slice(df: DataFrame, lo: Column | None = None, hi: Column | None = None,
                closed: str = "both", ts: str = "ts") -> DataFrame:
     """Rows between ``lo`` and ``hi``; either may be None for an open side.
 
     ``closed`` says which bounds belong to the slice: ``both``, ``left`` (half open) or ``none``.
-    On a table in the ``time`` layout the bounds are repeated on its partition columns, because a
-    filter on the timestamp alone does not prune directories.
+
+    On a table in the ``time`` layout the slice is the partitions that lie wholly inside, taken as
+    they are, and the matching rows of the partitions the bounds fall in. Everything else is pruned,
+    and a count reads the timestamps of the outermost partitions only.
     """
     if closed not in ("both", "left", "none"):
         raise ValueError(f"closed must be both, left or none, not {closed!r}")
-    t = F.col(ts)
+    if not _has_time_layout(df) or (lo is None and hi is None):
+        return _within(df, lo, hi, closed, ts)
+    part, inner, outer = _part_number(), F.lit(True), F.lit(False)
     if lo is not None:
-        df = df.filter(t > lo if closed == "none" else t >= lo)
+        inner, outer = inner & (part > _part_of(lo)), outer | (part == _part_of(lo))
     if hi is not None:
-        df = df.filter(t <= hi if closed == "both" else t < hi)
-    if _has_time_layout(df):
-        day = F.col("event_date")
-        if lo is not None:
-            df = df.filter((day >= F.to_date(lo)) & (_part_number() >= F.unix_date(F.to_date(lo)) * 24 + part_hour(lo)))
-        if hi is not None:
-            df = df.filter((day <= F.to_date(hi)) & (_part_number() <= F.unix_date(F.to_date(hi)) * 24 + part_hour(hi)))
-    return df
+        inner, outer = inner & (part < _part_of(hi)), outer | (part == _part_of(hi))
+    return df.filter(inner).union(_within(df.filter(outer), lo, hi, closed, ts))
 
 
 def relative_slice(df: DataFrame, back: str, as_of: Column | None = None, ts: str = "ts") -> DataFrame:
