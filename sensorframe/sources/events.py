@@ -32,6 +32,7 @@ def write_events(df: DataFrame, path: str, layout: str = "plain", mode: str = "a
     ``time`` and ``shards`` go through a rebalance: small groups share a task, and a group much
     larger than the rest (a busy hour, or any shard of a large table) is split over many.
     """
+    ensure_utc(df.sparkSession)
     if layout == "plain":
         df.write.mode(mode).parquet(path)
     elif layout == "time":

@@ -25,6 +25,9 @@ def run_bucket_agg(buckets: DataFrame, updates: str, checkpoint: str) -> None:
         # a repeated step rewrites its own directory
         batch.write.mode("overwrite").parquet(f"{updates}/step={batch_id}")
 
+    # an empty first step, so that a stream without any data still leaves a readable result
+    empty = buckets.sparkSession.createDataFrame([], buckets.schema)
+    empty.write.mode("overwrite").parquet(f"{updates}/step=-1")
     query = (
         buckets.writeStream.outputMode("update").foreachBatch(append)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -37,7 +37,8 @@ def test_exact_percentiles_with_one_hot_value(spark):
 
 
 def test_exact_percentiles_ignore_nulls_and_sort_nan_last(spark):
-    got = exact_percentiles(numbers(spark, [1.0, None, 3.0, float("nan"), float("inf")]), "x", {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}).first()
+    values = numbers(spark, [1.0, None, 3.0, float("nan"), float("inf")])
+    got = exact_percentiles(values, "x", {"a": 0.0, "b": 1 / 3, "c": 2 / 3, "d": 1.0}).first()
     assert (got["a"], got["b"], got["c"]) == (1.0, 3.0, float("inf"))
     assert got["d"] != got["d"]
 

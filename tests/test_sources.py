@@ -106,6 +106,13 @@ def test_stream_counts_equal_batch_counts_for_files_in_any_order(spark, tmp_path
     assert got == want
 
 
+def test_stream_without_files(spark, tmp_path):
+    stream = spark.readStream.schema("ts TIMESTAMP").parquet(str(tmp_path))
+    updates = scratch_dir(spark, "u")
+    run_bucket_agg(stream_bucket_agg(stream, "1 hour"), updates, scratch_dir(spark, "c"))
+    assert latest_buckets(spark, updates).count() == 0
+
+
 def test_watermark_releases_old_buckets(spark):
     source = scratch_dir(spark, "late")
     for seconds in (0, 10 * 3600, 10 * 3600 + 1, 60):  # the last file is ten hours late
