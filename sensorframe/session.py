@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, once per application: for queries with Python inside tasks."""
+    context = spark.sparkContext
+    if getattr(context, "_sensorframe_shipped", None) is None:
+        root = Path(__file__).resolve().parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp()}/sensorframe_package", "zip", root.parent, root.name)
+        context.addPyFile(archive)
+        context._sensorframe_shipped = archive
+    return spark

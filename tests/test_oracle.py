@@ -5,8 +5,7 @@ from compare import duck, duck_result, spark_result
 from conftest import SF
 
 import __spark_entry__ as entry_point
-
-ORACLES = entry_point.oracle_sql()
+from sensorframe.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +23,9 @@ def test_matches_sql(spark, con, name):
 
 
 def test_only_the_sketch_has_no_sql():
-    assert set(entry_point.queries()) - set(ORACLES) == {"v_pctl_sketch"}
+    assert set(QUERIES) - set(ORACLES) == {"v_pctl_sketch"}
+    assert set(QUERIES) <= set(entry_point.queries())
+    assert set(ORACLES) <= set(entry_point.oracle_sql())
 
 
 def test_entry(spark):
