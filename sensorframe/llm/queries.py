@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.llm import quality_rank, quality_rules
+from sensorframe.llm import packing, quality_rank, quality_rules, simhash
 from sensorframe.session import ship_package
 
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,5 +25,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents, quality_rules.learn(documents, labels))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rank, op5_quality_rules)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(table(spark, sf_dir, "documents"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rank, op5_quality_rules, op6_simhash, op7_packing)}
 ORACLES: dict[str, str] = {}
