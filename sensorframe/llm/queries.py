@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.llm import packing, quality_rank, quality_rules, simhash
+from sensorframe.llm import decontaminate, line_chunks, packing, quality_rank, quality_rules, simhash
 from sensorframe.session import ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -20,6 +20,10 @@ def op1_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rank.score(documents, quality_rank.learn(documents, labels))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.judge(documents, quality_rules.learn(documents, labels))
@@ -33,5 +37,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rank, op5_quality_rules, op6_simhash, op7_packing)}
+def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rank, op2_decontaminate, op5_quality_rules, op6_simhash, op7_packing, op8_line_chunks,
+)}
 ORACLES: dict[str, str] = {}

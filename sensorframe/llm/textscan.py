@@ -85,10 +85,10 @@ class Block:
         return np.bincount(self.word_row, minlength=self.n_rows)
 
 
-def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, lower: bool = False) -> Iterator[Block]:
+def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, spaces: np.ndarray = IS_SPACE) -> Iterator[Block]:
     """The rows of a string column in blocks of about ``block_bytes``; a longer text is a block of its own.
 
-    Null texts count as empty. ``lower`` turns A-Z into a-z first.
+    Null texts count as empty. ``spaces`` tells which bytes separate words.
     """
     texts = texts.cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -99,16 +99,14 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, lower: bool = False)
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + block_bytes, "right")) - 1)
         stop = min(stop, len(texts))
         data = raw[offsets[row] : offsets[stop]]
-        if lower:
-            data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        yield _scan(row, data, offsets[row : stop + 1] - offsets[row])
+        yield _scan(row, data, offsets[row : stop + 1] - offsets[row], spaces)
         row = stop
 
 
-def _scan(first: int, data: np.ndarray, bounds: np.ndarray) -> Block:
+def _scan(first: int, data: np.ndarray, bounds: np.ndarray, spaces: np.ndarray) -> Block:
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    inside[1:-1] = ~IS_SPACE[data]
+    inside[1:-1] = ~spaces[data]
     edge = np.zeros(n + 1, bool)
     edge[bounds] = True
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
