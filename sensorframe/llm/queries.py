@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorframe.llm import decontaminate, line_chunks, packing, quality_rank, quality_rules, simhash
+from sensorframe.llm import (
+    decontaminate, html_consensus, line_chunks, packing, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
+)
 from sensorframe.session import ship_package
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -24,6 +27,13 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the row with its id: bad if its quality is 0."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.judge(documents, quality_rules.learn(documents, labels))
@@ -41,7 +51,16 @@ def op8_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_consensus.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rank, op2_decontaminate, op5_quality_rules, op6_simhash, op7_packing, op8_line_chunks,
+    op1_quality_rank, op2_decontaminate, op3_url_reputation, op5_quality_rules, op6_simhash, op7_packing,
+    op8_line_chunks, op9_secret_scan, op10_html_consensus,
 )}
 ORACLES: dict[str, str] = {}
