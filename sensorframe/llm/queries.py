@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
-    decontaminate, html_consensus, line_chunks, packing, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
+    decontaminate, html_consensus, line_chunks, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
 )
 from sensorframe.session import ship_package
 
@@ -34,6 +34,11 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is for the given tables only; a user passes a secret one."""
+    return pii_surrogates.pseudonymize(table(spark, sf_dir, "documents"), "key of the given tables")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.judge(documents, quality_rules.learn(documents, labels))
@@ -60,7 +65,7 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rank, op2_decontaminate, op3_url_reputation, op5_quality_rules, op6_simhash, op7_packing,
+    op1_quality_rank, op2_decontaminate, op3_url_reputation, op4_pii_surrogates, op5_quality_rules, op6_simhash, op7_packing,
     op8_line_chunks, op9_secret_scan, op10_html_consensus,
 )}
 ORACLES: dict[str, str] = {}
