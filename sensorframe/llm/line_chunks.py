@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sensorframe.llm.textscan import Block, blocks, mix
 from sensorframe.session import materialize
@@ -137,6 +138,5 @@ def dedup(documents: DataFrame) -> DataFrame:
                 [*batch.columns[:at], texts, *batch.columns[at + 1 : -1], removed], [*batch.schema.names[:-1], "n_removed"]
             )
 
-    schema = documents.schema.add("n_removed", "long")
-    out = joined.mapInArrow(run, schema)
+    out = joined.mapInArrow(run, StructType([*documents.schema.fields, StructField("n_removed", LongType())]))
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))) if "n_chars" in documents.columns else out

@@ -1,0 +1,89 @@
+import pyarrow as pa
+from common import AWKWARD, documents, prose, rows, shipped  # noqa: F401
+from conftest import SF
+
+from sensorframe.llm import line_chunks
+from sensorframe.llm.queries import QUERIES
+from sensorframe.llm.textscan import blocks
+
+
+def cut(text):
+    """``(chunk, lines with a word)`` of a text."""
+    b = next(blocks(pa.array([text]), len(text.encode()) + 1))
+    raw = text.encode()
+    _, start, end, lines = line_chunks.chunks(b)
+    return [(raw[i:j].decode(), n) for i, j, n in zip(start, end, lines, strict=True)]
+
+
+def deduplicated(texts):
+    """Brute force: the first of equal chunks in the order of (id, position) stays."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        kept, removed = [], 0
+        for chunk, n in cut(texts[i] or ""):
+            if n >= 2 and chunk in seen:
+                removed += 1
+            else:
+                kept.append(chunk)
+            if n >= 2:
+                seen.add(chunk)
+        out[i] = ("\n".join(kept) if removed else texts[i], removed)
+    return out
+
+
+def test_given_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op8_line_chunks"](spark, SF).collect()}
+    assert {i: (r.text, r.n_removed) for i, r in got.items()} == deduplicated(texts)
+    assert sum(r.n_removed for r in got.values()) > 20
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_chunks_cover_a_text_and_resist_shifts():
+    lines = [f"line {k} {k * 7919 % 101}" for k in range(400)]
+    text = "\n".join(lines)
+    assert "\n".join(c for c, _ in cut(text)) == text
+    moved = {c for c, _ in cut("\n".join(["new first", *lines[:200], "one between", *lines[200:]]))}
+    kept = [c for c, _ in cut(text) if c in moved]
+    assert sum(map(len, kept)) > 0.9 * len(text)
+
+
+def test_passage_in_other_surroundings_goes(spark, shipped):  # noqa: F811
+    passage = [f"shared line {k} of the passage" for k in range(40)]
+    docs = [(1, "\n".join(["own a", *passage, "own b"])), (2, "\n".join(["other", "lines", *passage, "end"])), (3, "\n".join(passage))]
+    got = {r.doc_id: r.text for r in line_chunks.dedup(documents(spark, docs)).collect()}
+    assert got[1] == docs[0][1] and len(got[2]) < 0.4 * len(docs[1][1]) and len(got[3]) < 0.4 * len(docs[2][1])
+    assert got[2].startswith("other\nlines") and got[2].endswith("end")
+
+
+def test_awkward_rows(spark, shipped):  # noqa: F811
+    docs = documents(spark)
+    got = line_chunks.dedup(docs)
+    assert got.columns == [*docs.columns, "n_removed"] and got.count() == len(AWKWARD)
+    expected = deduplicated({i: t for i, t in AWKWARD if i is not None})
+    for r in got.collect():
+        assert (r.text, r.n_removed) == (expected[r.doc_id] if r.doc_id is not None else (r.text, 0))
+    nulls = sorted(repr(r.text) for r in got.where("doc_id is null").collect())
+    assert nulls == sorted(map(repr, [None, prose(30)]))
+    assert line_chunks.dedup(documents(spark, [])).count() == 0
+
+
+def test_repeats_within_a_document_and_blank_lines(spark, shipped):  # noqa: F811
+    text = "\n".join([f"row {k % 16} text" for k in range(160)])
+    docs = [(1, text), (2, "\n\n\n\n"), (3, "\n\n\n\n")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_chunks.dedup(documents(spark, docs)).collect()}
+    assert got == deduplicated(dict(docs)) and got[2] == ("\n\n\n\n", 0)
+
+
+def test_colliding_hashes_are_not_trusted(spark, monkeypatch):
+    rows_ = [(1, 0, 7, b"aa"), (2, 0, 7, b"bb"), (3, 0, 7, b"aa"), (4, 0, 8, b"cc"), (5, 0, 8, b"cc")]
+    table = spark.createDataFrame(rows_, "doc_id long, chunk long, h long, text binary")
+    monkeypatch.setattr(line_chunks, "chunk_rows", lambda documents, with_text: table)
+    assert [(r.h, tuple(r["first"])) for r in line_chunks.repeated(None).collect()] == [(8, (4, 0))]
+
+
+def test_positions_count_within_each_text():
+    import numpy as np
+
+    assert line_chunks._number(np.array([0, 0, 2, 2, 2, 3])).tolist() == [0, 1, 0, 1, 2, 0]
+    assert line_chunks._number(np.zeros(0, int)).tolist() == []
