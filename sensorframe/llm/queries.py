@@ -68,4 +68,52 @@ QUERIES = {f.__name__: f for f in (
     op1_quality_rank, op2_decontaminate, op3_url_reputation, op4_pii_surrogates, op5_quality_rules, op6_simhash, op7_packing,
     op8_line_chunks, op9_secret_scan, op10_html_consensus,
 )}
-ORACLES: dict[str, str] = {}
+
+
+def _level(name: str, keys: str, groups: str) -> str:
+    """SQL of one level of shrinkage: strength by moments, posterior and rate. ``groups`` have their parent's posterior."""
+    return f"""
+    {name}_in AS (SELECT *, (up_a - bad) / (up_a + up_b - n) AS prior FROM ({groups})),
+    {name}_rho AS (
+        SELECT CASE WHEN coalesce(sum(n * (n - 1)), 0) = 0 THEN 0
+               ELSE (sum(power(bad - n * prior, 2) / (prior * (1 - prior))) - sum(n)) / sum(n * (n - 1)) END AS rho FROM {name}_in),
+    {name}_s AS (SELECT least(greatest(1 / greatest(rho, 1e-3) - 1, 1), 1000) AS s FROM {name}_rho),
+    {name} AS (SELECT {keys}, bad + s * prior AS a, n - bad + s * (1 - prior) AS b, (bad + s * prior) / (n + s) AS rate FROM {name}_in, {name}_s)"""
+
+
+_RULES = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{v} {h}{p}'"
+    for v, h, p in sorted(url_reputation.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+_SUFFIX_LABELS = ", ".join(f"'{x}'" for x in url_reputation.SUFFIX_LABELS)
+_TOTALS = "sum(bad) AS bad, sum(n) AS n"
+
+ORACLES: dict[str, str] = {
+    "op3_url_reputation": f"""
+    WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+    urls AS (
+        SELECT page_id,
+            coalesce(translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+            coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path
+        FROM rest),
+    outcomes AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1),
+    counts AS (
+        SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(regexp_replace(host, ':[0-9]*$', ''), '.') AS l
+        FROM urls LEFT JOIN outcomes USING (page_id) GROUP BY host),
+    domains_of AS (
+        SELECT host, n, bad, array_to_string(l[greatest(len(l) - CASE WHEN len(l) >= 3 AND length(l[-1]) = 2 AND l[-2] IN ({_SUFFIX_LABELS})
+            THEN 2 ELSE 1 END, 1):], '.') AS domain FROM counts),
+    hosts AS (SELECT *, regexp_replace(domain, '^[^.]+[.]', '') AS suffix FROM domains_of),
+    {_level("suffixes", "suffix", f"SELECT suffix, {_TOTALS}, (SELECT sum(bad) + 1 FROM hosts) AS up_a, (SELECT sum(n) - sum(bad) + 1 FROM hosts) AS up_b FROM hosts GROUP BY 1")},
+    {_level("domains", "domain", f"SELECT domain, sum(h.bad) AS bad, sum(h.n) AS n, any_value(a) AS up_a, any_value(b) AS up_b FROM hosts h JOIN suffixes USING (suffix) GROUP BY 1")},
+    {_level("shrunk", "host", "SELECT host, bad, n, a AS up_a, b AS up_b FROM hosts JOIN domains USING (domain)")},
+    judged AS (
+        SELECT page_id, host, path, round(rate, 6) AS bad_rate,
+            round(greatest(0, rate - {url_reputation.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))), 6) AS bad_low,
+            CASE {_RULES} END AS found
+        FROM urls JOIN shrunk USING (host))
+    SELECT page_id, host, path, split_part(found, ' ', 2) AS rule,
+        coalesce(split_part(found, ' ', 1), CASE WHEN bad_low > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
+        bad_rate, bad_low
+    FROM judged""",
+}

@@ -62,12 +62,14 @@ def suffix_of(domain: Column) -> Column:
 
 
 def _shrunk(level: DataFrame) -> DataFrame:
-    """The groups of a level, each with its ``prior`` rate, get the ``rate`` and ``a, b`` of their beta posterior.
+    """The groups of a level get the ``rate`` and ``a, b`` of their beta posterior.
 
-    The strength of the prior is fitted by moments over the groups of the level: how much their rates vary
+    ``up_a, up_b`` are the parent's posterior. A group's prior rate is the parent's without the group's own outcomes, so
+    that none counts twice. The strength of the prior is fitted by moments over the groups of the level: how much their rates vary
     beyond what chance would make of equal rates. It is between 1 and 1,000 pages; a level without
     outcomes takes 1,000.
     """
+    level = level.withColumn("prior", (F.col("up_a") - F.col("bad")) / (F.col("up_a") + F.col("up_b") - F.col("n")))
     p, n = F.col("prior"), F.col("n")
     # variance of (bad - n p) under a beta-binomial: n p (1 - p) (1 + (n - 1) rho), rho = 1 / (strength + 1)
     square, pages, pairs = level.agg(
@@ -95,10 +97,11 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     hosts = materialize(hosts, "host-outcomes")
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
     totals = [F.sum("bad").alias("bad"), F.sum("n").alias("n")]
-    prior = F.col("rate").alias("prior")
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*totals).withColumn("prior", F.lit(((bad or 0) + 1) / ((n or 0) + 2))))
-    domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*totals).join(suffixes.select("suffix", prior), "suffix"))
-    shrunk = _shrunk(hosts.join(domains.select("domain", prior), "domain"))
+    up = [F.col("a").alias("up_a"), F.col("b").alias("up_b")]
+    whole = {"up_a": F.lit((bad or 0) + 1.0), "up_b": F.lit((n or 0) - (bad or 0) + 1.0)}
+    suffixes = _shrunk(hosts.groupBy("suffix").agg(*totals).withColumns(whole))
+    domains = _shrunk(hosts.groupBy("domain", "suffix").agg(*totals).join(suffixes.select("suffix", *up), "suffix"))
+    shrunk = _shrunk(hosts.join(domains.select("domain", *up), "domain"))
     a, b = F.col("a"), F.col("b")
     spread = F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
     return materialize(shrunk.select("host", "n", "bad", "rate", F.greatest(F.lit(0.0), F.col("rate") - Z * spread).alias("low")), "reputation")
@@ -112,7 +115,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str
     judged by the reputation of the empty host. Repeated rows and null ids stay.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of("url").alias("host"), path_of("url").alias("path"))
-    known = reputation(pages, outcomes).select("host", F.col("rate").alias("bad_rate"), F.col("low").alias("bad_low"))
+    known = reputation(pages, outcomes).select("host", F.round("rate", 6).alias("bad_rate"), F.round("low", 6).alias("bad_low"))
     found = rows.withColumn("found", rule_of(rules, F.col("host"), F.col("path"))).join(known, "host", "left")
     method = F.when(F.col("bad_low") > MAX_BAD, "block").otherwise("allow")
     return found.select(

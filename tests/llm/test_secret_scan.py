@@ -1,0 +1,78 @@
+import base64
+import hashlib
+import json
+import re
+import zlib
+
+from common import AWKWARD, documents, shipped  # noqa: F401
+from conftest import SF
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sensorframe.llm import secret_scan
+from sensorframe.llm.queries import QUERIES
+
+SCANNER = secret_scan.Scanner()
+ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def base(text):
+    found = [(0, *m.span()) for m in re.finditer(ASSIGN, text, re.I | re.A) if len(m[2]) >= 12]
+    found += [(1, *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [(2, *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda s: (s[1], s[0]))
+
+
+PIECES = ["token", "Token", "PASSWORD", "api_key", "apikey", "secret", "passwd", "=", ":", " ", '"', "'", "abcdef123456", "x", "AKIA", "ABCDEFGHIJKLMNOP", "é", "İ",
+          "ſecret", "api_\u212aey", "0123456789abcdef", "\n", "-", "password=secret"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=14).map("".join))
+def test_base_spans_match_plain_regular_expressions(text):
+    assert [s for s in SCANNER.spans(text) if s[0] < 3] == base(text)
+
+
+def test_given_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op9_secret_scan"](spark, SF).collect()}
+    assert set(got) == set(texts) and sum(r.n_assign for r in got.values()) > 5
+    for i, r in got.items():
+        spans = base(texts[i])
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for k, a, b in spans)
+        assert r.base_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in spans) for k in range(3))
+        assert set(filter(None, said.split(","))) <= set(r.spans.split(","))
+
+
+def checked(prefix, body):
+    crc, digits = zlib.crc32(body.encode()), ""
+    for _ in range(6):
+        crc, d = divmod(crc, 62)
+        digits = secret_scan._BASE62[d] + digits
+    return prefix + body + digits
+
+
+def kinds(text):
+    return [secret_scan.KINDS[k] for k, *_ in SCANNER.spans(text) if k > 2]
+
+
+def test_added_kinds_and_their_checks():
+    good = checked("ghp_", "A1b2C3d4E5f6G7h8I9j0K1l2M3n4O5")
+    assert kinds(f"é {good}.") == ["github"] and kinds(good[:-1] + "?") == kinds(good[:-6] + "000000") == kinds("x" + good) == []
+    assert kinds(checked("npm_", "z" * 30)) == ["npm"]
+    part = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).rstrip(b"=").decode()
+    assert kinds(f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln") == ["jwt"]
+    assert kinds(f"{part({'no': 'HS256'})}.{part({'sub': 1})}.c2ln") == kinds("eyJxx.eyJyy.zz") == []
+    key = base64.b64encode(bytes(64)).decode()
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----") == ["pem"]
+    assert kinds("-----BEGIN PRIVATE KEY-----\n!!\n-----END PRIVATE KEY-----") == []
+    assert kinds("xoxb-12-ab AIza" + "x" * 35 + " sk_live_" + "a" * 24) == ["slack", "google", "stripe"]
+
+
+def test_awkward_rows(spark, shipped):  # noqa: F811
+    got = secret_scan.scan(documents(spark)).collect()
+    assert len(got) == len(AWKWARD) and all(r.spans == ",".join(filter(None, [r.spans])) for r in got)
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [(r.base_sha256, r.spans) for r in got if r.doc_id in (1, 2, 3)] == [(empty, "")] * 3
+    assert secret_scan.scan(documents(spark, [])).count() == 0
