@@ -43,7 +43,12 @@ def day_start(ts: Column | str) -> Column:
 
 
 def day_date(ts: Column | str) -> Column:
-    return F.to_date(col(ts))
+    return F.date_from_unix_date(F.floor(F.unix_micros(col(ts)) / F.lit(DAY_US)).cast("int"))
+
+
+def no_zone(ts: Column | str) -> Column:
+    """The UTC wall clock, as a timestamp without time zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), col(ts).cast("timestamp_ntz"))
 
 
 def hour_of(ts: Column | str) -> Column:
@@ -63,7 +68,7 @@ def from_epoch_seconds(sec: Column | str) -> Column:
 
 def rfc3339(ts: Column | str) -> Column:
     """RFC 3339 text at whole seconds, e.g. ``2024-01-15T23:58:39Z``."""
-    return F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    return F.date_format(no_zone(ts), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def to_real(x: Column | str) -> Column:

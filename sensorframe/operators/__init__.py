@@ -8,13 +8,13 @@ from sensorframe.operators.stats import (
     implicit_group, mean, percentiles, row_count, series_agg, sketch_percentiles, spread,
 )
 from sensorframe.operators.timeslice import (
-    bound, earliest, latest, midpoint, relative_slice, time_bounds, time_slice,
+    around_midpoint, bound, earliest, instants, latest, midpoint, relative_slice, time_bounds, time_slice,
 )
 
 __all__ = [
-    "activity_span", "binned_percentiles", "bound", "bucket_agg", "bucket_of", "distinct_count", "distinct_values",
+    "activity_span", "around_midpoint", "binned_percentiles", "bound", "bucket_agg", "bucket_of", "distinct_count", "distinct_values",
     "earliest", "exact_percentiles", "gap_fill", "hour_of_day", "hour_of_day_from_buckets", "implicit_group",
-    "latest", "mean", "midpoint", "percentiles", "relative_slice", "row_count", "series_agg",
+    "instants", "latest", "mean", "midpoint", "percentiles", "relative_slice", "row_count", "series_agg",
     "sketch_percentiles", "spread", "time_bounds", "time_slice", "top_k", "top_k_per_group", "top_rows",
     "top_rows_per_group", "with_dense_id",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorframe.functions import DAY_US, HOUR_US, SECOND_US, floor_to, hour_of
+from sensorframe.functions import DAY_US, HOUR_US, SECOND_US, day_date, floor_to, hour_of
 
 _UNIT_US = {"second": SECOND_US, "minute": 60 * SECOND_US, "hour": HOUR_US, "day": DAY_US}
 
@@ -30,7 +30,7 @@ def bucket_agg(df: DataFrame, every: str, aggs: Sequence[Column], keys: Sequence
     """
     if every == "inf":
         return df.groupBy(*keys).agg(*aggs)
-    bucket = F.to_date(ts) if as_date else bucket_of(every, ts)
+    bucket = day_date(ts) if as_date else bucket_of(every, ts)
     return df.groupBy(*keys, bucket.alias(name)).agg(*aggs)
 
 

@@ -1,9 +1,9 @@
 """Analysis of run logs: load rates, query times, the baseline engine and speedups over it.
 
 ``log`` has one row per loaded chunk (``engine, run, chunk, duration_ms, n_records``), ``qlog`` one
-row per query execution (``engine, run, query_id, duration_ms``), where -1 stands for failed. ``base`` is the
-baseline's name, as a literal or ``baseline(..).scalar()``. ``query_means`` and ``ingest_stats`` are
-used several times by the steps after them; on large logs write them once (``session.materialize``).
+row per query execution (``engine, run, query_id, duration_ms[, description]``), where -1 stands for failed.
+``base`` is the baseline's name, as a literal or ``baseline(..).scalar()``. ``query_means`` and ``ingest_stats``
+are used several times by the steps after them; on large logs persist them.
 """
 
 from __future__ import annotations
@@ -60,9 +60,13 @@ def ingest_stats(log: DataFrame) -> DataFrame:
 
 
 def query_means(qlog: DataFrame) -> DataFrame:
-    """``engine, query_id, avg_ms``: mean over the runs that succeeded; -1 where none did."""
+    """``engine, query_id, avg_ms``: mean over the runs that succeeded; -1 where none did.
+
+    A ``description`` of the queries is carried along.
+    """
     ok = F.when(F.col("duration_ms") >= 0, F.col("duration_ms"))
-    return qlog.groupBy("engine", "query_id").agg(F.coalesce(F.avg(ok), F.lit(-1.0)).alias("avg_ms"))
+    described = [F.max("description").alias("description")] if "description" in qlog.columns else []
+    return qlog.groupBy("engine", "query_id").agg(F.coalesce(F.avg(ok), F.lit(-1.0)).alias("avg_ms"), *described)
 
 
 def baseline(means: DataFrame, stats: DataFrame) -> DataFrame:
@@ -112,29 +116,59 @@ def speedup_summary(means: DataFrame, stats: DataFrame, base: Column) -> DataFra
     A query an engine failed or never ran counts as 0 in the median, and not in the other columns.
     The baseline is 1, with the number of queries it completed.
     """
-    suite = means.agg(F.array_sort(F.collect_set("query_id"))).scalar()  # the ids of the suite's queries
-    grid = stats.select("engine", F.explode(suite).alias("query_id"))
-    scored = grid.join(_all_ratios(means, base), ["engine", "query_id"], "left").join(
-        means.select("engine", "query_id", (F.col("avg_ms") >= 0).alias("done")), ["engine", "query_id"], "left")
+    n_suite = means.agg(F.count_distinct("query_id")).scalar()
+    by_speed = Window.partitionBy("engine").orderBy("speedup")
+    # ranks among all queries of the suite: those without a speedup come first, as zeros
+    ranked = _all_ratios(means, base).filter("speedup IS NOT NULL").select(
+        "engine", "speedup", n_suite.alias("n_suite"),
+        (F.row_number().over(by_speed) + n_suite - F.count("*").over(Window.partitionBy("engine"))).alias("rank"))
+    half = [F.floor((F.col("n_suite") + k) / 2) for k in (1, 2)]
+    at = [F.coalesce(F.max(F.when(F.col("rank") == h, F.col("speedup"))), F.lit(0.0)) for h in half]
+    scored = ranked.groupBy("engine").agg(
+        ((at[0] + at[1]) / 2).alias("median"), F.min("speedup").alias("min"), F.max("speedup").alias("max"), F.count("*").alias("n"))
+    done = means.filter((F.col("engine") == base) & (F.col("avg_ms") >= 0)).agg(F.count("*")).scalar()
     is_base = F.col("engine") == base
-    positive = F.when(F.col("speedup") > 0, F.col("speedup"))
-    return scored.groupBy("engine").agg(
-        F.when(is_base, 1.0).otherwise(F.median(F.coalesce("speedup", F.lit(0.0)))).alias("median"),
-        F.when(is_base, 1.0).otherwise(F.coalesce(F.min(positive), F.lit(0.0))).alias("min"),
-        F.when(is_base, 1.0).otherwise(F.coalesce(F.max(positive), F.lit(0.0))).alias("max"),
-        F.when(is_base, F.count_if("done")).otherwise(F.count(positive)).alias("n"),
+    return stats.select("engine").join(scored, "engine", "left").select(
+        "engine",
+        *[F.when(is_base, 1.0).otherwise(F.coalesce(c, F.lit(0.0))).alias(c) for c in ("median", "min", "max")],
+        F.when(is_base, done).otherwise(F.coalesce("n", F.lit(0))).alias("n"),
     )
 
 
-def pivot_times(means: DataFrame, engines: Sequence[str]) -> DataFrame:
-    """``query_id`` and one column of mean times per engine; -1 where an engine has none."""
-    wide = means.groupBy("query_id").pivot("engine", list(engines)).agg(F.first("avg_ms"))
-    return wide.fillna(-1.0, list(engines))
+#: A pivot has a column for each engine; a log with more engines than this is better left long.
+MAX_ENGINES = 1000
+
+
+def _engines(means: DataFrame, engines: Sequence[str] | None) -> list[str]:
+    """The engines of the log, by name. A given list must hold all of them, and may hold more."""
+    found = [r[0] for r in means.select("engine").distinct().orderBy("engine").limit(MAX_ENGINES + 1).collect()]
+    if len(found) > MAX_ENGINES:
+        raise ValueError(f"more than {MAX_ENGINES} engines")
+    if engines is None:
+        return found
+    if missing := sorted(set(found) - set(engines)):
+        raise ValueError(f"engines outside the given list: {missing}")
+    return list(engines)
+
+
+def _wide(rows: DataFrame, means: DataFrame, value: str, engines: list[str]) -> DataFrame:
+    """``query_id[, description]`` and a column per engine."""
+    wide = rows.groupBy("query_id").pivot("engine", engines).agg(F.first(value)) if engines else rows.select("query_id").distinct()
+    if "description" not in means.columns:
+        return wide
+    described = means.groupBy("query_id").agg(F.max("description").alias("description"))
+    return described.join(wide, "query_id").select("query_id", "description", *[F.col(f"`{e}`") for e in engines])
+
+
+def pivot_times(means: DataFrame, engines: Sequence[str] | None = None) -> DataFrame:
+    """``query_id[, description]`` and one column of mean times per engine of the log; -1 where an engine has none."""
+    names = _engines(means, engines)
+    return _wide(means, means, "avg_ms", names).fillna(-1.0, names)
 
 
-def pivot_speedups(means: DataFrame, base: Column, engines: Sequence[str]) -> DataFrame:
-    """``query_id`` and one column of speedups per engine; 1 for the baseline, null where there is none."""
-    return _all_ratios(means, base).groupBy("query_id").pivot("engine", list(engines)).agg(F.first("speedup"))
+def pivot_speedups(means: DataFrame, base: Column, engines: Sequence[str] | None = None) -> DataFrame:
+    """``query_id[, description]`` and one column of speedups per engine; 1 for the baseline, null where there is none."""
+    return _wide(_all_ratios(means, base), means, "speedup", _engines(means, engines))
 
 
 def best(stats: DataFrame, means: DataFrame, base: Column) -> DataFrame:

@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.functions import midpoint_of, shift
+from sensorframe.functions import DAY_US, HOUR_US, midpoint_of, shift
 
-#: Width of one time partition of the ``time`` table layout, in hours.
+#: Width of one time partition of the ``time`` table layout, in hours, and the column the layout goes by.
 PART_HOURS = 4
+LAYOUT_TS = "ts"
 
+#: Where a table derives ``ts`` by cutting instants to seconds, the instants themselves. File statistics know
+#: these only, so bounds of ``ts`` are put on them too.
+UNCUT_TS = "_uncut_ts"
 
-def _has_time_layout(df: DataFrame) -> bool:
-    return {"event_date", "part_hour"} <= set(df.columns)
+
+def _has_time_layout(df: DataFrame, ts: str) -> bool:
+    return ts == LAYOUT_TS and {"event_date", "part_hour"} <= set(df.columns)
 
 
 def _part_number() -> Column:
@@ -26,7 +31,7 @@ def time_bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
     On a table in the ``time`` layout only the first and the last partition are read: which ones
     these are follows from partition values and file footers.
     """
-    if _has_time_layout(df):
+    if _has_time_layout(df, ts):
         edges = df.agg(F.min(_part_number()).alias("first"), F.max(_part_number()).alias("last"))
         first, last = edges.select("first").scalar(), edges.select("last").scalar()
         df = df.filter((_part_number() == first) | (_part_number() == last))
@@ -57,17 +62,41 @@ def midpoint(df: DataFrame, ts: str = "ts", plus_hours: int = 0) -> Column:
     return bound(df, shift(mid, plus_hours) if plus_hours else mid, ts)
 
 
+def instants(df: DataFrame, *exprs: Column, ts: str = "ts") -> list[Column]:
+    """Values computed from ``min_ts`` and ``max_ts`` of the table, as literals.
+
+    Runs one aggregate at once. For a slice with two bounds: Spark merges the subqueries of two bounds of one
+    table into one, and then neither reaches the file statistics, whereas literals do.
+    """
+    row = time_bounds(df, ts).select(*[F.unix_micros(e).alias(f"_{k}") for k, e in enumerate(exprs)]).first()
+    return [F.lit(None).cast("timestamp") if us is None else F.timestamp_micros(F.lit(us)) for us in row]
+
+
+def around_midpoint(df: DataFrame, *hours: int, ts: str = "ts") -> list[Column]:
+    """The instants so many hours after the middle of the table's time range, as literals."""
+    mid = midpoint_of("min_ts", "max_ts")
+    return instants(df, *[shift(mid, h) if h else mid for h in hours], ts=ts)
+
+
 def part_hour(ts: Column) -> Column:
     """First hour of the time partition a timestamp falls in (0, 4, .. 20)."""
-    return (F.hour(ts) - F.hour(ts) % PART_HOURS).cast("int")
+    hour = F.floor(F.pmod(F.unix_micros(ts), F.lit(DAY_US)) / F.lit(HOUR_US))
+    return (hour - hour % PART_HOURS).cast("int")
 
 
 def _part_of(ts: Column) -> Column:
-    return F.unix_date(F.to_date(ts)) * 24 + part_hour(ts)
+    """The number of the partition an instant falls in."""
+    return F.floor(F.unix_micros(ts) / F.lit(PART_HOURS * HOUR_US)) * PART_HOURS
 
 
 def _within(df: DataFrame, lo: Column | None, hi: Column | None, closed: str, ts: str) -> DataFrame:
     t = F.col(ts)
+    if ts == LAYOUT_TS and UNCUT_TS in df.columns:
+        # implied by the bounds of ts, which is at most a second less
+        if lo is not None:
+            df = df.filter(F.col(UNCUT_TS) >= lo)
+        if hi is not None:
+            df = df.filter(F.col(UNCUT_TS) < shift(hi, 1, "SECOND"))
     if lo is not None:
         df = df.filter(t > lo if closed == "none" else t >= lo)
     if hi is not None:
@@ -87,7 +116,7 @@ def time_slice(df: DataFrame, lo: Column | None = None, hi: Column | None = None
     """
     if closed not in ("both", "left", "none"):
         raise ValueError(f"closed must be both, left or none, not {closed!r}")
-    if not _has_time_layout(df) or (lo is None and hi is None):
+    if not _has_time_layout(df, ts) or (lo is None and hi is None):
         return _within(df, lo, hi, closed, ts)
     part, inner, outer = _part_number(), F.lit(True), F.lit(False)
     if lo is not None:
@@ -105,5 +134,6 @@ def relative_slice(df: DataFrame, back: str, as_of: Column | None = None, ts: st
     """
     span = F.expr(f"INTERVAL {back}")
     if as_of is None:
-        return time_slice(df, bound(df, F.col("max_ts") - span, ts), latest(df, ts), "left", ts)
+        lo, hi = instants(df, F.col("max_ts") - span, F.col("max_ts"), ts=ts)
+        return time_slice(df, lo, hi, "left", ts)
     return time_slice(df, as_of - span, as_of, "left", ts)

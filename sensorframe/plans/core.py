@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions import n_rows
 from sensorframe.operators import (
-    activity_span, bucket_agg, distinct_count, earliest, hour_of_day, latest, mean, midpoint,
+    activity_span, around_midpoint, bucket_agg, distinct_count, hour_of_day, mean,
     percentiles, row_count, time_bounds, time_slice, top_k, top_rows,
 )
 from sensorframe.plans.tables import user_events
@@ -32,19 +32,21 @@ def q04_avg_rssi(ue: DataFrame) -> DataFrame:
 
 
 def q05_before_mid(ue: DataFrame) -> DataFrame:
-    return row_count(time_slice(ue, hi=midpoint(ue), closed="none"))
+    (mid,) = around_midpoint(ue, 0)
+    return row_count(time_slice(ue, hi=mid, closed="none"))
 
 
 def q06_after_mid(ue: DataFrame) -> DataFrame:
-    return row_count(time_slice(ue, lo=midpoint(ue), closed="none"))
+    (mid,) = around_midpoint(ue, 0)
+    return row_count(time_slice(ue, lo=mid, closed="none"))
 
 
 def q07_around_mid(ue: DataFrame) -> DataFrame:
-    return row_count(time_slice(ue, midpoint(ue, plus_hours=-1), midpoint(ue, plus_hours=1)))
+    return row_count(time_slice(ue, *around_midpoint(ue, -1, 1)))
 
 
 def q08_hourly_24h(ue: DataFrame) -> DataFrame:
-    day = time_slice(ue, midpoint(ue), midpoint(ue, plus_hours=24))
+    day = time_slice(ue, *around_midpoint(ue, 0, 24))
     return bucket_agg(day, "1 hour", [n_rows()], name="hour").orderBy("hour")
 
 
@@ -75,11 +77,14 @@ def q14_rssi_percentiles(ue: DataFrame) -> DataFrame:
 
 
 def q15_first_half(ue: DataFrame) -> DataFrame:
-    return row_count(time_slice(ue, earliest(ue), midpoint(ue)))
+    """From the earliest row, which no row precedes, to the midpoint."""
+    (mid,) = around_midpoint(ue, 0)
+    return row_count(time_slice(ue, hi=mid))
 
 
 def q16_second_half(ue: DataFrame) -> DataFrame:
-    return row_count(time_slice(ue, midpoint(ue), latest(ue)))
+    (mid,) = around_midpoint(ue, 0)
+    return row_count(time_slice(ue, lo=mid))
 
 
 def q17_hour_of_day(ue: DataFrame) -> DataFrame:
@@ -109,7 +114,7 @@ QUESTIONS = (
 
 def _on_events(question):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return question(user_events(spark, sf_dir))
+        return question(user_events(spark, sf_dir, uncut=True))
     return run
 
 

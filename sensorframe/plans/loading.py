@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions import n_rows
-from sensorframe.operators import bucket_agg, midpoint, time_slice, with_dense_id
+from sensorframe.functions import day_date, n_rows
+from sensorframe.operators import around_midpoint, bucket_agg, time_slice, with_dense_id
 from sensorframe.plans.tables import EVENTS, chunked_events, staged_by_time, staged_readings, user_events
-from sensorframe.session import ensure_utc, scratch_dir
+from sensorframe.session import scratch_dir
 from sensorframe.sources import (
-    chunk_files, chunk_progress, read_events, read_readings, scan_readings, to_points, upsert_points, write_events,
+    chunk_files, chunk_progress, read_events, read_readings, to_points, upsert_points, write_events,
+)
+from sensorframe.streaming import (
+    latest_buckets, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress,
 )
-from sensorframe.streaming import latest_buckets, load_available, run_bucket_agg, stream_bucket_agg, stream_readings
 
 
 def ingest_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,12 +26,22 @@ def ingest_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk files loaded into a table as a stream."""
-    table = scratch_dir(spark, "streamed")
-    readings = stream_readings(spark, staged_readings(spark, sf_dir))
-    load_available(readings, table, scratch_dir(spark, "streamed-checkpoint")).awaitTermination()
-    schema = "chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING"
-    return spark.read.schema(schema).parquet(table)
+    """Chunk files loaded into a table as a stream, at most eight in a step."""
+    table, _ = _streamed(spark, sf_dir)
+    return spark.read.schema("chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING").parquet(table).drop("step")
+
+
+def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the steps of the stream report, as running totals by chunk number."""
+    _, progress = _streamed(spark, sf_dir)
+    return stream_progress(spark, staged_readings(spark, sf_dir), progress)
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    table, progress = scratch_dir(spark, "streamed"), scratch_dir(spark, "streamed-progress")
+    scanned = scan_stream(spark, staged_readings(spark, sf_dir), files_per_trigger=8)
+    load_with_progress(scanned, table, progress, scratch_dir(spark, "streamed-checkpoint")).awaitTermination()
+    return table, progress
 
 
 def ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +54,13 @@ def ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunk_progress(scan_readings(spark, staged_readings(spark, sf_dir)))
+    return chunk_progress(spark, staged_readings(spark, sf_dir))
 
 
 def surrogate_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dense ids over 12 interleaved chunks."""
     rows = user_events(spark, sf_dir).select(
-        (F.dayofmonth("ts") % 12).alias("chunk"), F.col("id").alias("pos"), "user_id", "ts")
+        (F.dayofmonth(day_date("ts")) % 12).alias("chunk"), F.col("id").alias("pos"), "user_id", "ts")
     return with_dense_id(rows)
 
 
@@ -60,7 +72,7 @@ def layout_time_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def layout_pruned_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 24 hours after the midpoint, read from the partitions they lie in."""
     stored = read_events(spark, staged_by_time(spark, sf_dir), "time")
-    day = time_slice(stored, midpoint(stored), midpoint(stored, plus_hours=24))
+    day = time_slice(stored, *around_midpoint(stored, 0, 24))
     return bucket_agg(day, "1 hour", [n_rows()], name="hour").orderBy("hour")
 
 
@@ -83,21 +95,21 @@ def points_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last write per user, access point and day; whole days make copies frequent."""
-    daily = user_events(spark, sf_dir).select("id", "user_id", "ssid", F.to_date("ts").alias("day"), "rssi")
+    daily = user_events(spark, sf_dir).select("id", "user_id", "ssid", day_date("ts").alias("day"), "rssi")
     return upsert_points(daily, ["user_id", "ssid", "day"])
 
 
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the whole table, computed as a stream."""
     # as a pattern, the path may be one file or a folder of files
-    stream = ensure_utc(spark).readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
+    stream = spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]")
     updates = scratch_dir(spark, "hourly")
     run_bucket_agg(stream_bucket_agg(stream, "1 hour"), updates, scratch_dir(spark, "hourly-checkpoint"))
     return latest_buckets(spark, updates)
 
 
 QUERIES = {q.__name__: q for q in (
-    ingest_readings, ingest_chunk_order, ingest_stream, ingest_append, ingest_progress, surrogate_id,
+    ingest_readings, ingest_chunk_order, ingest_stream, ingest_stream_progress, ingest_append, ingest_progress, surrogate_id,
     layout_time_partition, layout_pruned_slice, layout_shards, layout_sorted, points_long, points_upsert,
     stream_hourly,
 )}

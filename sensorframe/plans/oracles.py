@@ -9,11 +9,12 @@ EVENT_TABLE = """user_events AS (
 BOUNDS = """b AS (
   SELECT min(ts) AS lo, max(ts) AS hi, min(ts) + (max(ts) - min(ts)) / 2 AS mid FROM user_events)"""
 
-# number of rows per staged chunk, as in the staging step: 13 chunks of 500 to 500,000 rows
+# chunks of 700 rows in order of id, whatever the ids are
 CHUNKS = """chunked AS (
-  SELECT *, CAST(id // (SELECT CAST(greatest(500, least(500000, ceil((max(id) + 1) / 13.0))) AS BIGINT) FROM user_events)
-                 AS INTEGER) AS chunk
-  FROM user_events)"""
+  SELECT *, CAST((row_number() OVER (ORDER BY id) - 1) // 700 AS INTEGER) AS chunk FROM user_events),
+  staged AS (SELECT chunk, count(*) AS n, 0 AS rejected FROM chunked GROUP BY 1
+    UNION ALL SELECT max(chunk) + 1, 0, 0 FROM chunked  -- staged without readings
+    UNION ALL SELECT max(chunk) + 2, 0, 1 FROM chunked)"""
 
 INGEST_LOG = """ingest_log AS (
   SELECT engine, run, chunk, duration_ms,
@@ -100,9 +101,9 @@ def _daily(expr, name, day="CAST(ts AS DATE)"):
 
 
 _HOURLY_24H = "FROM user_events, b WHERE ts BETWEEN mid AND mid + INTERVAL 24 HOUR GROUP BY 1 ORDER BY 1"
-_ENGINES = ("click", "error", "purchase", "signup", "view")
-_TIMES = ", ".join(f"round(coalesce(max(CASE WHEN engine = '{e}' THEN avg_ms END), -1), 6) AS \"{e}\"" for e in _ENGINES)
-_RATIOS = ", ".join(f"round(max(CASE WHEN engine = '{e}' THEN speedup END), 6) AS \"{e}\"" for e in _ENGINES)
+# a column for every engine there is, found by the engine that runs this
+_PIVOTED = """SELECT query_id, concat('Query ', query_id) AS description, {} FROM (
+  PIVOT (SELECT query_id, engine, round({}, 6) AS v FROM {}) ON engine USING first(v) GROUP BY query_id)"""
 # bins of 1/40000 of the 64th root; all signal values are negative
 _ROOT = "sqrt(sqrt(sqrt(sqrt(sqrt(sqrt(-CAST(rssi AS DOUBLE)))))))"
 _BINNED = f""", v AS (SELECT CAST(floor(-{_ROOT} * 40000) AS BIGINT) AS bin, row_number() OVER (ORDER BY rssi) - 1 AS r,
@@ -175,12 +176,15 @@ ORACLES = {
     "v_daily_stddev": _daily("stddev_samp(rssi)", "rssi_stddev"),
     "v_var_pop": _daily("var_pop(rssi)", "rssi_var_pop"),
     "v_pctl_approx": _with([EVENT_TABLE], _BINNED),
+    "v_pctl_sketch": "SELECT * FROM (VALUES ('q1', true), ('median', true), ('q3', true)) t(quartile, rank_ok)",
     "v_two_stage_sum": _ue("""
       SELECT CAST(extract(hour FROM h) AS BIGINT) AS hour, CAST(sum(n) AS BIGINT) AS n
       FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM user_events GROUP BY 1) t GROUP BY 1 ORDER BY 1"""),
     "v_bucket_day_ts": _daily("var_samp(rssi)", "rssi_variance", "date_trunc('day', ts)"),
     "variant_no_zone": _ue("SELECT user_id, ts, rssi, ssid FROM user_events"),
-    "variant_whole_seconds": _ue("SELECT id, user_id, date_trunc('second', ts) AS ts, rssi, ssid FROM user_events"),
+    "variant_whole_seconds": """
+      SELECT event_id AS id, concat('simuser-', CAST(user_id AS VARCHAR)) AS user_id, date_trunc('second', ts) AS ts,
+             CAST(-20.0 - value AS FLOAT) AS rssi, concat('AP-', regexp_extract(props, '([0-9]+)', 1)) AS ssid FROM events""",
     "variant_wide_signal": _ue("SELECT user_id, ts, CAST(rssi AS DOUBLE) AS rssi, ssid FROM user_events"),
     "scalar_functions": """
       SELECT event_id AS id, ts + (ts + INTERVAL 1 SECOND - ts) / 2 AS mid_ts, ts - INTERVAL 1 HOUR AS hour_before,
@@ -194,12 +198,15 @@ ORACLES = {
 
     "ingest_readings": _ue("SELECT user_id, ts, rssi, ssid FROM user_events"),
     "ingest_chunk_order": _with([EVENT_TABLE, CHUNKS],
-        "SELECT DISTINCT chunk, CAST(chunk + 1 AS BIGINT) AS ordinal FROM chunked"),
+        "SELECT chunk, CAST(chunk + 1 AS BIGINT) AS ordinal FROM staged"),
     "ingest_stream": _with([EVENT_TABLE, CHUNKS], "SELECT chunk, user_id, ts, rssi, ssid FROM chunked"),
+    "ingest_stream_progress": _with([EVENT_TABLE, CHUNKS], """
+      SELECT chunk, n, CAST(rejected AS BIGINT) AS rejected, CAST(sum(n) OVER (ORDER BY chunk) AS BIGINT) AS n_records
+      FROM staged"""),
     "ingest_append": _ue("SELECT id, user_id, ts, rssi, ssid FROM user_events"),
     "ingest_progress": _with([EVENT_TABLE, CHUNKS], """
-      SELECT chunk, n, CAST(0 AS BIGINT) AS rejected, CAST(sum(n) OVER (ORDER BY chunk) AS BIGINT) AS n_records
-      FROM (SELECT chunk, count(*) AS n FROM chunked GROUP BY 1) t"""),
+      SELECT chunk, n, CAST(rejected AS BIGINT) AS rejected, CAST(sum(n) OVER (ORDER BY chunk) AS BIGINT) AS n_records
+      FROM staged"""),
     "surrogate_id": _ue("""
       SELECT chunk, pos, user_id, ts, row_number() OVER (ORDER BY chunk, pos) AS id
       FROM (SELECT CAST(extract(day FROM ts) AS INTEGER) % 12 AS chunk, id AS pos, user_id, ts FROM user_events) t"""),
@@ -220,14 +227,14 @@ ORACLES = {
     "stream_hourly": "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1",
 
     "runlog_scan": _with([INGEST_LOG, RUN_LOG], """
-      SELECT engine, concat(engine, '_', CAST(run AS VARCHAR)) AS run, 'ingest' AS kind,
+      SELECT engine, CAST(run AS VARCHAR) AS run, 'ingest' AS kind,
              CAST(row_number() OVER (PARTITION BY engine, run ORDER BY chunk) - 1 AS INTEGER) AS item, duration_ms, n_records
       FROM ingest_log
       UNION ALL
-      SELECT engine, concat(engine, '_', CAST(run AS VARCHAR)), 'query', query_id, max(duration_ms), NULL
+      SELECT engine, CAST(run AS VARCHAR), 'query', query_id, max(duration_ms), NULL
       FROM run_log GROUP BY engine, run, query_id"""),
     "runlog_write": _with([INGEST_LOG, RUN_LOG], """
-      SELECT engine, n_chunks, n_queries, n_records
+      SELECT engine, CAST(run AS VARCHAR) AS run, n_chunks, n_queries, n_records
       FROM (SELECT engine, run, CAST(count(*) AS INTEGER) AS n_chunks, max(n_records) AS n_records
             FROM ingest_log GROUP BY 1, 2) i
       JOIN (SELECT engine, run, CAST(count(DISTINCT query_id) AS INTEGER) AS n_queries FROM run_log GROUP BY 1, 2) q
@@ -246,13 +253,12 @@ ORACLES = {
       FROM ingest_speedups"""),
     "r_speedup_summary": _with([*LOG_PARTS, SPEEDUPS, SUMMARY],
         "SELECT engine, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, n FROM summary"),
-    "r_pivot_times": _with([RUN_LOG, MEANS], f"SELECT query_id, {_TIMES} FROM means GROUP BY query_id"),
-    "r_pivot_speedups": _with([*LOG_PARTS, SPEEDUPS], f"""
-      SELECT query_id, {_RATIOS} FROM (
+    "r_pivot_times": _with([RUN_LOG, MEANS], _PIVOTED.format("coalesce(COLUMNS(* EXCLUDE query_id), -1)", "avg_ms", "means")),
+    "r_pivot_speedups": _with([*LOG_PARTS, SPEEDUPS, """ratios AS (
         SELECT engine, query_id, speedup FROM speedups
         UNION ALL SELECT engine, query_id, CASE WHEN engine = (SELECT engine FROM base) THEN 1.0::DOUBLE END FROM means
-          WHERE engine = (SELECT engine FROM base) OR (engine, query_id) NOT IN (SELECT engine, query_id FROM speedups)) t
-      GROUP BY query_id"""),
+          WHERE engine = (SELECT engine FROM base) OR (engine, query_id) NOT IN (SELECT engine, query_id FROM speedups))"""],
+        _PIVOTED.format("COLUMNS(* EXCLUDE query_id)", "speedup", "ratios")),
     "r_best": _with([*LOG_PARTS, SPEEDUPS, INGEST_SPEEDUPS, SUMMARY], """
       SELECT 'ingest' AS metric, engine, round(duration_speedup, 6) AS speedup FROM (
         SELECT *, row_number() OVER (ORDER BY duration_speedup DESC, engine) AS r FROM ingest_speedups

@@ -5,43 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorframe.functions import SECOND_US, floor_to
-from sensorframe.session import ensure_utc, scratch_dir
+from sensorframe.functions import SECOND_US, day_date, floor_to
+from sensorframe.operators.timeslice import UNCUT_TS
+from sensorframe.session import scratch_dir, stamp
 from sensorframe.sources import build_runlogs, write_events, write_runlogs
 
 EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
-#: The values of ``event_type``, which stand for the engines of a run log.
-ENGINES = ("click", "error", "purchase", "signup", "view")
-
-#: Chunk documents of the staged readings hold between these numbers of rows.
-MIN_CHUNK_ROWS, MAX_CHUNK_ROWS = 500, 500_000
+#: Rows of a chunk document of the staged readings; the last one may have fewer.
+CHUNK_ROWS = 700
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ensure_utc(spark).read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    return spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
 
 
 def event_columns(e: DataFrame) -> DataFrame:
-    """``events`` in the columns of the event table."""
+    """``events`` in the columns of the event table, and the instants before they are cut to seconds."""
     return e.select(
         F.col("event_id").alias("id"),
         F.concat(F.lit("simuser-"), F.col("user_id").cast("string")).alias("user_id"),
         floor_to("ts", SECOND_US).alias("ts"),
         (F.lit(-20.0) - F.col("value")).cast("float").alias("rssi"),
         F.concat(F.lit("AP-"), F.regexp_extract("props", "([0-9]+)", 1)).alias("ssid"),
+        F.col("ts").alias(UNCUT_TS),
     )
 
 
-def user_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_columns(events(spark, sf_dir))
+def user_events(spark: SparkSession, sf_dir: str, uncut: bool = False) -> DataFrame:
+    """The event table; ``uncut`` keeps the uncut instants, so that slices are pushed into the scan."""
+    table = event_columns(events(spark, sf_dir))
+    return table if uncut else table.drop(UNCUT_TS)
 
 
 def ingest_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A load log: one chunk per engine, run and day, with the running counter a loader writes."""
     parts = events(spark, sf_dir).groupBy(
         F.col("event_type").alias("engine"), (F.col("event_id") % 5).alias("run"),
-        (F.dayofmonth("ts") - 1).alias("chunk"),
+        (F.dayofmonth(day_date("ts")) - 1).alias("chunk"),
     ).agg(F.floor(F.sum("value")).alias("duration_ms"), F.count("*").alias("n"))
     return parts.selectExpr(
         "engine", "run", "chunk", "duration_ms",
@@ -70,22 +71,32 @@ def run_log_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table with the chunk each row is staged in: runs of consecutive ids.
+    """The event table with the chunk each row is staged in: ``CHUNK_ROWS`` consecutive rows in order of id.
 
-    There are 13 chunks, so that their numeric order differs from the order of names, and more
-    once chunks would grow beyond ``MAX_CHUNK_ROWS``.
+    Rows are numbered inside ranges of the id, shifted by the rows of earlier ranges. The ranges are written
+    first, because drawing them again could draw them elsewhere.
     """
-    ue = user_events(spark, sf_dir)
-    size = ue.agg(F.greatest(
-        F.lit(MIN_CHUNK_ROWS), F.least(F.lit(MAX_CHUNK_ROWS), F.ceil((F.max("id") + 1) / 13))).alias("size")).scalar()
-    return ue.withColumn("chunk", F.floor(F.col("id") / size).cast("int"))
+    def write(path: str) -> None:
+        user_events(spark, sf_dir).repartitionByRange("id").withColumn("range", F.spark_partition_id()).write.parquet(path)
+
+    rows = spark.read.parquet(_stage_once(spark, sf_dir, "by-id", write))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("id"))
+    numbered = rows.withColumn("at", inside).join(F.broadcast(starts), "range")  # a row for each task of the scan
+    return numbered.withColumn("chunk", F.floor((F.col("start") + F.col("at") - 1) / CHUNK_ROWS).cast("int")).drop("range", "at", "start")
+
+
+_staged: dict[tuple, str] = {}
 
 
-_staged: dict[tuple[str, str, str], str] = {}
+def once_key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
+    """What is derived from a session's input, until the input is rewritten."""
+    return spark.sparkContext.applicationId, sf_dir, what, stamp(spark, f"{sf_dir}/events.parquet")
 
 
 def _stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir, what)
+    key = once_key(spark, sf_dir, what)
     if key not in _staged:
         path = scratch_dir(spark, what)
         write(path)
@@ -94,7 +105,7 @@ def _stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
 
 
 def staged_readings(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the event table as chunk files, written once per session and input.
+    """Folder with the event table as chunk files, written once per session and state of the input.
 
     Even chunks are objects with a ``response`` list, odd ones bare arrays. Every reading is a line
     of its document, with the brackets and commas around it, so that a document is written row by
@@ -113,6 +124,11 @@ def staged_readings(spark: SparkSession, sf_dir: str) -> str:
         closing = F.when(is_last, F.when(F.col("is_object"), "]}").otherwise("]")).otherwise(",")
         # the window leaves the rows ordered by file and id, and the writer keeps that order
         rows.select(F.concat(opening, "reading", closing).alias("value"), "file").write.partitionBy("file").text(path)
+        # after the last chunk one without readings, and one with a reading that holds nothing
+        chunked_events(spark, sf_dir).agg((F.coalesce(F.max("chunk"), F.lit(-1)) + 1).alias("n")).select(F.inline(F.array(*[
+            F.struct(F.lit(text).alias("value"), F.concat(F.lit("readings_"), (F.col("n") + k).cast("string"), F.lit(".json")).alias("file"))
+            for k, text in enumerate(['{"response": []}', "[{}]"])
+        ]))).write.mode("append").partitionBy("file").text(path)
 
     return _stage_once(spark, sf_dir, "readings", write)
 

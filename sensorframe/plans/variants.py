@@ -10,11 +10,12 @@ from sensorframe.functions import (
     rfc3339, shift, to_real,
 )
 from sensorframe.operators import (
-    bucket_agg, distinct_values, gap_fill, hour_of_day_from_buckets, implicit_group, latest, midpoint,
+    around_midpoint, bucket_agg, distinct_values, gap_fill, hour_of_day_from_buckets, implicit_group, instants,
     percentiles, relative_slice, row_count, series_agg, spread, time_slice, top_k_per_group, top_rows, top_rows_per_group,
 )
+from sensorframe.operators.timeslice import UNCUT_TS
 from sensorframe.plans.core import QUARTILES
-from sensorframe.plans.tables import events, user_events
+from sensorframe.plans.tables import event_columns, events, user_events
 from sensorframe.sources import as_variant
 
 SERIES = ["user_id", "ssid"]
@@ -22,8 +23,8 @@ SERIES = ["user_id", "ssid"]
 
 def v_sample_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly samples after the midpoint, cut off after 24 of them."""
-    ue = user_events(spark, sf_dir)
-    day = time_slice(ue, midpoint(ue), midpoint(ue, plus_hours=24))
+    ue = user_events(spark, sf_dir, uncut=True)
+    day = time_slice(ue, *around_midpoint(ue, 0, 24))
     return bucket_agg(day, "1 hour", [n_rows()], name="ts").orderBy("ts").limit(24)
 
 
@@ -40,13 +41,14 @@ def v_subquery_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_range_half_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second half of the range with an exclusive end, so without the last instant."""
-    ue = user_events(spark, sf_dir)
-    return row_count(time_slice(ue, midpoint(ue), latest(ue), "left"))
+    ue = user_events(spark, sf_dir, uncut=True)
+    lo, hi = instants(ue, midpoint_of("min_ts", "max_ts"), F.col("max_ts"))
+    return row_count(time_slice(ue, lo, hi, "left"))
 
 
 def v_range_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last 10 days of the table; "now" is its latest instant."""
-    ue = user_events(spark, sf_dir)
+    ue = user_events(spark, sf_dir, uncut=True)
     return row_count(relative_slice(ue, "10 days"))
 
 
@@ -56,8 +58,8 @@ def v_series_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v_window_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts per series for 24 hours from the midpoint, hours without rows included."""
-    ue = user_events(spark, sf_dir)
-    lo, hi = midpoint(ue), midpoint(ue, plus_hours=24)
+    ue = user_events(spark, sf_dir, uncut=True)
+    lo, hi = around_midpoint(ue, 0, 24)
     hourly = bucket_agg(time_slice(ue, lo, hi, "left"), "1 hour", [n_rows()], SERIES, name="hour")
     return gap_fill(hourly, "1 hour", lo, hi, {"n": 0}, SERIES, name="hour")
 
@@ -102,8 +104,13 @@ def v_pctl_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_pctl_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quartiles with a bounded rank error."""
-    return percentiles(user_events(spark, sf_dir), "rssi", QUARTILES, "sketch")
+    """Whether each sketched quartile has a rank within half a percent of its own: the values differ from run to run."""
+    ue = user_events(spark, sf_dir)
+    found = percentiles(ue, "rssi", QUARTILES, "sketch").first()
+    shares = ue.agg(*[(F.count_if(F.col("rssi") <= found[q]) / F.count("rssi")).alias(q) for q in QUARTILES])
+    return shares.select(F.inline(F.array(*[
+        F.struct(F.lit(q).alias("quartile"), (F.abs(F.col(q) - p) <= 0.005).alias("rank_ok")) for q, p in QUARTILES.items()
+    ])))
 
 
 def v_two_stage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +129,9 @@ def variant_no_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def variant_whole_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_variant(user_events(spark, sf_dir), "whole_seconds")
+    """From instants with fractions of a second, as given."""
+    given = event_columns(events(spark, sf_dir)).withColumn("ts", F.col(UNCUT_TS))
+    return as_variant(given, "whole_seconds")
 
 
 def variant_wide_signal(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ EVENT = T.StructType([
 
 RUN_LOG = T.StructType([
     T.StructField("dbType", T.StringType()),
+    T.StructField("run", T.StringType()),
     T.StructField("ingestion", T.ArrayType(T.StructType([
         T.StructField("durationMs", T.LongType()),
         T.StructField("nRecords", T.LongType()),

@@ -1,4 +1,4 @@
-"""Session settings the engine relies on, and the shared scratch folder."""
+"""The shared scratch folder, and what a session's queries have in common."""
 
 from __future__ import annotations
 
@@ -10,20 +10,47 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_utc(spark: SparkSession) -> SparkSession:
-    """Buckets, day boundaries and epoch conversion are defined in UTC."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
+_scratch: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local test session) is the machine's own temp folder used.
+    Only a local session without that setting uses the machine's own temp folder. On a cluster that
+    would scatter the data over the executors' disks, so the setting is required there.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/sensorframe/{label}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.gettempdir()
+    path = f"{base.rstrip('/')}/sensorframe/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the scratch folders that this session made, and no others; their number.
+
+    Results that still read from them are void afterwards.
+    """
+    made = _scratch.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        at, fs = _file_system(spark, path)
+        fs.delete(at, True)
+    return len(made)
+
+
+def stamp(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of the files of a table: differs once the table has been rewritten."""
+    at, fs = _file_system(spark, path)
+    return tuple((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(at))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorframe.functions import SECOND_US, floor_to
+from sensorframe.functions import SECOND_US, day_date, floor_to, no_zone
 from sensorframe.operators.timeslice import part_hour
 from sensorframe.schema import EVENT
-from sensorframe.session import ensure_utc
 
 _PARTITION_FIELDS = {
     "plain": [],
@@ -32,11 +31,10 @@ def write_events(df: DataFrame, path: str, layout: str = "plain", mode: str = "a
     ``time`` and ``shards`` go through a rebalance: small groups share a task, and a group much
     larger than the rest (a busy hour, or any shard of a large table) is split over many.
     """
-    ensure_utc(df.sparkSession)
     if layout == "plain":
         df.write.mode(mode).parquet(path)
     elif layout == "time":
-        out = df.withColumn("event_date", F.to_date("ts")).withColumn("part_hour", part_hour(F.col("ts")))
+        out = df.withColumn("event_date", day_date("ts")).withColumn("part_hour", part_hour(F.col("ts")))
         out = out.hint("rebalance", "event_date", "part_hour").sortWithinPartitions("event_date", "part_hour", "ts")
         out.write.mode(mode).partitionBy("event_date", "part_hour").parquet(path)
     elif layout == "shards":
@@ -53,7 +51,6 @@ def write_events(df: DataFrame, path: str, layout: str = "plain", mode: str = "a
 
 def read_events(spark: SparkSession, path: str, layout: str = "plain", schema: T.StructType = EVENT) -> DataFrame:
     """Scan an event table with its declared schema and the partition columns of its layout."""
-    ensure_utc(spark)
     return spark.read.schema(T.StructType(schema.fields + _PARTITION_FIELDS[layout])).parquet(path)
 
 
@@ -65,7 +62,7 @@ def as_variant(events: DataFrame, variant: str) -> DataFrame:
     - ``wide_signal``: no id, signal strength as float64.
     """
     if variant == "no_zone":
-        return events.select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "rssi", "ssid")
+        return events.select("user_id", no_zone("ts").alias("ts"), "rssi", "ssid")
     if variant == "whole_seconds":
         return events.select("id", "user_id", floor_to("ts", SECOND_US).alias("ts"), "rssi", "ssid")
     if variant == "wide_signal":

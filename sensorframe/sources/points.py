@@ -21,12 +21,17 @@ def to_points(events: DataFrame, fields: Sequence[str] = ("rssi",), measurement:
 def upsert_points(events: DataFrame, keys: Sequence[str] = ("user_id", "ssid", "ts"), version: str = "id") -> DataFrame:
     """Keep the row with the highest ``version`` among rows of the same series and time.
 
-    An aggregate rather than a ranking window: copies are already reduced to one row per task
-    before the shuffle, so a key with very many copies stays cheap.
+    A null version is the lowest. Of equal versions one whole row is kept, always the same. An aggregate rather
+    than a ranking window: copies are already reduced to one row per task before the shuffle, so a key
+    with very many copies stays cheap.
     """
     rest = [c for c in events.columns if c not in (*keys, version)]
-    last = events.groupBy(*keys).agg(
+    # version and a hash of the row in one number, which a hash aggregate can keep in place
+    number = F.coalesce(F.col(version), F.lit(-(2**63))).cast("decimal(38,0)") * F.lit(2**32).cast("decimal(11,0)")
+    order = number + F.hash(*(rest or keys)).cast("decimal(11,0)")
+    ranked = events.withColumn("_order", order.cast("decimal(38,0)"))
+    last = ranked.groupBy(*keys).agg(
         F.max(version).alias(version),
-        *[F.max_by(c, version).alias(c) for c in rest],
+        *[F.max_by(c, "_order").alias(c) for c in rest],
     )
     return last.select(*events.columns)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions import from_epoch_seconds, to_real
 from sensorframe.schema import CHUNK_FILE
-from sensorframe.session import ensure_utc
 
 CHUNK_NAME = r"readings_(\d+)\.json"
 
@@ -28,11 +27,8 @@ def flatten_chunks(raw: DataFrame, with_pos: bool) -> DataFrame:
     ``pos`` orders the readings of a chunk: the row number of the scan (a bare array gives one row
     per reading) plus the index in the array (an object gives one row per file).
     """
-    bare = F.coalesce(F.col("userId"), F.col("lastUpdatedTime").cast("string"), F.col("connection").cast("string"))
-    items = F.coalesce(
-        F.col("response"),
-        F.when(bare.isNotNull(), F.array(F.struct("userId", "lastUpdatedTime", "connection"))),
-    )
+    # a row without a response list is a reading of a bare array, also if it holds nothing: validation rejects it
+    items = F.coalesce(F.col("response"), F.array(F.struct("userId", "lastUpdatedTime", "connection")))
     chunk = chunk_number(F.col("_metadata.file_path")).alias("chunk")
     if with_pos:
         rows = raw.select(chunk, F.monotonically_increasing_id().alias("_row"), F.posexplode(items).alias("_at", "r"))
@@ -55,7 +51,6 @@ def scan_readings(spark: SparkSession, path: str) -> DataFrame:
     A document cannot be split, so a chunk file is one task; write the result to an event table
     once and query that.
     """
-    ensure_utc(spark)
     return flatten_chunks(json_reader(spark.read).json(path), with_pos=True)
 
 
@@ -69,24 +64,41 @@ def read_readings(spark: SparkSession, path: str) -> DataFrame:
     return scan_readings(spark, path).filter(is_complete())
 
 
-def chunk_files(spark: SparkSession, path: str) -> DataFrame:
+def chunk_files(spark: SparkSession, path: str, complete: bool = True) -> DataFrame:
     """``(chunk, ordinal, file_bytes)`` in load order, without reading the files.
 
-    Chunks are loaded by number, so 10 comes after 9 and not after 1. A complete set has
-    ``ordinal = chunk + 1`` throughout.
+    Chunks are loaded by number, so 10 comes after 9 and not after 1. A gap in the numbers 0, 1, 2, .. is an
+    error, raised while the listing is read, unless ``complete`` is false.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     listed = files.select(chunk_number(F.col("path")).alias("chunk"), F.col("length").alias("file_bytes"))
-    return listed.filter("chunk IS NOT NULL").select(
-        "chunk", F.row_number().over(Window.orderBy("chunk")).cast("bigint").alias("ordinal"), "file_bytes")
+    ordinal = F.row_number().over(Window.orderBy("chunk")).cast("bigint")
+    numbered = listed.filter("chunk IS NOT NULL").select("chunk", ordinal.alias("ordinal"), "file_bytes")
+    if not complete:
+        return numbered
+    missing = F.concat(F.lit("missing chunk file: readings_"), (F.col("ordinal") - 1).cast("string"), F.lit(".json"))
+    checked = F.when(F.col("chunk") == F.col("ordinal") - 1, F.col("chunk")).otherwise(F.raise_error(missing).cast("int"))
+    return numbered.select(checked.alias("chunk"), "ordinal", "file_bytes")
+
+
+#: Counts of loaded and rejected readings of a chunk.
+CHUNK_COUNTS = "chunk INT, n BIGINT, rejected BIGINT"
+
 
+def chunk_counts(scanned: DataFrame) -> DataFrame:
+    return scanned.groupBy("chunk").agg(F.count_if(is_complete()).alias("n"), F.count_if(~is_complete()).alias("rejected"))
 
-def chunk_progress(scanned: DataFrame) -> DataFrame:
-    """``(chunk, n, rejected, n_records)`` per chunk; ``n_records`` is the running total of loaded rows.
+
+def with_running_total(files: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(chunk, n, rejected, n_records)`` of every chunk file, counted or not; ``n_records`` is the running total of ``n``.
 
     Only the per-chunk counts pass through the ordered window.
     """
-    per_chunk = scanned.groupBy("chunk").agg(
-        F.count_if(is_complete()).alias("n"), F.count_if(~is_complete()).alias("rejected"))
     running = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return per_chunk.withColumn("n_records", F.sum("n").over(running))
+    rows = files.select("chunk").join(counts, "chunk", "left").fillna(0, ["n", "rejected"])
+    return rows.select("chunk", "n", "rejected", F.sum("n").over(running).alias("n_records"))
+
+
+def chunk_progress(spark: SparkSession, path: str) -> DataFrame:
+    """``(chunk, n, rejected, n_records)`` of every chunk file under ``path``, those without a reading included."""
+    return with_running_total(chunk_files(spark, path), chunk_counts(scan_readings(spark, path)))

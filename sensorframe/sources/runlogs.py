@@ -8,20 +8,22 @@ from pyspark.sql import functions as F
 from sensorframe.schema import RUN_LOG
 
 
-def _run_name(path: Column) -> Column:
-    """File name without ``.json``; for a table written by ``write_runlogs``, its directory value."""
-    return F.regexp_extract(path, r"([^/=]+?)(?:\.json)?(?:/part-[^/]*)?$", 1)
+def _file_name(path: Column) -> Column:
+    """File name without ``.json``."""
+    return F.regexp_extract(path, r"([^/]+?)(?:\.json)?$", 1)
 
 
 def read_runlogs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``engine, run, ingestion, queries``, one row per document.
 
-    The engine is the document's ``dbType``, or the file name where that is missing; ``run`` is the
-    file name, which identifies the run.
+    The engine is the document's ``dbType``, or the file name where that is missing. The run is the document's
+    ``run``, which ``write_runlogs`` stores, or else the whole path of the file: equal names in two folders
+    are two runs.
     """
     raw = spark.read.schema(RUN_LOG).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    run = _run_name(F.col("_metadata.file_path"))
-    return raw.select(F.coalesce("dbType", run).alias("engine"), run.alias("run"), "ingestion", "queries")
+    file = F.col("_metadata.file_path")
+    return raw.select(
+        F.coalesce("dbType", _file_name(file)).alias("engine"), F.coalesce("run", file).alias("run"), "ingestion", "queries")
 
 
 def ingest_facts(docs: DataFrame) -> DataFrame:
@@ -52,7 +54,8 @@ def build_runlogs(ingest: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def write_runlogs(docs: DataFrame, path: str) -> None:
-    """Write every document to a file of its own, under a directory that names the run."""
-    name = F.concat(F.col("engine"), F.lit("_"), F.col("run").cast("string"), F.lit(".json"))
-    out = docs.select(F.col("engine").alias("dbType"), "ingestion", "queries", name.alias("log"))
+    """Write every document, with the name of its run, to a file of its own."""
+    run = F.col("run").cast("string")
+    log = F.concat(F.col("engine"), F.lit("_"), run)
+    out = docs.select(F.col("engine").alias("dbType"), run.alias("run"), "ingestion", "queries", F.sha2(log, 256).alias("log"))
     out.write.partitionBy("log").json(path)

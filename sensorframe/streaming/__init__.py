@@ -1,4 +1,9 @@
 from sensorframe.streaming.buckets import latest_buckets, run_bucket_agg, stream_bucket_agg
-from sensorframe.streaming.ingest import load_available, stream_readings
+from sensorframe.streaming.ingest import (
+    load_available, load_with_progress, scan_stream, stream_progress, stream_readings,
+)
 
-__all__ = ["latest_buckets", "load_available", "run_bucket_agg", "stream_bucket_agg", "stream_readings"]
+__all__ = [
+    "latest_buckets", "load_available", "load_with_progress", "run_bucket_agg", "scan_stream", "stream_bucket_agg",
+    "stream_progress", "stream_readings",
+]

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorframe.session import ensure_utc
-from sensorframe.sources.readings import flatten_chunks, is_complete, json_reader
+from sensorframe.sources.readings import (
+    CHUNK_COUNTS, chunk_counts, chunk_files, flatten_chunks, is_complete, json_reader, with_running_total,
+)
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -14,9 +16,13 @@ def stream_readings(spark: SparkSession, path: str, files_per_trigger: int = 100
 
     ``files_per_trigger=1`` loads strictly chunk by chunk; more files per step keep a cluster busy.
     """
-    ensure_utc(spark)
+    return scan_stream(spark, path, files_per_trigger).filter(is_complete())
+
+
+def scan_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """All readings as they arrive, not yet validated."""
     raw = json_reader(spark.readStream).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return flatten_chunks(raw, with_pos=False).filter(is_complete())
+    return flatten_chunks(raw, with_pos=False)
 
 
 def load_available(readings: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -30,3 +36,32 @@ def load_available(readings: DataFrame, table: str, checkpoint: str) -> Streamin
         .option("path", table).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def load_with_progress(scanned: DataFrame, table: str, progress: str, checkpoint: str) -> StreamingQuery:
+    """As ``load_available``, and every step leaves the ``chunk, n, rejected`` of the chunks it loaded in ``progress``.
+
+    A step writes its rows and counts under its own number, so a step that is repeated after a crash
+    replaces what it had written.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.filter(is_complete()).write.mode("overwrite").parquet(f"{table}/step={number}")
+        chunk_counts(batch).write.mode("overwrite").parquet(f"{progress}/step={number}")
+
+    empty = scanned.sparkSession.createDataFrame([], CHUNK_COUNTS)
+    empty.write.mode("overwrite").parquet(f"{progress}/step=-1")
+    return (
+        scanned.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def stream_progress(spark: SparkSession, path: str, progress: str) -> DataFrame:
+    """``(chunk, n, rejected, n_records)`` of the chunk files under ``path`` that are loaded so far.
+
+    The running total goes by chunk number, so it does not depend on the order of arrival. A chunk
+    without readings counts 0, as no step has a row of it.
+    """
+    loaded = spark.read.schema(f"{CHUNK_COUNTS}, step BIGINT").parquet(progress)
+    counts = loaded.groupBy("chunk").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"))
+    return with_running_total(chunk_files(spark, path), counts)

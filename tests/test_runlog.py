@@ -117,7 +117,8 @@ def test_documents_from_files(spark, tmp_path):
     del full["dbType"]
     (tmp_path / "beta_7.json").write_text(json.dumps(full, indent=2))
     docs = read_runlogs(spark, str(tmp_path))
-    assert sorted((d["engine"], d["run"]) for d in docs.collect()) == [("alpha", "alphaBenchmark_1"), ("beta_7", "beta_7")]
+    assert sorted((d["engine"], d["run"]) for d in docs.collect()) == [
+        ("alpha", f"file:{tmp_path}/alphaBenchmark_1.json"), ("beta_7", f"file:{tmp_path}/beta_7.json")]
     loaded = ingest_facts(docs).filter("engine = 'alpha'").orderBy("chunk").collect()
     assert [(x["chunk"], x["duration_ms"], x["n_records"]) for x in loaded] == [(0, 5, 10), (1, 6, 30)]
     asked = query_facts(docs).filter("engine = 'alpha'").orderBy("query_id").collect()
@@ -125,9 +126,42 @@ def test_documents_from_files(spark, tmp_path):
 
 
 def test_written_documents_read_back(spark, log, qlog):
-    path = scratch_dir(spark, "logs")
-    write_runlogs(build_runlogs(log, qlog.withColumn("description", F.lit("d"))), path)
+    odd = log.withColumns({"engine": F.concat("engine", F.lit(" db/x")), "run": F.concat(F.lit("r: "), "run", F.lit("/%20=é"))})
+    asked = qlog.withColumns({"engine": F.concat("engine", F.lit(" db/x")), "run": F.concat(F.lit("r: "), "run", F.lit("/%20=é")), "description": F.lit("d")})
+    path, again = scratch_dir(spark, "logs"), scratch_dir(spark, "logs")
+    write_runlogs(build_runlogs(odd, asked), path)
     docs = read_runlogs(spark, path)
-    back = ingest_facts(docs).select("engine", F.regexp_extract("run", "_(.*)", 1).alias("run"), "chunk", "duration_ms", "n_records")
-    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, log.collect()))
+    assert sorted(map(tuple, ingest_facts(docs).collect())) == sorted(map(tuple, odd.collect()))
     assert query_facts(docs).count() == qlog.count()
+    write_runlogs(build_runlogs(ingest_facts(docs), query_facts(docs)), again)
+    assert sorted(map(repr, read_runlogs(spark, again).collect())) == sorted(map(repr, docs.collect()))
+
+
+def test_equal_file_names_in_two_folders_are_two_runs(spark, tmp_path):
+    for folder, records in (("m1", 10), ("m2", 20)):
+        (tmp_path / folder).mkdir()
+        doc = {"dbType": "z", "ingestion": [{"durationMs": 5, "nRecords": records}], "queries": []}
+        (tmp_path / folder / "z_1.json").write_text(json.dumps(doc))
+    facts = ingest_facts(read_runlogs(spark, [f"{tmp_path}/m1", f"{tmp_path}/m2"]))
+    assert sorted(x.delta for x in r.counter_diff(facts).collect()) == [10, 20]
+    assert r.file_counts(facts).first()["runs"] == 2
+
+
+def test_pivots_show_every_engine_and_the_description(spark):
+    means = spark.createDataFrame(
+        [(f"e{k}", q, float(10 * k + q), f"Query {q}") for k in range(6) for q in (1, 2) if (k, q) != (5, 2)],
+        "engine string, query_id int, avg_ms double, description string")
+    times = rows(r.pivot_times(means), "query_id")
+    assert times[2].asDict() == {"query_id": 2, "description": "Query 2", **{f"e{k}": 10.0 * k + 2 for k in range(5)}, "e5": -1.0}
+    assert r.pivot_speedups(means, F.lit("e1")).columns == ["query_id", "description", *[f"e{k}" for k in range(6)]]
+    with pytest.raises(ValueError, match="outside the given list"):
+        r.pivot_times(means, ["e0", "e1"])
+    assert r.pivot_times(means.limit(0)).columns == ["query_id", "description"]
+
+
+def test_summary_of_an_even_suite(spark, log):
+    means = spark.createDataFrame([("slow", q, 100.0) for q in range(4)] + [("fast", 0, 10.0), ("fast", 1, 50.0), ("fast", 2, -1.0)],
+                                  "engine string, query_id int, avg_ms double")
+    got = rows(r.speedup_summary(means, r.ingest_stats(log), F.lit("slow")), "engine")
+    assert tuple(got["fast"])[1:] == (statistics.median([0, 0, 2, 10]), 2.0, 10.0, 2)
+    assert tuple(got["idle"])[1:] == (0.0, 0.0, 0.0, 0)

@@ -5,14 +5,19 @@ import pytest
 from conftest import SF, at, scan_lines
 from pyspark.sql import functions as F
 
-from sensorframe.operators import midpoint, row_count, time_bounds, time_slice, with_dense_id
+from sensorframe import session
+from sensorframe.functions import rfc3339
+from sensorframe.operators import around_midpoint, bucket_agg, midpoint, row_count, time_bounds, time_slice, with_dense_id
+from sensorframe.plans import QUERIES
 from sensorframe.plans.tables import user_events
 from sensorframe.session import scratch_dir
 from sensorframe.sources import (
-    as_variant, chunk_files, chunk_progress, read_events, read_readings, scan_readings, to_points, upsert_points,
-    write_events,
+    as_variant, chunk_files, chunk_progress, read_events, read_readings, to_points, upsert_points, write_events,
+)
+from sensorframe.streaming import (
+    latest_buckets, load_available, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress,
+    stream_readings,
 )
-from sensorframe.streaming import latest_buckets, load_available, run_bucket_agg, stream_bucket_agg, stream_readings
 
 EPOCH = 1704067200  # 2024-01-01
 
@@ -51,10 +56,18 @@ def test_ids_follow_the_load_order(spark, chunks):
 def test_chunks_are_ordered_by_number(spark, tmp_path):
     folder = write_chunks(tmp_path, {n: [reading("u", n)] for n in (1, 10, 2)})
     (tmp_path / "notes.json").write_text("{}")
-    got = [(r["chunk"], r["ordinal"]) for r in chunk_files(spark, folder).orderBy("ordinal").collect()]
+    got = [(r["chunk"], r["ordinal"]) for r in chunk_files(spark, folder, complete=False).orderBy("ordinal").collect()]
     assert got == [(1, 1), (2, 2), (10, 3)]
 
 
+@pytest.mark.parametrize("numbers", [(1, 2), (0, 2), (0, 1, 3, 4)])
+def test_a_gap_in_the_chunks_is_an_error(spark, tmp_path, numbers):
+    folder = write_chunks(tmp_path, {n: [reading("u", n)] for n in numbers})
+    for listing in (chunk_files(spark, folder), chunk_progress(spark, folder)):
+        with pytest.raises(Exception, match="missing chunk file"):
+            listing.collect()
+
+
 def test_listing_chunks_reads_no_content(spark, chunks):
     assert all("content" not in line for line in scan_lines(chunk_files(spark, chunks)))
 
@@ -64,10 +77,21 @@ def test_incomplete_readings_are_rejected_and_counted(spark, tmp_path):
         0: [reading("a", 1), reading(None, 2), reading("b", 3)],
         1: [reading("c", 4, rssi=None), reading("d", 5)],
         2: [],
+        3: [],
+        4: [{}, reading("e", 6)],
+        5: [{}, reading("f", 7)],
     })
-    assert read_readings(spark, folder).count() == 3
-    progress = chunk_progress(scan_readings(spark, folder)).orderBy("chunk").collect()
-    assert [tuple(r) for r in progress] == [(0, 2, 1, 2), (1, 1, 1, 3)]
+    assert read_readings(spark, folder).count() == 5
+    expected = [(0, 2, 1, 2), (1, 1, 1, 3), (2, 0, 0, 3), (3, 0, 0, 3), (4, 1, 1, 4), (5, 1, 1, 5)]
+    progress = chunk_progress(spark, folder).orderBy("chunk").collect()
+    assert [tuple(r) for r in progress] == expected
+    table, steps = scratch_dir(spark, "t"), scratch_dir(spark, "s")
+    checkpoint = scratch_dir(spark, "c")
+    for _ in range(2):  # the second load finds nothing new and repeats nothing
+        load_with_progress(scan_stream(spark, folder, files_per_trigger=1), table, steps, checkpoint).awaitTermination()
+        assert [tuple(r) for r in stream_progress(spark, folder, steps).orderBy("chunk").collect()] == expected
+        assert spark.read.parquet(table).count() == 5
+    assert len(os.listdir(steps)) == 6 + 1
 
 
 def test_broken_document_fails_the_load(spark, tmp_path):
@@ -182,6 +206,62 @@ def test_one_bound_is_pushed_into_the_scan_of_a_sorted_table(spark):
     assert any("LessThan(ts,ScalarSubquery" in line for line in scan_lines(cut))
 
 
+def test_both_bounds_are_pushed_into_the_scan(spark):
+    table = scratch_dir(spark, "sorted")
+    write_events(user_events(spark, SF), table, "sorted", partitions=6)
+    for source, column in ((read_events(spark, table), "ts"), (user_events(spark, SF, uncut=True), "ts")):
+        cut = row_count(time_slice(source, *around_midpoint(source, -1, 1)))
+        pushed = [line.split("PushedFilters: [")[1] for line in scan_lines(cut)]
+        assert any(f"GreaterThanOrEqual({column},2024" in p and f"({column},2024" in p.split("LessThan")[1] for p in pushed), pushed
+
+
+def test_slices_over_another_column_and_in_another_zone(spark):
+    rows = user_events(spark, SF).withColumn("seen", F.expr("ts + make_interval(0, 0, 0, id % 5, (id * 7) % 24)"))
+    table = scratch_dir(spark, "time")
+    write_events(rows, table, "time")
+    stored = spark.read.parquet(table)
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            for ts in ("ts", "seen"):
+                assert tuple(time_bounds(stored, ts).first()) == tuple(time_bounds(rows, ts).first())
+                lo, hi = around_midpoint(rows, -5, 30, ts=ts)
+                got, want = (time_slice(t, lo, hi, "left", ts).agg(F.count("*"), F.sum("id")).first() for t in (stored, rows))
+                assert tuple(got) == tuple(want) and got[0] > 0
+            days = bucket_agg(stored, "1 day", [F.count("*").alias("n")], name="day", as_date=True)
+            starts = bucket_agg(stored, "1 day", [F.count("*").alias("n")], name="day")
+            assert {(r.day.isoformat(), r.n) for r in days.collect()} == {
+                (text, n) for text, n in starts.select(F.substring(rfc3339("day"), 1, 10), "n").collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_sparse_ids_and_rewritten_input_are_staged(spark, tmp_path):
+    def stage(ids):
+        rows = spark.createDataFrame([(i, at(k), k % 3, "view", 1.5, '{"k": 1}') for k, i in enumerate(ids)],
+                                     "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/events.parquet")
+        return QUERIES["ingest_progress"](spark, str(tmp_path)).orderBy("chunk").collect()
+
+    assert [r.n for r in stage([k * 10**15 for k in range(1500)])] == [700, 700, 100, 0, 0]
+    assert [tuple(r) for r in stage([0, 10**18, 2 * 10**18, 3 * 10**18])] == [(0, 4, 0, 4), (1, 0, 0, 4), (2, 0, 1, 4)]
+
+
+def test_scratch_folders(spark, tmp_path, monkeypatch):
+    class Cluster:
+        conf = {}
+        sparkContext = type("C", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Cluster, "x")
+    monkeypatch.setattr(session, "_scratch", {})
+    mine, other = scratch_dir(spark, "mine"), tmp_path / "other"
+    other.mkdir()
+    spark.range(3).write.parquet(mine)
+    assert session.clear_scratch(spark) == 1 and not os.path.exists(mine) and other.exists()
+    assert session.clear_scratch(spark) == 0
+
+
 def test_sorted_files_cover_disjoint_times(spark):
     table = scratch_dir(spark, "sorted")
     write_events(user_events(spark, SF), table, "sorted", partitions=6)
@@ -216,3 +296,12 @@ def test_upsert_keeps_the_later_point(make_events):
     ue = make_events([("a", 0, -60.0, "x"), ("a", 0, -50.0, "x"), ("a", 0, -70.0, "y")])
     got = sorted((r["ssid"], r["rssi"], r["id"]) for r in upsert_points(ue).collect())
     assert got == [("x", -50.0, 1), ("y", -70.0, 2)]
+
+
+def test_upsert_with_null_versions_and_ties(spark):
+    rows = [(None, "a", "x", 1.0), (None, "a", "x", 1.0), (None, "b", "x", 5.0), (3, "b", "x", None), (7, "c", "x", 1.0), (7, "c", "y", 2.0)]
+    df = spark.createDataFrame(rows, "id long, user_id string, ssid string, rssi float")
+    for parts in (1, 4):
+        got = {r.user_id: tuple(r) for r in upsert_points(df.repartition(parts), ["user_id"]).collect()}
+        assert got["a"] == (None, "a", "x", 1.0) and got["b"] == (3, "b", "x", None)
+        assert got["c"] in rows[4:]  # a whole row, not a mixture
