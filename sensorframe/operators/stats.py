@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorframe.functions import micros_between, n_rows, spread_of
 
@@ -60,11 +62,22 @@ BIN_SCALE = 40_000
 # distinct values each. NaN shares the last bin with infinity. The outer coalesce only tells the optimizer
 # that a bin is never null.
 _ROOT = f"{'sqrt(' * ROOTS}abs(_v){')' * ROOTS}"
-_BIN = f"coalesce(floor(nanvl(signum(_v) * {_ROOT}, double('infinity')) * {BIN_SCALE}), 0L)"
 
-# A representative value of a bin, for magnitudes above 1 at most 0.08 % away from the values in it.
-_BIN_ROOT = f"((_bin + 0.5D) / {BIN_SCALE})"
-_BIN_MIDDLE = f"signum({_BIN_ROOT}) * pow(abs({_BIN_ROOT}), {2 ** ROOTS})"
+
+def _bin(scale: int = BIN_SCALE) -> str:
+    return f"coalesce(floor(nanvl(signum(_v) * {_ROOT}, double('infinity')) * {scale}), 0L)"
+
+
+def _bin_middle(scale: int) -> str:
+    """A representative value of a bin, for magnitudes above 1 at most 32 / ``scale`` of it away from the values in it."""
+    root = f"((_bin + 0.5D) / {scale})"
+    return f"signum({root}) * pow(abs({root}), {2 ** ROOTS})"
+
+
+# A DOUBLE column may have any number of distinct values in a bin. The bins hit are cut into this many equal parts
+# between their smallest and largest value, and only the parts hit are counted by value.
+PARTS = 1 << 16
+_PART = f"coalesce(floor(nanvl((_v - _lo) / nullif(_hi - _lo, 0D), 0D) * {PARTS}), 0L)"
 
 
 def _values(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
@@ -79,7 +92,7 @@ def _counted(rows: DataFrame, *columns: str) -> DataFrame:
 def _running_bins(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows per bin as ``_rows``, the rows in smaller bins as ``_before``, all rows as ``_total``."""
     part = f"PARTITION BY {', '.join(f'`{k}`' for k in keys)}" if keys else ""
-    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"))
+    bins = rows.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     return bins.selectExpr(
         "*",
         f"coalesce(sum(_rows) OVER ({part} ORDER BY _bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before",
@@ -96,12 +109,14 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
 
     Equal to ``percentile_cont``, without its map of all distinct values in a single task. Over a
     whole table the column is scanned twice, and only bin counts and the values of the bins hit are
-    shuffled. With ``keys`` the values are counted first, as the bins hit may be too many to broadcast.
+    shuffled. A DOUBLE column is scanned three times: the bins hit are cut once more, so that a task gets
+    the values of 1 / 65,536 of a bin's range. With ``keys`` the values are counted first, as the bins hit may be too
+    many to broadcast, and a key's bin is one group.
     """
     rows = _values(df, column, keys)
     if keys:
         rows = _counted(rows, *keys, "_v")
-    rows = rows.selectExpr("*", f"{_BIN} AS _bin")
+    rows = rows.selectExpr("*", f"{_bin()} AS _bin")
 
     edges = ", ".join(f"floor({_rank(p)}), ceil({_rank(p)})" for p in probs.values())
 
@@ -115,8 +130,20 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
         same = " AND ".join(f"`{k}` <=> `_hit_{k}`" for k in keys)  # null is a key like others
         values = rows.join(hit, F.expr(f"_bin = _hit__bin AND {same}"))
     else:
-        # at most two bins per percentile
-        values = _counted(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
+        if not isinstance(df.select(column).schema[0].dataType, (T.FloatType, T.ByteType, T.ShortType)):
+            parts = rows.join(F.broadcast(hit), "_bin").selectExpr("_bin", "_before", "_total", "_lo", "_hi", "_n", f"{_PART} AS _part")
+            by_part = parts.groupBy("_bin", "_part", "_before", "_total", "_lo", "_hi").agg(F.sum("_n").alias("_rows"))
+            start = "_before + coalesce(sum(_rows) OVER (PARTITION BY _bin ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+            cut = by_part.selectExpr("_bin", "_part", "_lo", "_hi", "_total", "_rows", f"{start} AS _before")
+            cut = cut.filter(f"size({inside('_before', '_rows')}) > 0").select("_bin", "_part", "_total", "_before")
+            bounds = hit.select("_bin", "_lo", "_hi")
+            rows = rows.join(F.broadcast(bounds), "_bin").selectExpr("_v", "_n", "_bin", f"{_PART} AS _part")
+            # at most two parts per percentile
+            found_in = _counted(rows.join(F.broadcast(cut), ["_bin", "_part"]), "_bin", "_part", "_v", "_before", "_total")
+            values = found_in.withColumn("_bin", F.struct("_bin", "_part")).drop("_part")
+        else:
+            # at most two bins per percentile
+            values = _counted(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
 
     upto = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
     ranked = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
@@ -132,17 +159,18 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
     return at.selectExpr(*[f"`{k}`" for k in keys], *[f"{interpolated(p)} AS `{name}`" for name, p in probs.items()])
 
 
-def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
-    """Percentiles within 0.08 % of a value at the wanted rank, from a histogram of coarse bins.
+def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = (), accuracy: float = 0.0008) -> DataFrame:
+    """Percentiles within ``accuracy`` (a share, for magnitudes above 1) of a value at the wanted rank, from coarse bins.
 
     Needs one aggregation into a bounded number of bins, is mergeable and repeatable, and takes
     negative values as they are. The value at rank ``floor(p * (n - 1))`` is reported.
     """
-    bins = _running_bins(_values(df, column, keys).selectExpr("*", f"{_BIN} AS _bin"), keys)
+    scale = ceil(32 / accuracy)
+    bins = _running_bins(_values(df, column, keys).selectExpr("*", f"{_bin(scale)} AS _bin"), keys)
 
     def at(p: float, name: str) -> Column:
         rank = f"floor({_rank(p)})"
-        return F.expr(f"max(if({rank} >= _before AND {rank} < _before + _rows, {_BIN_MIDDLE}, NULL)) AS `{name}`")
+        return F.expr(f"max(if({rank} >= _before AND {rank} < _before + _rows, {_bin_middle(scale)}, NULL)) AS `{name}`")
 
     return bins.groupBy(*keys).agg(*[at(p, name) for name, p in probs.items()])
 
@@ -161,12 +189,12 @@ def sketch_percentiles(df: DataFrame, column: str, probs: dict[str, float], k: i
 
 
 def percentiles(df: DataFrame, column: str, probs: dict[str, float], method: str = "exact",
-                keys: Sequence[str] = ()) -> DataFrame:
-    """``exact`` (interpolated), ``binned`` (bounded relative error) or ``sketch`` (bounded rank error, no keys)."""
+                keys: Sequence[str] = (), accuracy: float = 0.0008) -> DataFrame:
+    """``exact`` (interpolated), ``binned`` (relative error up to ``accuracy``) or ``sketch`` (bounded rank error, no keys)."""
     if method == "exact":
         return exact_percentiles(df, column, probs, keys)
     if method == "binned":
-        return binned_percentiles(df, column, probs, keys)
+        return binned_percentiles(df, column, probs, keys, accuracy)
     if method == "sketch" and not keys:
         return sketch_percentiles(df, column, probs)
     raise ValueError(f"no percentile method {method!r} with keys {list(keys)}")

@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from sensorframe.session import clear_scratch  # noqa: E402
+
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
@@ -21,6 +23,7 @@ def spark():
     )
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    clear_scratch(spark)
     spark.stop()
 
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sensorframe.functions import humanize_ms, n_rows, rfc3339
+from sensorframe.operators import stats
 from sensorframe.operators import (
     binned_percentiles, bucket_agg, exact_percentiles, gap_fill, hour_of_day, hour_of_day_from_buckets, implicit_group,
     percentiles, relative_slice, sketch_percentiles, time_slice, top_k_per_group, with_dense_id,
@@ -167,3 +168,32 @@ def test_humanized_durations_round_like_printf(spark, values):
 def test_humanized_failures_and_rfc3339(spark):
     df = spark.createDataFrame([(-1.0, dt.datetime(2024, 1, 15, 23, 58, 39, 500000))], "ms double, ts timestamp")
     assert tuple(df.select(humanize_ms("ms"), rfc3339("ts")).first()) == ("N/A", "2024-01-15T23:58:39Z")
+
+
+def test_exact_percentiles_of_a_million_doubles_in_one_bin(spark):
+    """All values share a coarse bin; no task orders more than a part of it."""
+    df = spark.range(1_000_000).selectExpr("1000 + ((id * 7919) % 1000003) / 1e7 AS v")
+    assert df.selectExpr("v AS _v").selectExpr(f"{stats._bin()} AS b").distinct().count() <= 2
+    probs = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.999, "e": 1.0}
+    got = stats.exact_percentiles(df, "v", probs)
+    want = df.selectExpr(*[f"percentile_cont({p}) WITHIN GROUP (ORDER BY v) AS {n}" for n, p in probs.items()]).first()
+    assert tuple(got.first()) == pytest.approx(tuple(want), rel=1e-15)
+    rows = df.selectExpr("v AS _v").agg(F.min("_v").alias("lo"), F.max("_v").alias("hi")).first()
+    sizes = df.selectExpr("v AS _v", f"{rows.lo}D AS _lo", f"{rows.hi}D AS _hi").groupBy(F.expr(stats._PART)).count()
+    assert sizes.agg(F.max("count")).first()[0] < 100
+
+
+@pytest.mark.parametrize("values", [[1.5], [1.5] * 9, [-2.0, -1.0, 0.0, 1e300, 1e-300], [float("inf"), 1.0, float("-inf")], [float("nan"), 2.0, 1.0, None], []])
+def test_exact_percentiles_of_odd_doubles(spark, values):
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = stats.exact_percentiles(df, "v", {"q": 0.5}).collect()
+    want = df.selectExpr("percentile_cont(0.5) WITHIN GROUP (ORDER BY v) AS q").first().q
+    assert repr(got[0].q if got else None) == repr(want)
+
+
+@pytest.mark.parametrize("accuracy", [0.01, 0.0008, 0.00005])
+def test_accuracy_of_binned_percentiles(spark, accuracy):
+    df = spark.range(20_000).selectExpr("pow(1.0005D, id) AS v")
+    got = stats.percentiles(df, "v", {"q": 0.3}, "binned", accuracy=accuracy).first().q
+    true = 1.0005 ** int(0.3 * 19_999)
+    assert abs(got - true) <= accuracy * true
