@@ -33,7 +33,7 @@ DROPPED_WORDS = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login sidebar aside rail widget widgets "
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar topbar masthead footer comment comments "
     "commentlist respond reply replies discussion disqus share sharing social related recommended trending tags taglist "
-    "skip hidden copyright disclaimer".split()
+    "skip hidden copyright disclaimer search".split()
 )
 ARTICLE_WORDS = frozenset("article content post entry story main body text".split())
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
@@ -58,12 +58,16 @@ class _Element:
 
 @dataclass
 class Page:
-    """Blocks of text as ``(container, text, characters in links)``; containers as path, parent and hint of their names."""
+    """Blocks of text as ``(container, text, characters in links)``; containers as path, parent and hint of their names.
+
+    ``titles`` are the blocks that are top headings.
+    """
 
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
     hints: list[float] = field(default_factory=list)
+    titles: set[int] = field(default_factory=set)
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -93,6 +97,8 @@ def parse(html: str) -> Page:
         nonlocal linked
         block = " ".join("".join(text).split())
         if block:
+            if any(e.tag == "h1" for e in stack):
+                page.titles.add(len(page.blocks))
             page.blocks.append(((stack[-1] if stack else root).container, block, min(linked, len(block))))
         text.clear()
         linked = 0
@@ -161,7 +167,8 @@ def parse(html: str) -> Page:
         attributes = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in _ATTRIBUTE.finditer(rest)} if rest and "=" in rest or rest and "hidden" in rest else {}
         names = _names(attributes)
         article = any(e.tag in ("article", "main") for e in stack)
-        dropped = top.dropped or tag in DROPPED or tag == "header" and not article or "hidden" in attributes or (
+        header = tag == "header" or tag in CONTAINER and "header" in names
+        dropped = top.dropped or tag in DROPPED or header and not article or "hidden" in attributes or (
             tag not in ("html", "body", "article", "main")
             and (attributes.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(names))
         )
@@ -172,7 +179,7 @@ def parse(html: str) -> Page:
             page.paths.append(path)
             page.parents.append(top.container)
             page.hints.append((1.5 if tag in ("article", "main") else 1.0) * (1.25 if not ARTICLE_WORDS.isdisjoint(names) else 1.0))
-        stack.append(_Element(tag, path, dropped, top.link or tag == "a", container, top.headings_only or tag == "header" and article))
+        stack.append(_Element(tag, path, dropped, top.link or tag == "a", container, top.headings_only or header and article))
         if rest.endswith("/") and tag not in BLOCK:
             stack.pop()
     flush()
@@ -202,7 +209,10 @@ def votes(page: Page, best: int = 3) -> dict[str, int]:
 
 
 def main_text(page: Page, winners: list[str]) -> str:
-    """Text of the containers with the host's first winning path that the page has; else of the page's own best one."""
+    """Text of the containers with the host's first winning path that the page has; else of the page's own best one.
+
+    If these hold no top heading, the last one before them in a container around them leads the text.
+    """
     own = scores(page)
     chosen = next((p for p in winners if any(page.paths[k] == p for k in own)), None)
     if chosen is None and own:
@@ -212,7 +222,15 @@ def main_text(page: Page, winners: list[str]) -> str:
     inside = [p == chosen for p in page.paths]
     for k, parent in enumerate(page.parents):
         inside[k] = inside[k] or parent >= 0 and inside[parent]
-    return "\n".join(t for k, t, _ in page.blocks if inside[k])
+    kept = [n for n, (k, _, _) in enumerate(page.blocks) if inside[k]]
+    if kept and not page.titles & set(kept):
+        around, k = set(), page.parents[page.blocks[kept[0]][0]]
+        while k >= 0:
+            around.add(k)
+            k = page.parents[k]
+        before = [n for n in sorted(page.titles) if n < kept[0] and page.blocks[n][0] in around and not page.blocks[n][2]]
+        kept = before[-1:] + kept
+    return "\n".join(page.blocks[n][1] for n in kept)
 
 
 def host_paths(pages: DataFrame, least: float = 0.05) -> DataFrame:

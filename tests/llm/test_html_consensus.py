@@ -34,6 +34,9 @@ def test_given_pages_match_their_articles(spark):
     ("<article><p>one &amp;amp; two<br>three</p><script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>no</p> --><p>four</article>", "one &amp; two three\nfour"),
     ("<article><p>a < b and 1<2 <b>bold</b>x</p><form><p>search</p></form><table><tr><td>c<td>d</table>", "a < b and 1<2 boldx\nc\nd"),
     ("<div><nav>n</nav><p>plain page</p></div>", "plain page"), ("just text", "just text"), ("", ""), ("<p>", ""), ("<!-- never closed", ""),
+    ("<body><div class='header'><h1>Site</h1>x</div><main><h1>Title</h1><div class='content'><p>the text of it</p></div></main>", "Title\nthe text of it"),
+    ("<body><h1><a href=/>Site</a></h1><div class='content'><p>the text of it</p></div>", "the text of it"),
+    ("<article><div class='entry-header'><h1>T</h1><span>by</span></div><p>body text</p></article>", "T\nbody text"),
     ("<article><p title='a>b'>t</p><p x=\"unclosed>u</p></article>", "t\nu"),
 ])
 def test_small_pages(source, text):
