@@ -180,8 +180,6 @@ def parse(html: str) -> Page:
             page.parents.append(top.container)
             page.hints.append((1.5 if tag in ("article", "main") else 1.0) * (1.25 if not ARTICLE_WORDS.isdisjoint(names) else 1.0))
         stack.append(_Element(tag, path, dropped, top.link or tag == "a", container, top.headings_only or header and article))
-        if rest.endswith("/") and tag not in BLOCK:
-            stack.pop()
     flush()
     return page
 
