@@ -100,7 +100,7 @@ def _sparse(b: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     key, share = (np.concatenate(x) for x in zip(*parts, strict=True))
     for k in range(b.n_rows):
         mine = key >> (BITS + 1) == k
-        yield key[mine] & (2 ** (BITS + 1) - 1), share[mine]
+        yield (key[mine] & (2 ** (BITS + 1) - 1)).astype(np.int32), share[mine].astype(np.float32)
 
 
 def _calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -124,7 +124,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes: dict[in
     apart = np.arange(len(y)) % 4 == 3
     if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart[:] = False
-    row = np.repeat(np.arange(len(y)), [len(c) for c, _ in rows])
+    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c, _ in rows])
     column = np.concatenate([c for c, _ in rows])
     value = np.concatenate([v for _, v in rows])
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * ~apart
@@ -147,7 +147,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes: dict[in
     return RulesModel(w[: 2**BITS].astype(np.float32), w[2**BITS :].astype(np.float32), float(intercept), slope, shift)
 
 
-def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> RulesModel | None:
+def learn(documents: DataFrame, labels: DataFrame, per_class: int = 600) -> RulesModel | None:
     """Fit on at most ``per_class`` labelled rows of each class, of those that pass the base rules.
 
     Only the n-gram counts of these rows come to the driver.
@@ -163,11 +163,11 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Rul
                     columns.append(None if failed[k] else c)
                     shares.append(None if failed[k] else v)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("y"), pa.array(columns, pa.list_(pa.int64())), pa.array(shares, pa.list_(pa.float64()))],
+                [batch.column("doc_id"), batch.column("y"), pa.array(columns, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))],
                 ["doc_id", "y", "c", "v"],
             )
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, c array<long>, v array<double>").where("c is not null").toArrow().sort_by("doc_id")
+    rows = chosen.mapInArrow(run, "doc_id long, y int, c array<int>, v array<float>").where("c is not null").toArrow().sort_by("doc_id")
     if not rows.num_rows:
         return None
     sparse = list(zip((x.values.to_numpy() for x in rows["c"]), (x.values.to_numpy() for x in rows["v"]), strict=True))
