@@ -35,6 +35,8 @@ DROPPED_WORDS = frozenset(
     "commentlist respond reply replies discussion disqus share sharing social related recommended trending tags taglist "
     "skip hidden copyright disclaimer search".split()
 )
+DROPPED_ARTICLES = frozenset("comment comments reply ad ads advert advertisement sponsored promo".split())
+LAYOUT_WORDS = frozenset("with has no without".split())
 ARTICLE_WORDS = frozenset("article content post entry story main body text".split())
 CLOSED_BY = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -71,8 +73,13 @@ class Page:
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
-    text = _SPLIT_CAMEL.sub(" ", f"{attributes.get('class', '')} {attributes.get('id', '')}")
-    return _WORDS.findall(text.lower())
+    """The words of classes and id; names such as ``with-sidebar`` tell of a layout and not of the element."""
+    words = []
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        own = _WORDS.findall(_SPLIT_CAMEL.sub(" ", name).lower())
+        if own and own[0] not in LAYOUT_WORDS:
+            words += own
+    return words
 
 
 def _general(attributes: dict[str, str]) -> str:
@@ -169,8 +176,10 @@ def parse(html: str) -> Page:
         article = any(e.tag in ("article", "main") for e in stack)
         header = tag == "header" or tag in CONTAINER and "header" in names
         dropped = top.dropped or tag in DROPPED or header and not article or "hidden" in attributes or (
-            tag not in ("html", "body", "article", "main")
-            and (attributes.get("role", "").lower() in DROPPED_ROLES or not DROPPED_WORDS.isdisjoint(names))
+            tag not in ("html", "body", "main") and (
+                attributes.get("role", "").lower() in DROPPED_ROLES
+                or not (DROPPED_ARTICLES if tag == "article" else DROPPED_WORDS).isdisjoint(names)
+            )
         )
         path, container = top.path, top.container
         if tag in CONTAINER and not dropped:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 19
 
@@ -90,7 +91,7 @@ def blocks(texts: pa.Array, block_bytes: int = BLOCK_BYTES, spaces: np.ndarray =
 
     Null texts count as empty. ``spaces`` tells which bytes separate words.
     """
-    texts = texts.cast(pa.large_string())
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     whole = texts.buffers()[2]
     raw = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)

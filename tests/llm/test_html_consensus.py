@@ -37,6 +37,7 @@ def test_given_pages_match_their_articles(spark):
     ("<body><div class='header'><h1>Site</h1>x</div><main><h1>Title</h1><div class='content'><p>the text of it</p></div></main>", "Title\nthe text of it"),
     ("<body><h1><a href=/>Site</a></h1><div class='content'><p>the text of it</p></div>", "the text of it"),
     ("<article><div class='entry-header'><h1>T</h1><span>by</span></div><p>body text</p></article>", "T\nbody text"),
+    ("<div class='content with-sidebar'><article class='post tags-x'><p>the text</p><article class='comment'><p>I say</p></article></article></div>", "the text"),
     ("<article><p title='a>b'>t</p><p x=\"unclosed>u</p></article>", "t\nu"),
 ])
 def test_small_pages(source, text):
