@@ -44,3 +44,13 @@ def test_groups_are_cut_before_the_shuffle(spark, name):
 def test_aggregates_combine_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "partial_" in text and "SortAggregate" not in text
+
+
+def test_run_logs_read_the_events_once_each(spark):
+    """Two logs, each aggregated once and kept: what comes after reads neither the events nor scratch files."""
+    QUERIES["r_best"](spark, SF).collect()
+    for name in ("r_baseline", "r_best", "r_speedup_summary", "r_pivot_speedups"):
+        df = QUERIES[name](spark, SF)
+        top = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        assert "FileScan" not in top
+        assert df.collect()
