@@ -26,7 +26,7 @@ def ingest_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk files loaded into a table as a stream, at most eight in a step."""
+    """Chunk files loaded into a table as a stream, at most 64 in a step."""
     table, _ = _streamed(spark, sf_dir)
     return spark.read.schema("chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING").parquet(table).drop("step")
 
@@ -39,7 +39,7 @@ def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     table, progress = scratch_dir(spark, "streamed"), scratch_dir(spark, "streamed-progress")
-    scanned = scan_stream(spark, staged_readings(spark, sf_dir), files_per_trigger=8)
+    scanned = scan_stream(spark, staged_readings(spark, sf_dir), files_per_trigger=64)
     load_with_progress(scanned, table, progress, scratch_dir(spark, "streamed-checkpoint")).awaitTermination()
     return table, progress
 
