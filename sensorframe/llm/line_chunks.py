@@ -1,8 +1,9 @@
-"""Line dedup over content-defined chunks: repeated runs of lines are found wherever they stand in a document."""
+"""Line dedup: repeated runs of lines, and content-defined chunks of lines, wherever they stand in a document."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,14 @@ from sensorframe.session import materialize
 ROLL = 2
 MEAN_LINES = 4
 
+#: A repeated run of lines goes whole if it has more than so many words.
+RUN_WORDS = 50
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(text, first byte, end, lines with a word)`` of every chunk of a block; ends leave out the last line feed.
+def _lines(b: Block) -> tuple[np.ndarray, ...]:
+    """``(text, first byte, end, hash, words, closes a chunk)`` of every line of a block; ends leave out the line feed.
 
     The rolling hash sees only the lines of one text, so two texts that share ROLL - 1 lines before a
     passage and the passage itself cut it alike, wherever it stands.
@@ -32,7 +36,7 @@ def chunks(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     starts = starts[starts < len(b.data)]
     stops = np.append(starts[1:], len(b.data))
     if not len(starts):
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 6
     ends = stops - (b.data[stops - 1] == 10)
     row = np.searchsorted(b.bounds, starts, "right") - 1
     lines = b.hashes(starts, ends)
@@ -44,10 +48,21 @@ def chunks(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         before[k:] = lines[:-k]
         rolled = rolled * _STEP + np.where(same, before, np.uint64(0))
     last = np.append(row[1:] != row[:-1], True)
-    close = np.flatnonzero((mix(rolled) % np.uint64(MEAN_LINES) == 0) | last)
-    opened = np.append(0, close[:-1] + 1)
-    has_word = np.searchsorted(b.starts, stops) > np.searchsorted(b.starts, starts)
-    total = np.append(0, np.cumsum(has_word))
+    words = np.searchsorted(b.starts, stops) - np.searchsorted(b.starts, starts)
+    return row, starts, ends, lines, words, (mix(rolled) % np.uint64(MEAN_LINES) == 0) | last
+
+
+def _spans(closes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every chunk."""
+    close = np.flatnonzero(closes)
+    return np.append(0, close[:-1] + 1)[: len(close)], close
+
+
+def chunks(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(text, first byte, end, lines with a word)`` of every chunk of a block; ends leave out the last line feed."""
+    row, starts, ends, _, words, closes = _lines(b)
+    opened, close = _spans(closes)
+    total = np.append(0, np.cumsum(words > 0))
     return row[opened], starts[opened], ends[close], total[close + 1] - total[opened]
 
 
@@ -59,35 +74,40 @@ def _number(row: np.ndarray) -> np.ndarray:
 
 
 def chunk_rows(documents: DataFrame, with_text: bool) -> DataFrame:
-    """``(doc_id, chunk, h[, text])`` of every chunk with two or more lines that hold a word."""
+    """``(doc_id, chunk, h)`` of every line, ``chunk`` being its number in the text.
+
+    Further the bytes of the line, or else its words and, where a chunk with two or more lines that hold a word opens, the number of the chunk's lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
             for b in blocks(batch.column("text")):
-                row, start, end, lines = chunks(b)
-                use = lines >= 2
-                columns = [
-                    ids.take(pa.array(b.first + row[use])), pa.array(_number(row)[use]),
-                    pa.array(b.hashes(start[use], end[use]).view(np.int64)),
-                ]
+                row, start, end, h, words, closes = _lines(b)
+                columns = [ids.take(pa.array(b.first + row)), pa.array(_number(row)), pa.array(h.view(np.int64))]
                 if with_text:
-                    at = np.column_stack([start[use], end[use]]).ravel()
+                    at = np.column_stack([start, end]).ravel()
                     spans = pa.LargeBinaryArray.from_buffers(
                         pa.large_binary(), max(len(at) - 1, 0), [None, pa.py_buffer(np.append(at, 0)[: max(len(at), 1)].astype(np.int64)), pa.py_buffer(b.data)]
                     )
                     columns.append(spans.take(pa.array(np.arange(0, len(spans), 2))).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "h", "text"][: len(columns)])
+                else:
+                    opened, close = _spans(closes)
+                    total = np.append(0, np.cumsum(words > 0))
+                    size = np.zeros(len(row), np.int64)
+                    size[opened] = np.where(total[close + 1] - total[opened] >= 2, close + 1 - opened, 0)
+                    columns += [pa.array(words), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "h", *(["text"] if with_text else ["words", "size"])])
 
     rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, chunk long, h long" + ", text binary" * with_text)
+    return rows.mapInArrow(run, "doc_id long, chunk long, h long, " + ("text binary" if with_text else "words long, size long"))
 
 
 def repeated(documents: DataFrame) -> DataFrame:
-    """``(h, first)`` of every chunk that occurs more than once; ``first`` is the smallest (doc_id, chunk).
+    """``(h, first)`` of every line that occurs more than once; ``first`` is the smallest (doc_id, chunk).
 
     Grouping on the hash and the bytes compares the bytes themselves. A hash that different bytes share
-    is left out, so nothing is removed on the word of a hash. Equal chunks are merged in each task before the shuffle.
+    is left out, so nothing is removed on the word of a hash. Equal lines are merged in each task before the shuffle.
     """
     texts = chunk_rows(documents, True).groupBy("h", "text").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "chunk")).alias("first")
@@ -97,25 +117,81 @@ def repeated(documents: DataFrame) -> DataFrame:
     ).select("h", "first")
 
 
+def _windows(line: np.ndarray, words: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of the runs to compare: the shortest of over RUN_WORDS words from each line and up to each line, and chunks.
+
+    The lines of one document, in order, without those that occur only once. A longer run that occurs twice
+    is covered by the shortest ones inside it, which occur twice as well; so these suffice.
+    """
+    n = len(line)
+    breaks = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (line[1:] != line[:-1] + 1)))
+    low = np.repeat(breaks, np.diff(np.append(breaks, n)))
+    high = np.repeat(np.append(breaks[1:], n), np.diff(np.append(breaks, n)))
+    total, at = np.append(0, np.cumsum(words)), np.arange(n)
+    end = np.searchsorted(total, total[:-1] + RUN_WORDS, "right")
+    begin = np.searchsorted(total, total[1:] - RUN_WORDS, "left") - 1
+    ahead, back, whole = (words > 0) & (end <= high), (words > 0) & (begin >= low), (size > 0) & (at + size <= high)
+    spans = np.concatenate([at[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + at[back] + 1, at[whole] * (n + 1) + (at + size)[whole]])
+    return np.divmod(np.unique(spans), n + 1)
+
+
+def run_rows(lists: DataFrame) -> DataFrame:
+    """``(doc_id, chunk, n, key)``: first line, lines and key of the runs to compare in ``(doc_id, lines)``.
+
+    The key is the hashes of the lines, each of which stands for the same bytes everywhere, or of more than eight lines a
+    264-bit hash of these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("lines")
+            line, h, words, size = (lists.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("chunk", "h", "words", "size"))
+            if not len(line):
+                continue
+            doc = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            start, end = _windows(line, words, size, doc)
+            raw = np.ascontiguousarray(h).tobytes()
+            keys = [raw[8 * i : 8 * j] if j - i <= 8 else blake2b(raw[8 * i : 8 * j], digest_size=33).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(pa.array(doc[start])), pa.array(line[start]), pa.array(end - start), pa.array(keys, pa.binary())], ["doc_id", "chunk", "n", "key"]
+            )
+
+    return lists.mapInArrow(run, "doc_id long, chunk long, n long, key binary")
+
+
 def removals(documents: DataFrame) -> DataFrame:
-    """``(doc_id, chunks)``: the positions of the chunks of a document that occur before, there or in a smaller id."""
-    first = materialize(repeated(documents), "chunks")
-    again = chunk_rows(documents, False).join(first, "h").where("struct(doc_id, chunk) > first")
-    return again.select("doc_id", "chunk").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("chunk")).alias("chunks"))
+    """``(doc_id, chunks)``: first line and number of lines of the runs of a document that occur before, there or in a smaller id."""
+    twice = materialize(repeated(documents), "lines").select("h")
+    lists = chunk_rows(documents, False).join(twice, "h").groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.struct("chunk", "h", "words", "size"))).alias("lines")
+    )
+    runs = materialize(run_rows(lists), "runs")
+    first = runs.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "chunk")).alias("first")).where("times > 1").drop("times")
+    again = runs.join(materialize(first, "first-runs"), "key").where("struct(doc_id, chunk) > first")
+    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("chunk", "n"))).alias("chunks"))
 
 
-def without(text: bytes, gone: set[int]) -> bytes:
-    """The text without the chunks of these positions."""
+def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int]:
+    """The text without the lines of these runs, given as first line and number of lines, and how many chunks lose lines."""
     b = next(blocks(pa.array([text.decode()]), len(text) + 1))
-    row, start, end, _ = chunks(b)
-    return b"\n".join(text[i:j] for k, (i, j) in enumerate(zip(start.tolist(), end.tolist(), strict=True)) if k not in gone)
+    _, start, end, _, _, closes = _lines(b)
+    cut = np.zeros(len(start) + 1, np.int64)
+    for first, n in gone:
+        cut[min(first, len(start))] += 1
+        cut[min(first + n, len(start))] -= 1
+    cut = np.cumsum(cut[:-1]) > 0
+    opened, _ = _spans(closes)
+    kept = np.flatnonzero(~cut)
+    touched = int(np.logical_or.reduceat(cut, opened).sum()) if len(opened) else 0
+    return b"\n".join(text[i:j] for i, j in zip(start[kept].tolist(), end[kept].tolist(), strict=True)), touched
 
 
 def dedup(documents: DataFrame) -> DataFrame:
-    """All documents, with the repeated chunks cut out; ``n_removed`` counts these.
+    """All documents, with the repeated lines cut out; ``n_removed`` counts the chunks that lose lines.
 
-    A chunk is a run of lines between content-defined boundaries. Chunks with fewer than two lines that hold
-    a word stay. Of equal chunks, the one with the smallest (doc_id, position) stays. A document may
+    Every run of lines with more than RUN_WORDS words that occurs before, in the same document or in a smaller id,
+    goes whole. So does every repeated chunk of fewer words: a run of lines between content-defined boundaries, two or
+    more of which hold a word. Of equal runs, the one with the smallest (doc_id, position) stays. A document may
     come out empty. ``text`` and ``n_chars`` change, if there is such a column; other columns are carried
     along. Null and empty texts and null ids stay as they are; rows with the same id count as one document.
     """
@@ -127,13 +203,15 @@ def dedup(documents: DataFrame) -> DataFrame:
             gone = batch.column(batch.num_columns - 1)
             texts = batch.column(at)
             hit = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False) & texts.is_valid().to_numpy(zero_copy_only=False))
+            n = np.zeros(batch.num_rows, np.int64)
             if len(hit):
                 some = pa.array(hit)
-                new = [without(t.encode(), set(g)).decode() for t, g in zip(texts.take(some).to_pylist(), gone.take(some).to_pylist(), strict=True)]
+                cut = [without(t.encode(), [(r["chunk"], r["n"]) for r in g]) for t, g in zip(texts.take(some).to_pylist(), gone.take(some).to_pylist(), strict=True)]
                 mask = np.zeros(batch.num_rows, bool)
                 mask[hit] = True
-                texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type))
-            removed = pa.compute.fill_null(pa.compute.list_value_length(gone), 0).cast(pa.int64())
+                n[hit] = [touched for _, touched in cut]
+                texts = pa.compute.replace_with_mask(texts, pa.array(mask), pa.array([t.decode() for t, _ in cut], texts.type))
+            removed = pa.array(n)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:at], texts, *batch.columns[at + 1 : -1], removed], [*batch.schema.names[:-1], "n_removed"]
             )
