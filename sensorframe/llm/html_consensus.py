@@ -215,9 +215,23 @@ def votes(page: Page, best: int = 3) -> dict[str, int]:
     return {p: round(1000 * v / total) for p, v in top}
 
 
+def _around(page: Page, k: int) -> int:
+    """The outermost article around a container or itself, else the outermost main, else the container."""
+    found = {"article": k, "main": k}
+    at, article = k, False
+    while at > 0:
+        parent = page.parents[at]
+        tag = page.paths[at][len(page.paths[parent]) + 1 :].split(".")[0]
+        if tag in found:
+            found[tag], article = at, article or tag == "article"
+        at = parent
+    return found["article" if article else "main"]
+
+
 def main_text(page: Page, winners: list[str]) -> str:
     """Text of the containers with the host's first winning path that the page has; else of the page's own best one.
 
+    If they lie in an article, or else in main, all of that is taken: sections, leads and what stands between them.
     If these hold no top heading, the last one before them in a container around them leads the text.
     """
     own = scores(page)
@@ -226,7 +240,8 @@ def main_text(page: Page, winners: list[str]) -> str:
         chosen = page.paths[max(own, key=lambda k: (own[k], -k))]
     if chosen is None:  # nothing but links, or nothing
         return "\n".join(t for _, t, _ in page.blocks)
-    inside = [p == chosen for p in page.paths]
+    lifted = {_around(page, k) for k, p in enumerate(page.paths) if p == chosen}
+    inside = [k in lifted for k in range(len(page.paths))]
     for k, parent in enumerate(page.parents):
         inside[k] = inside[k] or parent >= 0 and inside[parent]
     kept = [n for n, (k, _, _) in enumerate(page.blocks) if inside[k]]

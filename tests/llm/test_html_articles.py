@@ -1,0 +1,19 @@
+import pytest
+from common import prose
+from test_html_consensus import pages
+
+from sensorframe.llm import html_consensus as hc
+
+
+@pytest.mark.parametrize("source", [
+    "<article><p>{0}</p><section><h2>A</h2><p>{1}</p></section><section><h2>B</h2><p>{2}</p></section><p>closing {3}</p></article>",
+    "<article class='post'><div class='post-intro'><p>{0}</p></div><div class='post-body'><p>{1}</p><p>{2}</p></div></article>",
+    "<main><p>{0}</p><div><p>{1}</p></div><div><table><tr><td>{2}<td><table><tr><td>{3}</table></table></div></main>",
+])
+def test_articles_with_parts_stay_whole(spark, source):
+    parts = [[" ".join(prose(n, 100 * i + k).split()) for k, n in enumerate((10, 60, 60, 40))] for i in range(4)]
+    rows = [(i, "http://h.org/x", f"<body><nav>menu</nav>{source.format(*p)}<footer>foot</footer></body>") for i, p in enumerate(parts)]
+    got = {r.page_id: r.text for r in hc.extract(pages(spark, rows)).collect()}
+    for i, p in enumerate(parts):
+        assert all(x in got[i] for k, x in enumerate(p) if f"{{{k}}}" in source)
+        assert "menu" not in got[i] and "foot" not in got[i]
