@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
-    decontaminate, html_consensus, line_chunks, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
+    decontaminate, html_consensus, line_chunks, merkle, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
 )
 from sensorframe.session import ship_package
 
@@ -64,9 +64,22 @@ def op10_html_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_consensus.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees per lang; rows whose id's CRC-32 three divides are folded from a leaf with the text's A-Z lower-cased."""
+    documents, fields = table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    seen = merkle.leaf([F.when(tampered, lowered).otherwise(F.col(f)) if f == "text" else F.col(f) for f in fields])
+    rows = merkle.manifest(documents, "doc_id", "lang", fields, {"seen": seen})
+    folded = merkle.fold(F.col("seen"), F.col("path"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rank, op2_decontaminate, op3_url_reputation, op4_pii_surrogates, op5_quality_rules, op6_simhash, op7_packing,
-    op8_line_chunks, op9_secret_scan, op10_html_consensus,
+    op8_line_chunks, op9_secret_scan, op10_html_consensus, op11_merkle,
 )}
 
 
@@ -88,7 +101,58 @@ _RULES = " ".join(
 _SUFFIX_LABELS = ", ".join(f"'{x}'" for x in url_reputation.SUFFIX_LABELS)
 _TOTALS = "sum(bad) AS bad, sum(n) AS n"
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f) for f in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
 ORACLES: dict[str, str] = {
+    # the tree of the subroots is one more tree, numbered -1; a leaf's way leads up its own tree, then up that one
+    "op11_merkle": f"""
+    WITH RECURSIVE crc AS (
+        SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+        FROM range(256) r(b)),
+    tampered AS (
+        SELECT rowid AS id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+            lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) % 3 = 0 AS hit
+        FROM (SELECT row_number() OVER () AS rowid, doc_id FROM documents) d, crc),
+    leaves AS (
+        SELECT row_number() OVER () AS id, doc_id, lang, {_LEAF.format(text="text")} AS leaf,
+            {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+        FROM documents),
+    placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+            count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+    own AS (
+        SELECT tree, 0 AS level, pos, n, leaf AS h FROM placed
+        UNION ALL
+        SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM own WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+    tops AS (
+        SELECT -1 AS tree, 0 AS level, tree AS pos, count(*) OVER () AS n, h FROM own WHERE n = 1
+        UNION ALL
+        SELECT tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY tree, level, pos // 8, n),
+    steps AS (
+        SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS before,
+            coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS after
+        FROM (SELECT * FROM own UNION ALL SELECT * FROM tops) a JOIN (SELECT * FROM own UNION ALL SELECT * FROM tops) b
+            ON a.tree = b.tree AND a.level = b.level AND a.pos // 8 = b.pos // 8
+        WHERE a.n > 1 GROUP BY ALL),
+    heights AS (SELECT tree, max(level) AS height FROM (SELECT * FROM own UNION ALL SELECT * FROM tops) GROUP BY tree),
+    way AS (
+        SELECT id, unnest(range(height + top)) AS step, pos, p.tree, height,
+        FROM placed p JOIN heights USING (tree), (SELECT height AS top FROM heights WHERE tree = -1)),
+    walked AS (
+        SELECT w.id, w.step, before, after FROM way w JOIN steps s ON w.step < height AND s.tree = w.tree AND s.level = w.step
+            AND s.pos = w.pos // power(8, w.step)::BIGINT
+        UNION ALL
+        SELECT w.id, w.step, before, after FROM way w JOIN steps s ON w.step >= height AND s.tree = -1 AND s.level = w.step - height
+            AND s.pos = w.tree // power(8, w.step - height)::BIGINT),
+    folding AS (
+        SELECT id, 0 AS step, CASE WHEN hit THEN lowered ELSE leaf END AS h FROM placed JOIN tampered USING (id)
+        UNION ALL
+        SELECT f.id, f.step + 1, sha256(before || h || after) FROM folding f JOIN walked w ON f.id = w.id AND f.step = w.step),
+    folded AS (SELECT id, max_by(h, step) AS folded_root FROM folding GROUP BY id),
+    proofs AS (SELECT id, sha256(coalesce(string_agg(before || after, '' ORDER BY step), '')) AS proof_sha256 FROM placed LEFT JOIN walked USING (id) GROUP BY id)
+    SELECT doc_id, leaf, o.h AS subroot, t.h AS root, proof_sha256, folded_root, folded_root = t.h AS verified
+    FROM placed JOIN folded USING (id) JOIN proofs USING (id) JOIN own o ON o.tree = placed.tree AND o.n = 1 JOIN tops t ON t.n = 1""",
     "op3_url_reputation": f"""
     WITH rest AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
     urls AS (
