@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
-    decontaminate, html_consensus, line_chunks, merkle, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
+    decontaminate, html_consensus, lexical, line_chunks, merkle, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
 )
 from sensorframe.session import ship_package
 
@@ -77,9 +77,13 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rank, op2_decontaminate, op3_url_reputation, op4_pii_surrogates, op5_quality_rules, op6_simhash, op7_packing,
-    op8_line_chunks, op9_secret_scan, op10_html_consensus, op11_merkle,
+    op8_line_chunks, op9_secret_scan, op10_html_consensus, op11_merkle, op13_lexical,
 )}
 
 
@@ -180,4 +184,24 @@ ORACLES: dict[str, str] = {
         coalesce(split_part(found, ' ', 1), CASE WHEN bad_low > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
         bad_rate, bad_low
     FROM judged""",
+    "op13_lexical": r"""
+    WITH words AS (
+        SELECT d.id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS id, * FROM documents) d),
+    wanted AS (
+        SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark),
+    lengths AS (SELECT id, count(*) AS n FROM words GROUP BY id),
+    totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+    counts AS (SELECT id, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY id, term),
+    weights AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM counts, totals GROUP BY term),
+    gains AS (
+        SELECT id, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))) AS gain
+        FROM counts JOIN lengths USING (id) JOIN weights USING (term), totals),
+    scores AS (SELECT item_id, id, any_value(doc_id) AS doc_id, sum(gain)::BIGINT AS score FROM wanted JOIN gains USING (term) GROUP BY item_id, id),
+    ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank FROM scores WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
