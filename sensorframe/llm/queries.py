@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
-    decontaminate, html_consensus, lexical, line_chunks, merkle, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
+    decontaminate, embedding_dedup, html_consensus, lexical, line_chunks, merkle, packing, pii_surrogates, quality_rank, quality_rules, secret_scan, simhash, url_reputation,
 )
 from sensorframe.session import ship_package
 
@@ -77,13 +77,17 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.components(table(spark, sf_dir, "embeddings"))
+
+
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rank, op2_decontaminate, op3_url_reputation, op4_pii_surrogates, op5_quality_rules, op6_simhash, op7_packing,
-    op8_line_chunks, op9_secret_scan, op10_html_consensus, op11_merkle, op13_lexical,
+    op8_line_chunks, op9_secret_scan, op10_html_consensus, op11_merkle, op12_embedding_dedup, op13_lexical,
 )}
 
 
@@ -184,6 +188,19 @@ ORACLES: dict[str, str] = {
         coalesce(split_part(found, ' ', 1), CASE WHEN bad_low > {url_reputation.MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict,
         bad_rate, bad_low
     FROM judged""",
+    "op12_embedding_dedup": """
+    WITH RECURSIVE able AS (
+        SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    linked AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+    reached AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a),
+    least AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+    counted AS (SELECT a, count(DISTINCT b) AS n FROM linked GROUP BY a)
+    SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(least.b, vec_id)) AS component_id, component_id = vec_id AS kept
+    FROM embeddings LEFT JOIN least ON vec_id = least.a LEFT JOIN counted ON vec_id = counted.a""",
     "op13_lexical": r"""
     WITH words AS (
         SELECT d.id, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
