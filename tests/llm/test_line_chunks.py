@@ -16,18 +16,34 @@ def cut(text):
 
 
 def deduplicated(texts):
-    """Brute force: the first of equal chunks in the order of (id, position) stays."""
-    seen, out = set(), {}
+    """Brute force: lines go that lie in an equal run of over RUN_WORDS words with an earlier place, or in a repeated chunk of two worded lines."""
+    places, seen, out = {}, set(), {}  # places: where each line stands, in the order of (id, position)
+    lines = {i: (texts[i] or "").split("\n") for i in texts}
     for i in sorted(texts):
-        kept, removed = [], 0
-        for chunk, n in cut(texts[i] or ""):
-            if n >= 2 and chunk in seen:
-                removed += 1
-            else:
-                kept.append(chunk)
-            if n >= 2:
+        own, gone, at, touched = lines[i], set(), 0, 0
+        words = [len(x.encode().split()) for x in own]
+        for a, line in enumerate(own):
+            for other, b in places.get(line, ()):
+                n = 0
+                while a + n < len(own) and b + n < len(lines[other]) and own[a + n] == lines[other][b + n]:
+                    n += 1
+                if sum(words[a : a + n]) > line_chunks.RUN_WORDS:
+                    gone |= set(range(a, a + n))
+            places.setdefault(line, []).append((i, a))
+        chunks = cut(texts[i] or "")
+        for chunk, worded in chunks:
+            n = chunk.count("\n") + 1
+            if worded >= 2 and chunk in seen:
+                gone |= set(range(at, at + n))
+            if worded >= 2:
                 seen.add(chunk)
-        out[i] = ("\n".join(kept) if removed else texts[i], removed)
+            at += n
+        at = 0
+        for chunk, _ in chunks:
+            n = chunk.count("\n") + 1
+            touched += bool(gone & set(range(at, at + n)))
+            at += n
+        out[i] = ("\n".join(x for k, x in enumerate(own) if k not in gone) if gone else texts[i], touched)
     return out
 
 

@@ -2,8 +2,8 @@ from common import documents, shipped  # noqa: F401
 from conftest import SF
 from test_decontaminate import distance, words
 from test_line_chunks import deduplicated
+from test_near_jaccard import kept_by_brute_force
 from test_packing import check
-from test_simhash import groups, reference
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -30,9 +30,7 @@ def test_stages_against_brute_force(spark, tmp_path, shipped):  # noqa: F811
     assert len(bad & kept) <= 0.1 * len(bad) and len(kept) > 0.8 * len(source)
     expected = deduplicated({r.doc_id: r.text for r in quality})
     assert {r.doc_id: r.text for r in lines} == {i: t for i, (t, _) in expected.items()} and all(r.n_chars == len(r.text) for r in lines)
-    fps = {r.doc_id: reference(r.text) for r in lines}
-    first = groups(sorted(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
-    assert {r.doc_id for r in near} == {i for i, c in first.items() if i == c}
+    assert {r.doc_id for r in near} == kept_by_brute_force({r.doc_id: r.text for r in lines})
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     runs = {tuple(w[k : k + 5]): n for n, w in enumerate(items) for k in range(len(w) - 4)}
     held = set()
