@@ -101,9 +101,15 @@ def _daily(expr, name, day="CAST(ts AS DATE)"):
 
 
 _HOURLY_24H = "FROM user_events, b WHERE ts BETWEEN mid AND mid + INTERVAL 24 HOUR GROUP BY 1 ORDER BY 1"
-# a column for every engine there is, found by the engine that runs this
-_PIVOTED = """SELECT query_id, concat('Query ', query_id) AS description, {} FROM (
-  PIVOT (SELECT query_id, engine, round({}, 6) AS v FROM {}) ON engine USING first(v) GROUP BY query_id)"""
+#: The engines of the given logs. A statement with an open list of columns cannot be stored as a view.
+ENGINES = ("click", "error", "purchase", "signup", "view")
+
+
+def _pivoted(value: str, source: str, missing: str = "NULL") -> str:
+    columns = ", ".join(f"coalesce(max(CASE WHEN engine = '{e}' THEN round({value}, 6) END), {missing}) AS {e}" for e in ENGINES)
+    return f"SELECT query_id, concat('Query ', query_id) AS description, {columns} FROM {source} GROUP BY query_id"
+
+
 # bins of 1/40000 of the 64th root; all signal values are negative
 _ROOT = "sqrt(sqrt(sqrt(sqrt(sqrt(sqrt(-CAST(rssi AS DOUBLE)))))))"
 _BINNED = f""", v AS (SELECT CAST(floor(-{_ROOT} * 40000) AS BIGINT) AS bin, row_number() OVER (ORDER BY rssi) - 1 AS r,
@@ -210,6 +216,8 @@ ORACLES = {
     "surrogate_id": _ue("""
       SELECT chunk, pos, user_id, ts, row_number() OVER (ORDER BY chunk, pos) AS id
       FROM (SELECT CAST(extract(day FROM ts) AS INTEGER) % 12 AS chunk, id AS pos, user_id, ts FROM user_events) t"""),
+    "ingest_resumed_ids": _with([EVENT_TABLE, CHUNKS],
+        "SELECT row_number() OVER (ORDER BY id) AS id, chunk, user_id, ts, rssi, ssid FROM chunked"),
     "layout_time_partition": _ue("""
       SELECT CAST(ts AS DATE) AS event_date, CAST(extract(hour FROM ts) AS INTEGER) // 4 * 4 AS part_hour, count(*) AS n
       FROM user_events GROUP BY 1, 2"""),
@@ -224,6 +232,26 @@ ORACLES = {
         SELECT id, user_id, ssid, CAST(ts AS DATE) AS day, rssi,
                row_number() OVER (PARTITION BY user_id, ssid, CAST(ts AS DATE) ORDER BY id DESC) AS r
         FROM user_events) t WHERE r = 1"""),
+    "points_upsert_stored": _ue("""
+      SELECT id, user_id, ssid, day, rssi FROM (
+        SELECT id, user_id, ssid, CAST(ts AS DATE) AS day, rssi,
+               row_number() OVER (PARTITION BY user_id, ssid, CAST(ts AS DATE) ORDER BY id DESC) AS r
+        FROM user_events) t WHERE r = 1"""),
+    "points_upsert_stream": _ue("""
+      SELECT id, user_id, ssid, day, rssi FROM (
+        SELECT id, user_id, ssid, CAST(ts AS DATE) AS day, rssi,
+               row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY id DESC) AS r
+        FROM user_events) t WHERE r = 1"""),
+    "rollup_daily_variance": _ue("""
+      SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(rssi), 6) AS avg_rssi, round(var_samp(rssi), 6) AS rssi_variance,
+             round(var_pop(rssi), 6) AS rssi_var_pop FROM user_events GROUP BY 1"""),
+    "rollup_hour_of_day": _ue(
+        "SELECT CAST(extract(hour FROM ts) AS BIGINT) AS hour, count(*) AS n FROM user_events GROUP BY 1 ORDER BY 1"),
+    "rollup_peak_hours": _ue(
+        "SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM user_events GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5"),
+    "distinct_over_appends": _ue("""
+      SELECT day, count(DISTINCT user_id) AS n_users FROM (SELECT CAST(ts AS DATE) AS day, user_id FROM user_events) t
+      GROUP BY GROUPING SETS ((day), ())"""),
     "stream_hourly": "SELECT date_trunc('hour', ts) AS bucket, count(*) AS n FROM events GROUP BY 1",
 
     "runlog_scan": _with([INGEST_LOG, RUN_LOG], """
@@ -253,12 +281,12 @@ ORACLES = {
       FROM ingest_speedups"""),
     "r_speedup_summary": _with([*LOG_PARTS, SPEEDUPS, SUMMARY],
         "SELECT engine, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, n FROM summary"),
-    "r_pivot_times": _with([RUN_LOG, MEANS], _PIVOTED.format("coalesce(COLUMNS(* EXCLUDE query_id), -1)", "avg_ms", "means")),
+    "r_pivot_times": _with([RUN_LOG, MEANS], _pivoted("avg_ms", "means", "-1")),
     "r_pivot_speedups": _with([*LOG_PARTS, SPEEDUPS, """ratios AS (
         SELECT engine, query_id, speedup FROM speedups
         UNION ALL SELECT engine, query_id, CASE WHEN engine = (SELECT engine FROM base) THEN 1.0::DOUBLE END FROM means
           WHERE engine = (SELECT engine FROM base) OR (engine, query_id) NOT IN (SELECT engine, query_id FROM speedups))"""],
-        _PIVOTED.format("COLUMNS(* EXCLUDE query_id)", "speedup", "ratios")),
+        _pivoted("speedup", "ratios")),
     "r_best": _with([*LOG_PARTS, SPEEDUPS, INGEST_SPEEDUPS, SUMMARY], """
       SELECT 'ingest' AS metric, engine, round(duration_speedup, 6) AS speedup FROM (
         SELECT *, row_number() OVER (ORDER BY duration_speedup DESC, engine) AS r FROM ingest_speedups
