@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.functions import day_date, n_rows
-from sensorframe.operators import around_midpoint, bucket_agg, time_slice, with_dense_id
-from sensorframe.plans.tables import EVENTS, chunked_events, staged_by_time, staged_readings, user_events
+from sensorframe.functions import day_date, day_start, n_rows
+from sensorframe.operators import around_midpoint, bucket_agg, hour_of_day_from_buckets, time_slice, top_rows, with_dense_id
+from sensorframe.plans.tables import (
+    EVENTS, chunked_events, event_columns, stage_once, staged_by_time, staged_readings, user_events, write_chunk_files,
+)
 from sensorframe.session import scratch_dir
 from sensorframe.sources import (
-    chunk_files, chunk_progress, read_events, read_readings, to_points, upsert_points, write_events,
+    add_distinct, chunk_files, chunk_progress, distinct_counts, hourly_counts, merge_moments, read_events, read_readings, read_rollup,
+    read_steps, refresh_rollup, to_points, upsert_points, upsert_stored, variance, write_events,
 )
 from sensorframe.streaming import (
-    latest_buckets, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress,
+    latest_buckets, load_numbered, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress, upsert_available,
 )
 
 
@@ -26,22 +29,34 @@ def ingest_chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunk files loaded into a table as a stream, at most 64 in a step."""
-    table, _ = _streamed(spark, sf_dir)
-    return spark.read.schema("chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING").parquet(table).drop("step")
+    """Chunk files loaded into a table as a stream, one file a step."""
+    loaded = spark.read.schema("chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING")
+    return loaded.parquet(f"{_streamed(spark, sf_dir)}/rows").drop("step")
 
 
 def ingest_stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the steps of the stream report, as running totals by chunk number."""
-    _, progress = _streamed(spark, sf_dir)
-    return stream_progress(spark, staged_readings(spark, sf_dir), progress)
+    return stream_progress(spark, staged_readings(spark, sf_dir), f"{_streamed(spark, sf_dir)}/progress")
+
+
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the rows and the progress of one load, for both queries on it."""
+    def load(path: str) -> None:
+        scanned = scan_stream(spark, staged_readings(spark, sf_dir), files_per_trigger=1)
+        load_with_progress(scanned, f"{path}/rows", f"{path}/progress", f"{path}/checkpoint").awaitTermination()
 
+    return stage_once(spark, sf_dir, "streamed", load)
 
-def _streamed(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    table, progress = scratch_dir(spark, "streamed"), scratch_dir(spark, "streamed-progress")
-    scanned = scan_stream(spark, staged_readings(spark, sf_dir), files_per_trigger=64)
-    load_with_progress(scanned, table, progress, scratch_dir(spark, "streamed-checkpoint")).awaitTermination()
-    return table, progress
+
+def ingest_resumed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids over two loads into one table, the second of the chunks that came after the first: the ids of one load of all."""
+    arrived, table, checkpoint = (scratch_dir(spark, f"resumed-{x}") for x in ("arrived", "table", "checkpoint"))
+    chunks = chunked_events(spark, sf_dir)
+    half = (chunks.agg(F.max("chunk")).first()[0] or 0) // 2
+    for part in (F.col("chunk") <= half, F.col("chunk") > half):
+        write_chunk_files(chunks.filter(part), arrived)
+        load_numbered(scan_stream(spark, arrived), table, checkpoint).awaitTermination()
+    return read_steps(spark, table, "id BIGINT, chunk INT, user_id STRING, ts TIMESTAMP, rssi FLOAT, ssid STRING")
 
 
 def ingest_append(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +114,61 @@ def points_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_points(daily, ["user_id", "ssid", "day"])
 
 
+def points_upsert_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into a stored table in three batches, newer versions not always in later ones."""
+    table = scratch_dir(spark, "upserted")
+    daily = user_events(spark, sf_dir).select("id", "user_id", "ssid", day_date("ts").alias("day"), "rssi")
+    for k in (2, 0, 1):
+        upsert_stored(daily.filter(F.col("id") % 3 == k), table, ["user_id", "ssid", "day"])
+    return spark.read.schema(daily.schema).parquet(table)
+
+
+def points_upsert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream, into a table that holds the last write of every user and day."""
+    stream = event_columns(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]"))
+    daily = stream.select("id", "user_id", "ssid", day_start("ts").alias("time"), day_date("ts").alias("day"), "rssi")
+    table = scratch_dir(spark, "upserted-stream")
+    century = 100 * 365 * 86400  # files arrive in any order of time
+    upsert_available(daily, table, ["user_id", "time", "day"], "time", "id", "day", century, scratch_dir(spark, "upserted-checkpoint")).awaitTermination()
+    return spark.read.schema("id BIGINT, user_id STRING, ssid STRING, time TIMESTAMP, rssi FLOAT, day DATE").parquet(table).drop("time")
+
+
+def _rolled_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly moments of the event table, refreshed after each of three appends."""
+    def load(path: str) -> None:
+        for k in range(3):
+            write_events(user_events(spark, sf_dir).filter(F.col("id") % 3 == k), f"{path}/events", "time")
+            refresh_rollup(spark, f"{path}/events", f"{path}/rollup")
+
+    return read_rollup(spark, f"{stage_once(spark, sf_dir, 'rolled-up', load)}/rollup")
+
+
+def rollup_daily_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily count, mean and variances from hourly moments."""
+    days = merge_moments(_rolled_up(spark, sf_dir), ["event_date"], "hour")
+    return days.select(
+        F.col("event_date").alias("day"), "n", F.round("mean", 6).alias("avg_rssi"),
+        F.round(variance(), 6).alias("rssi_variance"), F.round(variance(sample=False), 6).alias("rssi_var_pop"))
+
+
+def rollup_hour_of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hour_of_day_from_buckets(hourly_counts(_rolled_up(spark, sf_dir))).orderBy("hour")
+
+
+def rollup_peak_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_rows(hourly_counts(_rolled_up(spark, sf_dir)), "n", 5, ["bucket"]).withColumnRenamed("bucket", "hour")
+
+
+def distinct_over_appends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct users per day, and of all days as the row without one, after three appends."""
+    folder = scratch_dir(spark, "distinct")
+    daily = user_events(spark, sf_dir).select("id", "user_id", day_date("ts").alias("day"))
+    for k in range(3):
+        add_distinct(daily.filter(F.col("id") % 3 == k), folder, "appends", k)
+    days = distinct_counts(spark, folder, "DATE").select(F.col("group").alias("day"), F.col("n").alias("n_users"))
+    return days.unionByName(distinct_counts(spark, folder, "DATE", per_group=False).select(F.lit(None).cast("date").alias("day"), F.col("n").alias("n_users")))
+
+
 def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts of the whole table, computed as a stream."""
     # as a pattern, the path may be one file or a folder of files
@@ -109,7 +179,7 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {q.__name__: q for q in (
-    ingest_readings, ingest_chunk_order, ingest_stream, ingest_stream_progress, ingest_append, ingest_progress, surrogate_id,
-    layout_time_partition, layout_pruned_slice, layout_shards, layout_sorted, points_long, points_upsert,
-    stream_hourly,
+    ingest_readings, ingest_chunk_order, ingest_stream, ingest_stream_progress, ingest_append, ingest_progress, surrogate_id, ingest_resumed_ids,
+    layout_time_partition, layout_pruned_slice, layout_shards, layout_sorted, points_long, points_upsert, points_upsert_stored,
+    points_upsert_stream, rollup_daily_variance, rollup_hour_of_day, rollup_peak_hours, distinct_over_appends, stream_hourly,
 )}

@@ -79,7 +79,7 @@ def chunked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     def write(path: str) -> None:
         user_events(spark, sf_dir).repartitionByRange("id").withColumn("range", F.spark_partition_id()).write.parquet(path)
 
-    rows = spark.read.parquet(_stage_once(spark, sf_dir, "by-id", write))
+    rows = spark.read.parquet(stage_once(spark, sf_dir, "by-id", write))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("range").orderBy("id"))
@@ -95,7 +95,7 @@ def once_key(spark: SparkSession, sf_dir: str, what: str) -> tuple:
     return spark.sparkContext.applicationId, sf_dir, what, stamp(spark, f"{sf_dir}/events.parquet")
 
 
-def _stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
+def stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
     key = once_key(spark, sf_dir, what)
     if key not in _staged:
         path = scratch_dir(spark, what)
@@ -104,41 +104,46 @@ def _stage_once(spark: SparkSession, sf_dir: str, what: str, write) -> str:
     return _staged[key]
 
 
-def staged_readings(spark: SparkSession, sf_dir: str) -> str:
-    """Folder with the event table as chunk files, written once per session and state of the input.
+def write_chunk_files(chunks: DataFrame, path: str) -> None:
+    """Add a document for each chunk of ``chunks`` to the folder ``path``.
 
     Even chunks are objects with a ``response`` list, odd ones bare arrays. Every reading is a line
     of its document, with the brackets and commas around it, so that a document is written row by
     row and never held in memory.
     """
+    reading = F.to_json(F.struct(
+        F.col("user_id").alias("userId"), F.unix_seconds("ts").alias("lastUpdatedTime"),
+        F.struct("ssid", "rssi").alias("connection")))
+    rows = chunks.select(
+        F.concat(F.lit("readings_"), F.col("chunk").cast("string"), F.lit(".json")).alias("file"),
+        "id", (F.col("chunk") % 2 == 0).alias("is_object"), reading.alias("reading"))
+    in_file = Window.partitionBy("file").orderBy("id")
+    is_first, is_last = F.lag("id").over(in_file).isNull(), F.lead("id").over(in_file).isNull()
+    opening = F.when(is_first, F.when(F.col("is_object"), '{"response": [').otherwise("[")).otherwise("")
+    closing = F.when(is_last, F.when(F.col("is_object"), "]}").otherwise("]")).otherwise(",")
+    # the window leaves the rows ordered by file and id, and the writer keeps that order
+    rows.select(F.concat(opening, "reading", closing).alias("value"), "file").write.mode("append").partitionBy("file").text(path)
+
+
+def staged_readings(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the event table as chunk files, written once per session and state of the input."""
     def write(path: str) -> None:
-        reading = F.to_json(F.struct(
-            F.col("user_id").alias("userId"), F.unix_seconds("ts").alias("lastUpdatedTime"),
-            F.struct("ssid", "rssi").alias("connection")))
-        rows = chunked_events(spark, sf_dir).select(
-            F.concat(F.lit("readings_"), F.col("chunk").cast("string"), F.lit(".json")).alias("file"),
-            "id", (F.col("chunk") % 2 == 0).alias("is_object"), reading.alias("reading"))
-        in_file = Window.partitionBy("file").orderBy("id")
-        is_first, is_last = F.lag("id").over(in_file).isNull(), F.lead("id").over(in_file).isNull()
-        opening = F.when(is_first, F.when(F.col("is_object"), '{"response": [').otherwise("[")).otherwise("")
-        closing = F.when(is_last, F.when(F.col("is_object"), "]}").otherwise("]")).otherwise(",")
-        # the window leaves the rows ordered by file and id, and the writer keeps that order
-        rows.select(F.concat(opening, "reading", closing).alias("value"), "file").write.partitionBy("file").text(path)
+        write_chunk_files(chunked_events(spark, sf_dir), path)
         # after the last chunk one without readings, and one with a reading that holds nothing
         chunked_events(spark, sf_dir).agg((F.coalesce(F.max("chunk"), F.lit(-1)) + 1).alias("n")).select(F.inline(F.array(*[
             F.struct(F.lit(text).alias("value"), F.concat(F.lit("readings_"), (F.col("n") + k).cast("string"), F.lit(".json")).alias("file"))
             for k, text in enumerate(['{"response": []}', "[{}]"])
         ]))).write.mode("append").partitionBy("file").text(path)
 
-    return _stage_once(spark, sf_dir, "readings", write)
+    return stage_once(spark, sf_dir, "readings", write)
 
 
 def staged_runlogs(spark: SparkSession, sf_dir: str) -> str:
     """Folder with one run-log document per engine and run."""
-    return _stage_once(spark, sf_dir, "runlogs", lambda path: write_runlogs(
+    return stage_once(spark, sf_dir, "runlogs", lambda path: write_runlogs(
         build_runlogs(ingest_log(spark, sf_dir), run_log_per_query(spark, sf_dir)), path))
 
 
 def staged_by_time(spark: SparkSession, sf_dir: str) -> str:
     """The event table in the ``time`` layout."""
-    return _stage_once(spark, sf_dir, "by-time", lambda path: write_events(user_events(spark, sf_dir), path, "time"))
+    return stage_once(spark, sf_dir, "by-time", lambda path: write_events(user_events(spark, sf_dir), path, "time"))

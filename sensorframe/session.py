@@ -35,6 +35,22 @@ def _file_system(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def move_path(spark: SparkSession, path: str, to: str) -> None:
+    at, fs = _file_system(spark, path)
+    if not fs.rename(at, _file_system(spark, to)[0]):
+        raise OSError(f"cannot move {path} to {to}")
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at, fs = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def clear_scratch(spark: SparkSession) -> int:
     """Delete the scratch folders that this session made, and no others; their number.
 

@@ -1,9 +1,10 @@
 from sensorframe.streaming.buckets import latest_buckets, run_bucket_agg, stream_bucket_agg
 from sensorframe.streaming.ingest import (
-    load_available, load_with_progress, scan_stream, stream_progress, stream_readings,
+    load_available, load_numbered, load_with_progress, scan_stream, stream_progress, stream_readings,
 )
+from sensorframe.streaming.upserts import newest_points, upsert_available
 
 __all__ = [
-    "latest_buckets", "load_available", "load_with_progress", "run_bucket_agg", "scan_stream", "stream_bucket_agg",
-    "stream_progress", "stream_readings",
+    "latest_buckets", "load_available", "load_numbered", "load_with_progress", "newest_points", "run_bucket_agg", "scan_stream",
+    "stream_bucket_agg", "stream_progress", "stream_readings", "upsert_available",
 ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sensorframe.sources.readings import (
     CHUNK_COUNTS, chunk_counts, chunk_files, flatten_chunks, is_complete, json_reader, with_running_total,
 )
+from sensorframe.sources.steps import append_step
 
 
 def stream_readings(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
@@ -56,6 +59,24 @@ def load_with_progress(scanned: DataFrame, table: str, progress: str, checkpoint
     )
 
 
+def load_numbered(scanned: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Load what has arrived since the last call with ids that go on over steps, calls and loads (see ``append_step``).
+
+    Each checkpoint is a load of its own. A step that is replayed after a crash gives its rows the ids they had. Within a step ids go by
+    chunk number and place in the chunk; with one file a step, by arrival.
+    """
+    load = sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def step(batch: DataFrame, number: int) -> None:
+        # a document is read by one task, so this counts up in the order of its readings
+        placed = batch.filter(is_complete()).withColumn("pos", F.monotonically_increasing_id())
+        append_step(placed, table, load, number)
+
+    return (
+        scanned.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
 def stream_progress(spark: SparkSession, path: str, progress: str) -> DataFrame:
     """``(chunk, n, rejected, n_records)`` of the chunk files under ``path`` that are loaded so far.
 
