@@ -1,0 +1,203 @@
+"""Tables that are loaded again: ids, upserts, rollups and distinct counts over steps, replays and crashes."""
+
+import datetime as dt
+import itertools
+import os
+import statistics
+
+import pytest
+from conftest import at
+from pyspark.sql import functions as F
+
+from sensorframe.functions import day_date
+from sensorframe.session import move_path
+from sensorframe.sources import (
+    add_distinct, append_step, distinct_counts, high_water, merge_moments, moments, read_rollup, read_steps, refresh_rollup, upsert_points,
+    upsert_stored, variance, write_events, write_step,
+)
+from sensorframe.sources import points as points_module
+from sensorframe.streaming import load_numbered, scan_stream, upsert_available
+
+ROWS = "chunk INT, pos BIGINT, v STRING, id BIGINT"
+
+
+def chunk_rows(spark, rows):
+    return spark.createDataFrame(rows, "chunk int, pos long, v string")
+
+
+def ids(spark, table):
+    return sorted((r.id, r.v) for r in read_steps(spark, table, ROWS).collect())
+
+
+def test_ids_go_on_over_steps_and_loads(spark, tmp_path):
+    table = f"{tmp_path}/t"
+    assert high_water(spark, table) == 0 and ids(spark, table) == []
+    append_step(chunk_rows(spark, [(1, 5, "b"), (0, 70_000, "a"), (0, 1, "z")]), table, "x", 0)
+    append_step(chunk_rows(spark, []), table, "x", 1)
+    append_step(chunk_rows(spark, [(0, 0, "c")]), table, "x", 2)
+    append_step(chunk_rows(spark, [(None, 0, "d"), (0, 0, "e")]), table, "y", 0)
+    assert ids(spark, table) == [(1, "z"), (2, "a"), (3, "b"), (4, "c"), (5, "d"), (6, "e")]
+    assert high_water(spark, table) == 6
+
+
+def test_finished_steps_are_left_alone_and_broken_ones_redone(spark, tmp_path, monkeypatch):
+    table = f"{tmp_path}/t"
+    append_step(chunk_rows(spark, [(0, 0, "a"), (0, 1, "b")]), table, "x", 0)
+    # rows without a mark: the step broke off
+    chunk_rows(spark, [(0, 0, "half")]).withColumn("id", F.lit(3)).write.parquet(f"{table}/rows/load=x/step=1")
+    assert ids(spark, table) == [(1, "a"), (2, "b")]
+    for _ in range(2):  # done anew, then replayed
+        append_step(chunk_rows(spark, [(0, 0, "c"), (0, 1, "d")]), table, "x", 1)
+        assert ids(spark, table) == [(1, "a"), (2, "b"), (3, "c"), (4, "d")]
+    append_step(chunk_rows(spark, [(0, 0, "e")]), table, "y", 0)
+    append_step(chunk_rows(spark, [(0, 0, "other")]), table, "x", 1)  # replayed after another load went on
+    assert ids(spark, table)[-1] == (5, "e") and high_water(spark, table) == 5
+
+
+def reading(user, second):
+    return '{"userId": "%s", "lastUpdatedTime": %d, "connection": {"ssid": "s", "rssi": -40}}' % (user, second)
+
+
+def test_stream_numbers_files_as_they_arrive(spark, tmp_path):
+    source, table, checkpoint = tmp_path / "in", f"{tmp_path}/t", f"{tmp_path}/c"
+    source.mkdir()
+    for k, users in enumerate((["a", "b"], ["c"], [], ["d", "e", "f"])):
+        text = "[" + ",\n".join(reading(u, i) for i, u in enumerate(users)) + "]"
+        file = source / f"readings_{k}.json"
+        file.write_text(text if k % 2 else '{"response": %s}' % text)
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+        if k != 1:  # the second file arrives with the third
+            load_numbered(scan_stream(spark, str(source), files_per_trigger=1), table, checkpoint).awaitTermination()
+    rows = read_steps(spark, table, "id BIGINT, chunk INT, user_id STRING").orderBy("id").collect()
+    assert [(r.id, r.user_id) for r in rows] == list(enumerate("abcdef", 1))
+
+
+def files(folder):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def daily(spark, rows):
+    data = [(i, u, v, dt.date(2024, 1, d) if d else None) for i, u, d, v in rows]
+    return spark.createDataFrame(data, "id long, user_id string, v double, day date")
+
+
+BATCHES = [
+    [(5, "a", 1, 1.0), (1, "a", 2, 2.0), (1, "b", 3, 3.0), (None, "n", None, 0.0)],
+    [(4, "a", 1, 9.0), (7, "a", 2, 4.0), (8, "a", 2, 5.0)],
+    [(2, "c", 2, 6.0), (2, "n", None, 7.0), (2, "n", None, 7.0)],
+    [],
+]
+
+
+def test_stored_upserts_touch_only_their_partitions(spark, tmp_path):
+    path, keys = f"{tmp_path}/t", ["user_id", "day"]
+    for k, batch in enumerate(BATCHES):
+        before = files(path)
+        assert upsert_stored(daily(spark, batch), path, keys) == len({d for _, _, d, _ in batch})
+        after = files(path)
+        own = {f"day=2024-01-0{d}" if d else "day=__HIVE_DEFAULT_PARTITION__" for _, _, d, _ in batch}
+        kept = {f for f in before if not any(o in f for o in own)}
+        assert all(before[f] == after.get(f) for f in kept) and all(any(o in f for o in own) for f in set(after) - kept), k
+        seen = daily(spark, list(itertools.chain(*BATCHES[: k + 1])))
+        stored = spark.read.schema(seen.schema).parquet(path)
+        assert sorted(map(repr, stored.collect())) == sorted(map(repr, upsert_points(seen, keys).collect()))
+    upsert_stored(daily(spark, BATCHES[0]), path, keys)  # repeated
+    assert sorted(map(repr, spark.read.schema(seen.schema).parquet(path).collect())) == sorted(map(repr, upsert_points(seen, keys).collect()))
+
+
+def test_broken_swap_is_finished_by_the_next_call(spark, tmp_path, monkeypatch):
+    path, keys = f"{tmp_path}/t", ["user_id", "day"]
+    upsert_stored(daily(spark, BATCHES[0]), path, keys)
+    with monkeypatch.context() as m:
+        m.setattr(points_module, "_finish_swap", lambda *a: None)  # merged, but not yet in place
+        upsert_stored(daily(spark, BATCHES[1]), path, keys)
+    upsert_stored(daily(spark, BATCHES[2]), path, keys)
+    seen = daily(spark, [r for b in BATCHES for r in b])
+    assert sorted(map(repr, spark.read.schema(seen.schema).parquet(path).collect())) == sorted(map(repr, upsert_points(seen, keys).collect()))
+    with pytest.raises(ValueError):
+        upsert_stored(daily(spark, BATCHES[0]), path, ["user_id"])
+    with pytest.raises(OSError):
+        move_path(spark, f"{path}/absent", f"{path}/there")
+
+
+def test_streamed_upserts_do_not_depend_on_arrival(spark, tmp_path):
+    """Versions in any order over the steps leave the same table; what is behind the watermark is dropped."""
+    versions = [(5, "a", 10, 1.0), (3, "a", 10, 2.0), (9, "a", 10, 3.0), (4, "b", 500, 4.0), (None, "b", 500, 5.0), (1, "c", 86_400, 6.0)]
+    kind = "id long, user_id string, ts timestamp, v double"
+    tables = []
+    for n, order in enumerate((versions, versions[::-1])):
+        source, path = f"{tmp_path}/in{n}", f"{tmp_path}/t{n}"
+        for k in range(0, 6, 2):
+            rows = spark.createDataFrame([(i, u, at(s), v) for i, u, s, v in order[k : k + 2]], kind)
+            rows.withColumn("day", day_date("ts")).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(f"{kind}, day date").parquet(source)
+            upsert_available(stream, path, ["user_id", "ts", "day"], "ts", "id", "day", 200_000, f"{tmp_path}/c{n}").awaitTermination()
+        tables.append(sorted(map(repr, spark.read.schema(f"{kind}, day date").parquet(path).collect())))
+    assert tables[0] == tables[1] and len(tables[0]) == 3 and any("id=9" in r for r in tables[0])
+
+
+def test_rollup_reads_changed_days_only(spark, make_events, tmp_path):
+    events, path = f"{tmp_path}/events", f"{tmp_path}/rollup"
+    day, values = 86_400, []
+
+    def append(rows):
+        values.extend(rows)
+        write_events(make_events([("u", s, r, "a") for s, r in rows]), events, "time")
+
+    append([(10, -40.0), (3700, -60.5), (day + 5, -70.0), (2 * day, -30.0)])
+    assert len(refresh_rollup(spark, events, path)) == 3
+    assert refresh_rollup(spark, events, path) == []
+    before = files(path)
+    append([(day + 6, -20.0), (day + 7300, -21.0), (day + 8, 1e6)])
+    assert refresh_rollup(spark, events, path) == [dt.date(2024, 1, 2)]
+    after = files(path)
+    assert {f for f in before if "2024-01-02" not in f} == {f for f in after if "2024-01-02" not in f and before.get(f) == after[f]}
+    merged = {r.event_date: r for r in merge_moments(read_rollup(spark, path), ["event_date"], "hour").withColumn("var", variance()).collect()}
+    for d in range(3):
+        own = [r for s, r in values if s // day == d]
+        got = merged[dt.date(2024, 1, 1 + d)]
+        assert got.n == len(own) and got.mean == pytest.approx(statistics.fmean(own), abs=1e-6)
+        assert got["var"] == (None if len(own) < 2 else pytest.approx(statistics.variance(own), rel=1e-9))
+
+
+def test_moments_of_empty_and_constant_groups(spark):
+    rows = spark.createDataFrame([(1, 1, None), (1, 2, 1e9 + 1), (1, 3, 1e9 + 2), (1, 3, 1e9 + 3), (2, 1, None), (None, 1, 5.0)], "k int, h int, v double")
+    parts = rows.groupBy("k", "h").agg(*moments("v"))
+    got = {r.k: (r.n, r.mean, r.s, r.p) for r in merge_moments(parts, ["k"], "h").withColumns({"s": variance(), "p": variance(sample=False)}).collect()}
+    assert got == {1: (3, 1e9 + 2, 1.0, pytest.approx(2 / 3)), 2: (0, None, None, None), None: (1, 5.0, None, 0.0)}
+
+
+def test_distinct_counts_over_appends(spark, tmp_path):
+    folder, steps = f"{tmp_path}/d", [
+        [(1, f"u{i % 7}") for i in range(50)] + [(2, "u1"), (2, None), (None, "u9")],
+        [(1, f"u{i}") for i in range(3, 12)], [], [(2, f"v{i}") for i in range(40_000)],
+    ]
+    seen = []
+    for k, rows in enumerate(steps):
+        frame = spark.createDataFrame(rows, "day int, user_id string")
+        for _ in range(2 if k == 1 else 1):  # a replayed step counts once
+            add_distinct(frame, folder, "x", k)
+        seen += rows
+        expected = {d: len({u for e, u in seen if e == d and u}) for d in {d for d, _ in seen}}
+        assert {r.group: r.n for r in distinct_counts(spark, folder, "INT").collect()} == expected
+        assert distinct_counts(spark, folder, "INT", per_group=False).first().n == len({u for _, u in seen if u})
+
+
+def test_numbers_survive_a_crash_between_dictionary_and_bitmaps(spark, tmp_path, monkeypatch):
+    from sensorframe.sources import distinct
+
+    folder, rows = f"{tmp_path}/d", spark.createDataFrame([(1, "a"), (1, "b")], "day int, user_id string")
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(distinct, "write_step", broken)
+        with pytest.raises(RuntimeError):
+            add_distinct(rows, folder, "x", 0)
+    assert distinct_counts(spark, folder, "INT").collect() == []
+    add_distinct(rows, folder, "x", 0)
+    add_distinct(spark.createDataFrame([(1, "b"), (1, "c")], "day int, user_id string"), folder, "x", 1)
+    assert distinct_counts(spark, folder, "INT").first().n == 3
+    write_step(rows, f"{tmp_path}/plain", "x", 0)
+    assert read_steps(spark, f"{tmp_path}/plain", rows.schema).count() == 2
