@@ -1,6 +1,7 @@
 from sensorframe.operators.buckets import (
     bucket_agg, bucket_of, gap_fill, hour_of_day, hour_of_day_from_buckets,
 )
+from sensorframe.operators.digest import digest, digest_percentiles, merge_digests, sample, sampled_percentiles
 from sensorframe.operators.ids import with_dense_id
 from sensorframe.operators.rank import top_k, top_k_per_group, top_rows, top_rows_per_group
 from sensorframe.operators.stats import (
@@ -12,9 +13,9 @@ from sensorframe.operators.timeslice import (
 )
 
 __all__ = [
-    "activity_span", "around_midpoint", "binned_percentiles", "bound", "bucket_agg", "bucket_of", "distinct_count", "distinct_values",
-    "earliest", "exact_percentiles", "gap_fill", "hour_of_day", "hour_of_day_from_buckets", "implicit_group",
-    "instants", "latest", "mean", "midpoint", "percentiles", "relative_slice", "row_count", "series_agg",
-    "sketch_percentiles", "spread", "time_bounds", "time_slice", "top_k", "top_k_per_group", "top_rows",
-    "top_rows_per_group", "with_dense_id",
+    "activity_span", "around_midpoint", "binned_percentiles", "bound", "bucket_agg", "bucket_of", "digest",
+    "digest_percentiles", "distinct_count", "distinct_values", "earliest", "exact_percentiles", "gap_fill", "hour_of_day",
+    "hour_of_day_from_buckets", "implicit_group", "instants", "latest", "mean", "merge_digests", "midpoint", "percentiles",
+    "relative_slice", "row_count", "sample", "sampled_percentiles", "series_agg", "sketch_percentiles", "spread",
+    "time_bounds", "time_slice", "top_k", "top_k_per_group", "top_rows", "top_rows_per_group", "with_dense_id",
 ]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sensorframe.functions import micros_between, n_rows, spread_of
+from sensorframe.session import materialize
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -80,6 +81,11 @@ PARTS = 1 << 16
 _PART = f"coalesce(floor(nanvl((_v - _lo) / nullif(_hi - _lo, 0D), 0D) * {PARTS}), 0L)"
 
 
+# The same for intervals that may reach to infinity or hold NaN, each of which gets a part of its own. The smallest and the largest value of an
+# interval are never in one part.
+_OWN_PART = f"CASE WHEN isnan(_v) THEN {PARTS + 2} WHEN _v = double('infinity') THEN {PARTS + 1} WHEN _v = double('-infinity') THEN -1 ELSE {_PART} END"
+
+
 def _values(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     """The values of a column as doubles, each counting once."""
     return df.select(*keys, F.col(column).cast("double").alias("_v"), F.lit(1).cast("bigint").alias("_n")).filter("_v IS NOT NULL")
@@ -110,43 +116,21 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
     Equal to ``percentile_cont``, without its map of all distinct values in a single task. Over a
     whole table the column is scanned twice, and only bin counts and the values of the bins hit are
     shuffled. A DOUBLE column is scanned three times: the bins hit are cut once more, so that a task gets
-    the values of 1 / 65,536 of a bin's range. With ``keys`` the values are counted first, as the bins hit may be too
-    many to broadcast, and a key's bin is one group.
+    the values of 1 / 65,536 of a bin's range. With ``keys`` the bins hit are cut again and again, of all keys at once,
+    until each holds one value (see ``_narrowed``): no task gets a key's values, however many there are. That runs jobs at
+    once, one a round.
     """
-    rows = _values(df, column, keys)
-    if keys:
-        rows = _counted(rows, *keys, "_v")
-    rows = rows.selectExpr("*", f"{_bin()} AS _bin")
-
     edges = ", ".join(f"floor({_rank(p)}), ceil({_rank(p)})" for p in probs.values())
 
     def inside(before: str, n: str) -> str:
         """The wanted ranks that fall on the ``n`` rows after the first ``before`` rows."""
         return f"filter(array_distinct(array({edges})), r -> r >= {before} AND r < {before} + {n})"
 
-    hit = _running_bins(rows, keys).filter(f"size({inside('_before', '_rows')}) > 0").drop("_rows")
+    binned = _values(df, column, keys).selectExpr("*", f"{_bin()} AS _bin")
     if keys:
-        hit = hit.withColumnsRenamed({k: f"_hit_{k}" for k in [*keys, "_bin"]})
-        same = " AND ".join(f"`{k}` <=> `_hit_{k}`" for k in keys)  # null is a key like others
-        values = rows.join(hit, F.expr(f"_bin = _hit__bin AND {same}"))
+        ranked = _narrowed(binned, keys, inside).selectExpr(*[f"`{k}`" for k in keys], "_total", "_lo AS _v", "_before AS _first", "_rows AS _n")
     else:
-        if not isinstance(df.select(column).schema[0].dataType, (T.FloatType, T.ByteType, T.ShortType)):
-            parts = rows.join(F.broadcast(hit), "_bin").selectExpr("_bin", "_before", "_total", "_lo", "_hi", "_n", f"{_PART} AS _part")
-            by_part = parts.groupBy("_bin", "_part", "_before", "_total", "_lo", "_hi").agg(F.sum("_n").alias("_rows"))
-            start = "_before + coalesce(sum(_rows) OVER (PARTITION BY _bin ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
-            cut = by_part.selectExpr("_bin", "_part", "_lo", "_hi", "_total", "_rows", f"{start} AS _before")
-            cut = cut.filter(f"size({inside('_before', '_rows')}) > 0").select("_bin", "_part", "_total", "_before")
-            bounds = hit.select("_bin", "_lo", "_hi")
-            rows = rows.join(F.broadcast(bounds), "_bin").selectExpr("_v", "_n", "_bin", f"{_PART} AS _part")
-            # at most two parts per percentile
-            found_in = _counted(rows.join(F.broadcast(cut), ["_bin", "_part"]), "_bin", "_part", "_v", "_before", "_total")
-            values = found_in.withColumn("_bin", F.struct("_bin", "_part")).drop("_part")
-        else:
-            # at most two bins per percentile
-            values = _counted(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
-
-    upto = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        ranked = _ranked(binned, inside, isinstance(df.select(column).schema[0].dataType, (T.FloatType, T.ByteType, T.ShortType)))
     found = ranked.selectExpr(*[f"`{k}`" for k in keys], "_total", "_v", f"explode({inside('_first', '_n')}) AS _rank")
     # one entry per wanted rank
     at = found.groupBy(*keys).agg(F.expr("first(_total) AS _total"), F.expr("map_from_entries(collect_list(struct(_rank, _v))) AS _at"))
@@ -159,6 +143,53 @@ def exact_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys:
     return at.selectExpr(*[f"`{k}`" for k in keys], *[f"{interpolated(p)} AS `{name}`" for name, p in probs.items()])
 
 
+def _ranked(rows: DataFrame, inside: Callable[[str, str], str], few_values: bool) -> DataFrame:
+    """``(_total, _v, _n, _first)`` of the values of the whole table that may have a wanted rank."""
+    hit = _running_bins(rows, ()).filter(f"size({inside('_before', '_rows')}) > 0").drop("_rows")
+    if few_values:
+        # at most two bins per percentile
+        values = _counted(rows.join(F.broadcast(hit), "_bin"), "_bin", "_v", "_before", "_total")
+    else:
+        parts = rows.join(F.broadcast(hit), "_bin").selectExpr("_bin", "_before", "_total", "_lo", "_hi", "_n", f"{_PART} AS _part")
+        by_part = parts.groupBy("_bin", "_part", "_before", "_total", "_lo", "_hi").agg(F.sum("_n").alias("_rows"))
+        start = "_before + coalesce(sum(_rows) OVER (PARTITION BY _bin ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+        cut = by_part.selectExpr("_bin", "_part", "_lo", "_hi", "_total", "_rows", f"{start} AS _before")
+        cut = cut.filter(f"size({inside('_before', '_rows')}) > 0").select("_bin", "_part", "_total", "_before")
+        bounds = hit.select("_bin", "_lo", "_hi")
+        rows = rows.join(F.broadcast(bounds), "_bin").selectExpr("_v", "_n", "_bin", f"{_PART} AS _part")
+        # at most two parts per percentile
+        found_in = _counted(rows.join(F.broadcast(cut), ["_bin", "_part"]), "_bin", "_part", "_v", "_before", "_total")
+        values = found_in.withColumn("_bin", F.struct("_bin", "_part")).drop("_part")
+    upto = Window.partitionBy("_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return values.withColumn("_first", F.col("_before") + F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+
+
+def _narrowed(rows: DataFrame, keys: Sequence[str], inside: Callable[[str, str], str]) -> DataFrame:
+    """``(*keys, _total, _before, _rows, _lo, _hi)``: per key the single values, ``_lo`` equal to ``_hi``, that hold its wanted ranks.
+
+    Starts with the bins that hold them. Each round cuts every interval that still holds several values into 65,536 equal parts
+    between its smallest and largest value, counts them, and keeps the parts with a wanted rank. Only counts are shuffled and ordered, and
+    three rounds resolve more than the digits of a double inside a bin; more are needed only next to zero.
+    """
+    names = [f"`{k}`" for k in keys]
+    columns = [*names, "_total", "_before", "_rows", "_lo", "_hi"]
+    wanted = f"size({inside('_before', '_rows')}) > 0"
+    values = rows.select(*keys, "_v", "_n")
+    now = materialize(_running_bins(rows, keys).filter(wanted).selectExpr(*columns), "percentile-bins")
+    single = now.filter("_lo <=> _hi")
+    while not (several := now.filter("NOT (_lo <=> _hi)")).isEmpty():
+        around = several.selectExpr(*[f"{n} AS `_of_{k}`" for n, k in zip(names, keys, strict=True)], "_total", "_before", "_lo", "_hi")
+        same = " AND ".join(f"{n} <=> `_of_{k}`" for n, k in zip(names, keys, strict=True))  # null is a key like others
+        parts = values.join(around, F.expr(f"{same} AND _v >= _lo AND _v <= _hi")).selectExpr("*", f"{_OWN_PART} AS _part")
+        counts = parts.groupBy(*keys, "_total", "_before", F.col("_lo").alias("_from"), "_part").agg(
+            F.sum("_n").alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+        earlier = f"sum(_rows) OVER (PARTITION BY {', '.join(names)}, _from ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+        placed = counts.selectExpr(*names, "_total", f"_before + coalesce({earlier}, 0L) AS _before", "_rows", "_lo", "_hi")
+        now = materialize(placed.filter(wanted), "percentile-parts")
+        single = single.union(now.filter("_lo <=> _hi"))
+    return single
+
+
 def binned_percentiles(df: DataFrame, column: str, probs: dict[str, float], keys: Sequence[str] = (), accuracy: float = 0.0008) -> DataFrame:
     """Percentiles within ``accuracy`` (a share, for magnitudes above 1) of a value at the wanted rank, from coarse bins.
 

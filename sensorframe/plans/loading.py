@@ -13,7 +13,7 @@ from sensorframe.plans.tables import (
 from sensorframe.session import scratch_dir
 from sensorframe.sources import (
     add_distinct, chunk_files, chunk_progress, distinct_counts, hourly_counts, merge_moments, read_events, read_readings, read_rollup,
-    read_steps, refresh_rollup, to_points, upsert_points, upsert_stored, variance, write_events,
+    read_steps, refresh_rollup, to_points, upsert_points, upsert_stored, variance, write_bucketed, write_events,
 )
 from sensorframe.streaming import (
     latest_buckets, load_numbered, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress, upsert_available,
@@ -98,6 +98,18 @@ def layout_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_events(spark, table, "shards").groupBy("ts").agg(n_rows(), F.count_distinct("shard").alias("n_shards"))
 
 
+def bucketed_counts(table: DataFrame) -> DataFrame:
+    """``(user_id, n, n_ssids)``: two aggregates of a table in buckets by user, joined where the buckets lie."""
+    counts = table.groupBy("user_id").agg(n_rows())
+    ssids = table.groupBy("user_id").agg(F.size(F.collect_set("ssid")).cast("bigint").alias("n_ssids"))
+    return counts.hint("merge").join(ssids, "user_id")
+
+
+def layout_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_dir(spark, "bucketed")
+    return bucketed_counts(write_bucketed(user_events(spark, sf_dir), path.rpartition("/")[2].replace("-", "_"), path, buckets=8))
+
+
 def layout_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = scratch_dir(spark, "sorted")
     write_events(user_events(spark, sf_dir), table, "sorted")
@@ -180,6 +192,6 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (
     ingest_readings, ingest_chunk_order, ingest_stream, ingest_stream_progress, ingest_append, ingest_progress, surrogate_id, ingest_resumed_ids,
-    layout_time_partition, layout_pruned_slice, layout_shards, layout_sorted, points_long, points_upsert, points_upsert_stored,
+    layout_time_partition, layout_pruned_slice, layout_shards, layout_bucketed, layout_sorted, points_long, points_upsert, points_upsert_stored,
     points_upsert_stream, rollup_daily_variance, rollup_hour_of_day, rollup_peak_hours, distinct_over_appends, stream_hourly,
 )}

@@ -183,6 +183,8 @@ ORACLES = {
     "v_var_pop": _daily("var_pop(rssi)", "rssi_var_pop"),
     "v_pctl_approx": _with([EVENT_TABLE], _BINNED),
     "v_pctl_sketch": "SELECT * FROM (VALUES ('q1', true), ('median', true), ('q3', true)) t(quartile, rank_ok)",
+    **{f"v_pctl_{how}": "SELECT * FROM (VALUES ('q1', true), ('median', true), ('q3', true)) t(quartile, rank_ok)"
+       for how in ("digest", "sample")},
     "v_two_stage_sum": _ue("""
       SELECT CAST(extract(hour FROM h) AS BIGINT) AS hour, CAST(sum(n) AS BIGINT) AS n
       FROM (SELECT date_trunc('hour', ts) AS h, count(*) AS n FROM user_events GROUP BY 1) t GROUP BY 1 ORDER BY 1"""),
@@ -223,6 +225,9 @@ ORACLES = {
       FROM user_events GROUP BY 1, 2"""),
     "layout_pruned_slice": _mid(f"SELECT date_trunc('hour', ts) AS hour, count(*) AS n {_HOURLY_24H}"),
     "layout_shards": _ue("SELECT ts, count(*) AS n, CAST(1 AS BIGINT) AS n_shards FROM user_events GROUP BY 1"),
+    "layout_bucketed": _ue("""
+      SELECT user_id, n, n_ssids FROM (SELECT user_id, count(*) AS n FROM user_events GROUP BY 1) a
+      JOIN (SELECT user_id, count(DISTINCT ssid) AS n_ssids FROM user_events GROUP BY 1) b USING (user_id)"""),
     "layout_sorted": _ue("SELECT id, user_id, ts, rssi, ssid FROM user_events"),
     "points_long": _ue("""
       SELECT 'user_events' AS measurement, user_id, ssid, 'rssi' AS field, CAST(rssi AS DOUBLE) AS value, ts AS time

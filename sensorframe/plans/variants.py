@@ -10,8 +10,8 @@ from sensorframe.functions import (
     rfc3339, shift, to_real,
 )
 from sensorframe.operators import (
-    around_midpoint, bucket_agg, distinct_values, gap_fill, hour_of_day_from_buckets, implicit_group, instants,
-    percentiles, relative_slice, row_count, series_agg, spread, time_slice, top_k_per_group, top_rows, top_rows_per_group,
+    around_midpoint, bucket_agg, digest_percentiles, distinct_values, gap_fill, hour_of_day_from_buckets, implicit_group, instants,
+    percentiles, relative_slice, row_count, sampled_percentiles, series_agg, spread, time_slice, top_k_per_group, top_rows, top_rows_per_group,
 )
 from sensorframe.operators.timeslice import UNCUT_TS
 from sensorframe.plans.core import QUARTILES
@@ -103,16 +103,33 @@ def v_pctl_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(c, 6).alias(c) for c in QUARTILES])
 
 
-def v_pctl_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each sketched quartile has a rank within half a percent of its own: the values differ from run to run."""
-    ue = user_events(spark, sf_dir)
-    found = percentiles(ue, "rssi", QUARTILES, "sketch").first()
-    shares = ue.agg(*[(F.count_if(F.col("rssi") <= found[q]) / F.count("rssi")).alias(q) for q in QUARTILES])
+def _rank_ok(ue: DataFrame, found: DataFrame, off: float = 0.005) -> DataFrame:
+    """``(quartile, rank_ok)``: whether each approximate quartile has a rank at most a share of ``off`` from its own."""
+    values = found.first()
+    shares = ue.agg(*[(F.count_if(F.col("rssi") <= values[q]) / F.count("rssi")).alias(q) for q in QUARTILES])
     return shares.select(F.inline(F.array(*[
-        F.struct(F.lit(q).alias("quartile"), (F.abs(F.col(q) - p) <= 0.005).alias("rank_ok")) for q, p in QUARTILES.items()
+        F.struct(F.lit(q).alias("quartile"), (F.abs(F.col(q) - p) <= off).alias("rank_ok")) for q, p in QUARTILES.items()
     ])))
 
 
+def v_pctl_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of sketched quartiles: the values differ from run to run."""
+    ue = user_events(spark, sf_dir)
+    return _rank_ok(ue, percentiles(ue, "rssi", QUARTILES, "sketch"))
+
+
+def v_pctl_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of quartiles from a t-digest."""
+    ue = user_events(spark, sf_dir)
+    return _rank_ok(ue, digest_percentiles(ue, "rssi", QUARTILES))
+
+
+def v_pctl_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of quartiles from the 10,000 rows whose ids have the smallest hashes, within 2 percent."""
+    ue = user_events(spark, sf_dir)
+    return _rank_ok(ue, sampled_percentiles(ue, "rssi", QUARTILES, ["id"]), 0.02)
+
+
 def v_two_stage_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     hourly = bucket_agg(user_events(spark, sf_dir), "1 hour", [n_rows()])
     return hour_of_day_from_buckets(hourly).orderBy("hour")
@@ -161,6 +178,6 @@ def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (
     v_sample_by, v_implicit_group, v_subquery_topk, v_range_half_open, v_range_relative, v_series_count,
     v_window_gapfill, v_window_inf, v_spread, v_topn_per_group, v_series_peak_hours, v_distinct_values,
-    v_daily_stddev, v_var_pop, v_pctl_approx, v_pctl_sketch, v_two_stage_sum, v_bucket_day_ts,
+    v_daily_stddev, v_var_pop, v_pctl_approx, v_pctl_sketch, v_pctl_digest, v_pctl_sample, v_two_stage_sum, v_bucket_day_ts,
     variant_no_zone, variant_whole_seconds, variant_wide_signal, scalar_functions,
 )}

@@ -1,5 +1,5 @@
 from sensorframe.sources.distinct import add_distinct, distinct_counts
-from sensorframe.sources.events import as_variant, read_events, write_events
+from sensorframe.sources.events import as_variant, read_events, write_bucketed, write_events
 from sensorframe.sources.points import to_points, upsert_points, upsert_stored
 from sensorframe.sources.readings import (
     chunk_files, chunk_progress, read_readings, scan_readings,
@@ -16,5 +16,5 @@ __all__ = [
     "add_distinct", "append_step", "as_variant", "build_runlogs", "chunk_files", "chunk_progress", "distinct_counts",
     "high_water", "hourly_counts", "ingest_facts", "merge_moments", "moments", "query_facts", "read_events", "read_readings",
     "read_rollup", "read_runlogs", "read_steps", "refresh_rollup", "scan_readings", "to_points", "upsert_points",
-    "upsert_stored", "variance", "write_events", "write_runlogs", "write_step",
+    "upsert_stored", "variance", "write_bucketed", "write_events", "write_runlogs", "write_step",
 ]

@@ -54,6 +54,18 @@ def read_events(spark: SparkSession, path: str, layout: str = "plain", schema: T
     return spark.read.schema(T.StructType(schema.fields + _PARTITION_FIELDS[layout])).parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, path: str, key: str = "user_id", buckets: int = 64) -> DataFrame:
+    """Write the table ``name``, kept at ``path``, in ``buckets`` by the hash of ``key``, and give it back.
+
+    Grouping by ``key``, and joins of two such tables on it, need no shuffle. A bucket is read by one task at a time, so their number is
+    that of the tasks wanted later; a key with very many rows makes its bucket large, which suits aggregates but not sorts of it.
+    """
+    # all rows of a bucket come from one task, so that it is one file
+    dealt = df.repartition(buckets, key).sortWithinPartitions(key)
+    dealt.write.mode("overwrite").option("path", path).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def as_variant(events: DataFrame, variant: str) -> DataFrame:
     """The event table in one of the column variants in use.
 

@@ -10,7 +10,6 @@ from conftest import at
 from pyspark.sql import functions as F
 
 from sensorframe.functions import day_date
-from sensorframe.session import move_path
 from sensorframe.sources import (
     add_distinct, append_step, distinct_counts, high_water, merge_moments, moments, read_rollup, read_steps, refresh_rollup, upsert_points,
     upsert_stored, variance, write_events, write_step,
@@ -116,8 +115,6 @@ def test_broken_swap_is_finished_by_the_next_call(spark, tmp_path, monkeypatch):
     assert sorted(map(repr, spark.read.schema(seen.schema).parquet(path).collect())) == sorted(map(repr, upsert_points(seen, keys).collect()))
     with pytest.raises(ValueError):
         upsert_stored(daily(spark, BATCHES[0]), path, ["user_id"])
-    with pytest.raises(OSError):
-        move_path(spark, f"{path}/absent", f"{path}/there")
 
 
 def test_streamed_upserts_do_not_depend_on_arrival(spark, tmp_path):
