@@ -25,7 +25,7 @@ BLOCK = 8
 GRID = 2
 
 #: Vectors of a label that share a hash bucket, on average; two buckets of a cell are compared at a time.
-BUCKET = 4096
+BUCKET = 16384
 
 #: Pairs whose distances are held at once.
 CELLS = 1 << 20
