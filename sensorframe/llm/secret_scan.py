@@ -69,6 +69,9 @@ ADDED: list[tuple[str, tuple[str, ...], re.Pattern, Callable[[str], bool]]] = [
 ]
 KINDS = ["assign", "access", "hex", *(k for k, *_ in ADDED)]
 
+#: The first part of a web token goes on to the end of its characters, so where it fails, all later starts within these fail as well.
+_JWT, _PART = KINDS.index("jwt"), re.compile(r"[A-Za-z0-9_-]+")
+
 #: A keyword of an added kind counts only at the start of a token.
 _INSIDE = re.compile(r"[A-Za-z0-9_]")
 
@@ -112,6 +115,8 @@ class Scanner:
                     used[kind] = m.end()
                     if self.checks[kind](m):
                         found.append((kind, *m.span()))
+                elif kind == _JWT:
+                    used[kind] = _PART.match(text, at).end()
         return sorted(found, key=lambda s: (s[1], s[0]))
 
 

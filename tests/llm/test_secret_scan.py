@@ -2,6 +2,7 @@ import base64
 import hashlib
 import json
 import re
+import time
 import zlib
 
 from common import AWKWARD, documents, shipped  # noqa: F401
@@ -70,6 +71,20 @@ def test_added_kinds_and_their_checks():
     assert kinds("xoxb-12-ab AIza" + "x" * 35 + " sk_live_" + "a" * 24) == ["slack", "google", "stripe"]
 
 
+def test_tokens_that_break_off_are_read_once():
+    """Every ``eyJ`` after a hyphen is a start; a start that fails must not read the rest of the run again."""
+    begun = time.perf_counter()
+    assert kinds("-eyJ" * 250_000) == kinds("-eyJ" * 250_000 + ".eyJ" * 10) == []
+    assert time.perf_counter() - begun < 20
+
+
+def test_starts_after_one_that_fails_match_the_plain_search():
+    part = lambda v: base64.urlsafe_b64encode(json.dumps(v).encode()).rstrip(b"=").decode()
+    head, body = part({"alg": "HS256"}), part({"sub": 1})
+    assert kinds(f"eyJ.{head}.{body}.c2ln") == kinds(f"eyJ-eyJx {head}.{body}.c2ln") == ["jwt"]
+    assert kinds(f"eyJx {head}.{body}.c2ln") == kinds(f"eyJx.eyJy {head}.{body}.c2ln") == ["jwt"]
+
+
 def test_awkward_rows(spark, shipped):  # noqa: F811
     got = secret_scan.scan(documents(spark)).collect()
     assert len(got) == len(AWKWARD) and all(r.spans == ",".join(filter(None, [r.spans])) for r in got)
