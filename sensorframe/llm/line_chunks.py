@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sensorframe.llm.textscan import Block, blocks, mix
+from sensorframe.llm.textscan import Block, blocks, free_name, mix
 from sensorframe.session import materialize
 
 #: A chunk ends after a line if the hash of the last ROLL lines, modulo MEAN_LINES, is zero.
@@ -76,7 +76,8 @@ def _number(row: np.ndarray) -> np.ndarray:
 def chunk_rows(documents: DataFrame, with_text: bool) -> DataFrame:
     """``(doc_id, chunk, h)`` of every line, ``chunk`` being its number in the text.
 
-    Further the bytes of the line, or else its words and, where a chunk with two or more lines that hold a word opens, the number of the chunk's lines.
+    Further the bytes of the line, or else the hash of the text, which tells texts with one id apart, the words of the line and, where a
+    chunk with two or more lines that hold a word opens, the number of the chunk's lines.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,11 +97,11 @@ def chunk_rows(documents: DataFrame, with_text: bool) -> DataFrame:
                     total = np.append(0, np.cumsum(words > 0))
                     size = np.zeros(len(row), np.int64)
                     size[opened] = np.where(total[close + 1] - total[opened] >= 2, close + 1 - opened, 0)
-                    columns += [pa.array(words), pa.array(size)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "h", *(["text"] if with_text else ["words", "size"])])
+                    columns += [batch.column("version").take(pa.array(b.first + row)), pa.array(words), pa.array(size)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "h", *(["text"] if with_text else ["version", "words", "size"])])
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, chunk long, h long, " + ("text binary" if with_text else "words long, size long"))
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    return rows.mapInArrow(run, "doc_id long, chunk long, h long, " + ("text binary" if with_text else "version long, words long, size long"))
 
 
 def repeated(documents: DataFrame) -> DataFrame:
@@ -136,7 +137,7 @@ def _windows(line: np.ndarray, words: np.ndarray, size: np.ndarray, doc: np.ndar
 
 
 def run_rows(lists: DataFrame) -> DataFrame:
-    """``(doc_id, chunk, n, key)``: first line, lines and key of the runs to compare in ``(doc_id, lines)``.
+    """``(doc_id, version, chunk, n, key)``: first line, lines and key of the runs to compare in ``(doc_id, version, lines)``.
 
     The key is the hashes of the lines, each of which stands for the same bytes everywhere, or of more than eight lines a
     264-bit hash of these.
@@ -152,23 +153,27 @@ def run_rows(lists: DataFrame) -> DataFrame:
             start, end = _windows(line, words, size, doc)
             raw = np.ascontiguousarray(h).tobytes()
             keys = [raw[8 * i : 8 * j] if j - i <= 8 else blake2b(raw[8 * i : 8 * j], digest_size=33).digest() for i, j in zip(start.tolist(), end.tolist(), strict=True)]
+            ids = [batch.column(c).take(pa.array(doc[start])) for c in ("doc_id", "version")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc[start])), pa.array(line[start]), pa.array(end - start), pa.array(keys, pa.binary())], ["doc_id", "chunk", "n", "key"]
+                [*ids, pa.array(line[start]), pa.array(end - start), pa.array(keys, pa.binary())], ["doc_id", "version", "chunk", "n", "key"]
             )
 
-    return lists.mapInArrow(run, "doc_id long, chunk long, n long, key binary")
+    return lists.mapInArrow(run, "doc_id long, version long, chunk long, n long, key binary")
 
 
 def removals(documents: DataFrame) -> DataFrame:
-    """``(doc_id, chunks)``: first line and number of lines of the runs of a document that occur before, there or in a smaller id."""
+    """``(doc_id, version, chunks)``: first line and number of lines of the runs of a text that occur before.
+
+    Before is earlier in the text, or in a smaller id, or in a text of the same id with a smaller hash (``version``).
+    """
     twice = materialize(repeated(documents), "lines").select("h")
-    lists = chunk_rows(documents, False).join(twice, "h").groupBy("doc_id").agg(
+    lists = chunk_rows(documents, False).join(twice, "h").groupBy("doc_id", "version").agg(
         F.sort_array(F.collect_set(F.struct("chunk", "h", "words", "size"))).alias("lines")
     )
     runs = materialize(run_rows(lists), "runs")
-    first = runs.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "chunk")).alias("first")).where("times > 1").drop("times")
-    again = runs.join(materialize(first, "first-runs"), "key").where("struct(doc_id, chunk) > first")
-    return again.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("chunk", "n"))).alias("chunks"))
+    first = runs.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "version", "chunk")).alias("first")).where("times > 1").drop("times")
+    again = runs.join(materialize(first, "first-runs"), "key").where("struct(doc_id, version, chunk) > first")
+    return again.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set(F.struct("chunk", "n"))).alias("chunks"))
 
 
 def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[bytes, int]:
@@ -193,10 +198,15 @@ def dedup(documents: DataFrame) -> DataFrame:
     goes whole. So does every repeated chunk of fewer words: a run of lines between content-defined boundaries, two or
     more of which hold a word. Of equal runs, the one with the smallest (doc_id, position) stays. A document may
     come out empty. ``text`` and ``n_chars`` change, if there is such a column; other columns are carried
-    along. Null and empty texts and null ids stay as they are; rows with the same id count as one document.
+    along, but for a column ``n_removed``, which is replaced. Null and empty texts and null ids stay as they are. Rows
+    with the same id and text count as one document; texts that share an id are compared like those of two ids.
     """
+    documents = documents.drop("n_removed")
     at = documents.columns.index("text")
-    joined = documents.join(removals(documents).withColumnRenamed("chunks", "__gone").withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    theirs = [free_name(documents, c) for c in ("id", "version", "gone")]
+    joined = documents.join(
+        removals(documents).toDF(*theirs), (F.col("doc_id").cast("long") == F.col(theirs[0])) & (F.xxhash64("text") == F.col(theirs[1])), "left"
+    ).drop(*theirs[:2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,7 @@
 import pyarrow as pa
 from common import AWKWARD, documents, prose, rows, shipped  # noqa: F401
 from conftest import SF
+from pyspark.sql import functions as F
 
 from sensorframe.llm import line_chunks
 from sensorframe.llm.queries import QUERIES
@@ -103,3 +104,25 @@ def test_positions_count_within_each_text():
 
     assert line_chunks._number(np.array([0, 0, 2, 2, 2, 3])).tolist() == [0, 1, 0, 1, 2, 0]
     assert line_chunks._number(np.zeros(0, int)).tolist() == []
+
+
+def test_texts_that_share_an_id_are_kept_apart(spark, shipped):  # noqa: F811
+    passage, other = prose(80, 100), prose(64, 5000)
+    for both in ([passage, other], [other, passage]):
+        docs = [(1, passage), *((2, t) for t in both), (2, other)]
+        got = line_chunks.dedup(documents(spark, docs))
+        assert rows(got.select("doc_id", "text")) == sorted([(1, passage), (2, ""), (2, other), (2, other)], key=repr)
+    twice = {r.text for r in line_chunks.dedup(documents(spark, [(3, passage + "\nits own end"), (3, passage)])).collect()}
+    assert twice in ({"", passage + "\nits own end"}, {"its own end", passage})
+
+
+def test_columns_with_the_names_used_inside(spark, shipped):  # noqa: F811
+    docs = documents(spark, [(1, prose(80)), (2, prose(80))])
+    for c in ("n_removed", "version", "Version", "id", "gone", "__id", "__gone", "_gone"):
+        if c.lower() not in [x.lower() for x in docs.columns]:
+            docs = docs.withColumn(c, F.lit("mine"))
+    got = line_chunks.dedup(docs)
+    assert got.columns == [*(c for c in docs.columns if c != "n_removed"), "n_removed"]
+    assert {(r.doc_id, r.text, r.n_removed > 0, r.version, r.gone, r["__gone"]) for r in got.collect()} == {
+        (1, prose(80), False, "mine", "mine", "mine"), (2, "", True, "mine", "mine", "mine")
+    }
