@@ -1,4 +1,6 @@
+import gc
 import random
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,49 @@ def test_edited_passages_are_found_and_prose_is_not():
     assert {k: i for k, i in found if planted[k] != i} == {}
 
 
+@pytest.mark.parametrize("n", [20, 50, 100, 200, 400, 800])
+def test_recall_at_the_most_edits_does_not_fall_with_length(n):
+    """A fifth of the words of every item is replaced, deleted or has a word put before it."""
+    rng = random.Random(n)
+    vocabulary = [f"{w}{i}" for w in WORDS for i in range(40)] + ["the", "of", "and"] * 100
+    items = [[rng.choice(vocabulary) for _ in range(n)] for _ in range(100)]
+    index = decontaminate.Index(list(range(100)), [" ".join(i) for i in items])
+    texts = []
+    for item in items:
+        w = [[x] for x in item]
+        for j in rng.sample(range(n), decontaminate.edits(n)):
+            w[j] = rng.choice([[rng.choice(vocabulary)], [], [rng.choice(vocabulary), w[j][0]]])
+        around = [rng.choice(vocabulary) for _ in range(100)]
+        texts.append(" ".join([*around[:50], *(x for y in w for x in y), *around[50:]]))
+    found = {(b.first + row, item): d for b in decontaminate._blocks(pa.array(texts)) for row, item, d, *_ in index.search(b)}
+    assert np.mean([(k, k) in found for k in range(100)]) >= 0.95
+    assert all(k == i and d <= decontaminate.edits(n) for (k, i), d in found.items())
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = ["Otorhinolaryngology departments", "of the", "光合作用是植物利用光能合成有机物的过程", "x" * 30]
+    index = decontaminate.Index([7, 8, 9, 10], items)
+    texts = ["Two otorhinolaryngology -- departments of the", "otorhinolaryngology and departments", "我们知道光合作用是植物利用光能合成有機物的过程吗", "光合作用", "x" * 31, "a " + "X" * 30]
+    found = [(b.first + row, int(index.item_ids[i]), d) for b in decontaminate._blocks(pa.array(texts)) for row, i, d, *_ in index.search(b)]
+    assert found == [(0, 7, 0), (2, 9, 1), (5, 10, 0)]
+
+
+def test_one_index_is_alive_at_a_time(spark, shipped, monkeypatch):  # noqa: F811
+    alive, most, built = weakref.WeakSet(), [], decontaminate.Index.__init__
+
+    def counted(self, *args):
+        built(self, *args)
+        gc.collect()
+        alive.add(self)
+        most.append(len(alive))
+
+    monkeypatch.setattr(decontaminate.Index, "__init__", counted)
+    items = spark.createDataFrame([(i, prose(20, 1000 * i)) for i in range(40)], "item_id long, text string")
+    docs = documents(spark, [(i, prose(30, 500_000) + " " + prose(20, 1000 * i)) for i in range(0, 40, 4)])
+    assert decontaminate.matches(docs, items, 4).count() == 10 and decontaminate.clean(docs, items, 4).count() == 0
+    assert len(most) == 20 and max(most) == 1
+
+
 def test_given_documents_against_brute_force(spark):
     """Every pair with a shared eight-word run is checked by the full table."""
     got = {(r.doc_id, r.item_id): r.edits for r in QUERIES["op2_decontaminate"](spark, SF).collect()}
