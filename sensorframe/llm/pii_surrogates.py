@@ -1,7 +1,8 @@
 """Personal data replaced by surrogates of the same type and format, in DataFrame expressions only.
 
 A surrogate depends on a key and on the entity alone, so an entity has the same surrogate wherever it stands
-(coreference), however it is written: numbers are compared by their digits, addresses and names in lower case.
+(coreference), however it is written: numbers are compared by their digits, addresses and names in lower case. A given name
+after a title without gender (Dr.) is the same as after one with, if the texts have it with one gender only.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm.textscan import free_name
 from sensorframe.session import materialize
 
 #: Patterns of the kinds, in Java's syntax, in the order in which they are tried.
@@ -100,14 +102,68 @@ def _card(canon: Column, digest: Column) -> Column:
     ))
 
 
-def _ip(canon: Column, digest: Column) -> Column:
-    """Four octets from 1 to 254; private and loopback ranges stay what they are."""
-    octets = F.split(canon, r"\.")
-    private = F.when(canon.rlike(r"^(10|127)\."), 1).when(canon.rlike(r"^192\.168\."), 2).otherwise(0)
-    return F.array_join(F.transform(
-        F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i < private, F.get(octets, i)).otherwise((_byte(digest, i) % 254 + 1).cast("string"))
+def _mod97(s: Column) -> Column:
+    """The number that digits and letters (a to z as 10 to 35) spell, modulo 97."""
+
+    def add(total: Column, i: Column) -> Column:
+        v = F.conv(F.substr(s, i, F.lit(1)), 36, 10).cast("int")
+        return (total * F.when(v > 9, 100).otherwise(10) + v) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(s)), F.lit(0), add)
+
+
+def _iban(canon: Column, digest: Column) -> Column:
+    """The same country, and right check digits if the entity has them, wrong ones if not."""
+    country = F.substr(canon, F.lit(1), F.lit(2))
+    wrong = F.when(_mod97(F.concat(F.substr(canon, F.lit(5)), F.substr(canon, F.lit(1), F.lit(4)))) == 1, 0).otherwise(1 + _byte(digest, F.lit(31)) % 96)
+    return _let(_masked(F.substr(canon, F.lit(5)), digest), lambda body: F.concat(
+        country, F.lpad(((96 - _mod97(F.concat(body, country, F.lit("00"))) + wrong) % 97 + 2).cast("string"), 2, "0"), body
+    ))
+
+
+#: The private and loopback ranges, and half the bits that tell addresses in them apart.
+RANGES = [(r"^(10|127)\.", 12), (r"^172\.(1[6-9]|2[0-9]|3[01])\.", 10), (r"^192\.168\.", 8)]
+
+
+def _local(kind: Column, canon: Column) -> Column:
+    return (kind == "ip") & canon.rlike("|".join(pattern for pattern, _ in RANGES))
+
+
+def _permuted(x: Column, half: int, key: str) -> Column:
+    """A keyed permutation of the numbers below ``4 ** half`` without fixed points: there, one on, and back again by a Feistel network."""
+    base = 1 << half
+
+    def mixed(i: Column, r: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"ip {half}"), i.cast("string"), r.cast("string")), 256)
+        return F.conv(F.substr(digest, F.lit(1), F.lit(8)), 16, 10).cast("long") % base
+
+    def halves(n: Column) -> Column:
+        return F.struct(F.floor(n / base).alias("l"), (n % base).alias("r"))
+
+    there = lambda s, i: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(mixed(i, s["r"])).alias("r"))
+    back = lambda s, i: F.struct(s["r"].bitwiseXOR(mixed(i, s["l"])).alias("l"), s["l"].alias("r"))
+    whole = lambda s: s["l"] * base + s["r"]
+    on = F.aggregate(F.array(*map(F.lit, range(4))), halves(x), there, lambda s: (whole(s) + 1) % (base * base))
+    return _let(on, lambda n: F.aggregate(F.array(*map(F.lit, (3, 2, 1, 0))), halves(n), back, whole))
+
+
+def _ip(canon: Column, digest: Column, key: str) -> Column:
+    """Four octets. Addresses of a private or loopback range change places within it; others are drawn outside of these."""
+    number = F.aggregate(F.split(canon, r"\."), F.lit(0).cast("long"), lambda n, o: n * 256 + o.cast("long"))
+    out = F.array_join(F.transform(
+        F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, _byte(digest, i) % 116 + 11).otherwise(_byte(digest, i) % 254 + 1).cast("string")
     ), ".")
 
+    def moved(half: int) -> Column:
+        size = 1 << 2 * half
+        return _let(number, lambda n: _let(n - n % size + _permuted(n % size, half, key), lambda new: F.array_join(F.transform(
+            F.array(*(F.lit(1 << bits).cast("long") for bits in (24, 16, 8, 0))), lambda unit: (F.floor(new / unit) % 256).cast("string")
+        ), ".")))
+
+    for pattern, half in RANGES:
+        out = F.when(canon.rlike(pattern), moved(half)).otherwise(out)
+    return out
+
 
 def _name(kind: Column, digest: Column, attempt: Column) -> Column:
     """Syllables and an ending by script and gender, in lower case; later draws are longer."""
@@ -132,10 +188,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         longer = F.when(attempt >= LENGTHEN_AFTER, _masked(F.repeat(F.lit("0"), F.floor(attempt / 2).cast("int")), F.sha2(digest, 256))).otherwise("")
         of_domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256)
         address = F.concat(_masked(local, digest), longer, F.lit("@"), _masked(F.regexp_replace(domain, r"\.[^.]+$", ""), of_domain), top)
-        bank = F.concat(F.substr(canon, F.lit(1), F.lit(2)), _masked(F.substr(canon, F.lit(3)), digest))
         return (
-            F.when(kind == "email", address).when(kind == "card", _card(canon, digest)).when(kind == "ip", _ip(canon, digest))
-            .when(kind == "iban", bank).when(kind.isin("phone", "ssn"), _masked(canon, digest)).otherwise(_name(kind, digest, attempt))
+            F.when(kind == "email", address).when(kind == "card", _card(canon, digest)).when(kind == "ip", _ip(canon, digest, key))
+            .when(kind == "iban", _iban(canon, digest)).when(kind.isin("phone", "ssn"), _masked(canon, digest)).otherwise(_name(kind, digest, attempt))
         )
 
     return _let(F.sha2(F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string")), 256), draw)
@@ -160,7 +215,7 @@ def entities_of(m: Column) -> Column:
     return _let(kind_of(m), lambda k: (
         F.when(k == "email", one("email", F.lower(m))).when(k == "iban", one("iban", F.lower(F.regexp_replace(m, " ", ""))))
         .when(k == "phone", one("phone", F.right(_digits(m), F.lit(10)))).when(k == "ssn", one("ssn", _digits(m)))
-        .when(k == "card", one("card", _digits(m))).when(k == "ip", one("ip", m)).otherwise(names)
+        .when(k == "card", one("card", _digits(m))).when(k == "ip", one("ip", F.regexp_replace(m, r"(^|\.)0+(?=[0-9])", "$1"))).otherwise(names)
     ))
 
 
@@ -199,12 +254,21 @@ def entities(documents: DataFrame) -> DataFrame:
     return matches.select(F.inline(entities_of(F.col("m")))).distinct()
 
 
+def gendered(found: DataFrame) -> DataFrame:
+    """``(kind, canon, as_kind)``: given names without gender take the one gender with which the texts have them, if it is one."""
+    known = found.where(F.col("kind").rlike("^[fm]:")).select("canon", F.col("kind").alias("as_kind"), F.concat(F.lit("u:"), F.split("kind", ":")[1]).alias("kind"))
+    one = known.groupBy("kind", "canon").agg(F.min("as_kind").alias("as_kind"), F.max("as_kind").alias("other")).where("as_kind = other").drop("other")
+    return found.join(one, ["kind", "canon"], "left").select("kind", "canon", F.coalesce("as_kind", "kind").alias("as_kind"))
+
+
 def redraws(found: DataFrame, key: str, rounds: int = 40) -> DataFrame:
     """``(kind, canon, attempt)`` of the entities whose first surrogate will not do.
 
     A surrogate must not be an entity of the same kind, nor another entity's surrogate: of entities that
     draw the same one, the smallest keeps it, the others draw again. Raises if ``rounds`` draws do not suffice.
+    Addresses of private ranges are permuted, not drawn, so they never collide.
     """
+    found = found.where(~_local(F.col("kind"), F.col("canon")))
     kept, open_ = None, found.withColumn("attempt", F.lit(0))
     originals = found.select("kind", F.col("canon").alias("new"))
     for _ in range(rounds):
@@ -225,36 +289,46 @@ def pseudonymize(documents: DataFrame, key: str) -> DataFrame:
 
     Kinds: e-mail addresses, account numbers (IBAN), phone numbers, social security numbers, card numbers,
     IP addresses, and names after a title. Different entities get different surrogates, none of which is an
-    entity of the texts. Texts are rewritten where they lie. Only where a surrogate had to be drawn again, the
-    number of the draw comes by a join on the hash of the text.
+    entity of the texts; only addresses of private and loopback ranges, which the texts may fill, are permuted within their range, none
+    onto itself. Check digits (cards, IBAN) are right where the entity's are. Texts are rewritten where they lie. Only where a
+    surrogate had to be drawn again, or a name takes its gender from elsewhere, this comes by a join on the hash of the text.
 
     Null and empty texts stay; null ids and repeated rows are treated like others. ``n_chars``, if there is
-    such a column, is counted anew for changed texts; other columns are carried along.
+    such a column, is counted anew for changed texts; other columns are carried along, but for a column ``n_replaced``, which is replaced.
     """
-    again = redraws(materialize(entities(documents), "entities"), key)
+    documents = documents.drop("n_replaced")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    if again.isEmpty():
-        attempts, rows = None, documents
+    of_text, draws, found = (free_name(documents, c) for c in ("of_text", "draws", "found"))
+    known = materialize(gendered(materialize(entities(documents), "entities")), "gendered")
+    again = redraws(known.select(F.col("as_kind").alias("kind"), "canon").distinct(), key).withColumnRenamed("kind", "as_kind")
+    special = materialize(
+        known.join(again, ["as_kind", "canon"], "left").where("attempt is not null or kind <> as_kind")
+        .select("kind", "canon", F.struct("as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt")).alias("drawn")), "special",
+    )
+    if special.isEmpty():
+        drawn, rows = None, documents
     else:
-        parts = documents.where("text is not null").select(F.xxhash64("text").alias("__text"), F.explode(_found(F.col("text"))).alias("m"))
-        hit = parts.select("__text", F.inline(entities_of(F.col("m")))).join(again, ["kind", "canon"]).distinct()
-        draws = hit.groupBy("__text").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("__draws"))
-        rows = documents.withColumn("__text", F.xxhash64("text")).join(draws, "__text", "left")
-        attempts = F.col("__draws")
+        parts = documents.where("text is not null").select(F.xxhash64("text").alias("t"), F.explode(_found(F.col("text"))).alias("m"))
+        hit = parts.select("t", F.inline(entities_of(F.col("m")))).join(special, ["kind", "canon"]).distinct()
+        by_text = hit.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "drawn"))).alias(draws))
+        rows = documents.withColumn(of_text, F.xxhash64("text")).join(by_text.withColumnRenamed("t", of_text), of_text, "left")
+        drawn = F.col(draws)
 
     def replaced(m: Column) -> Column:
         def new(e: Column) -> Column:
-            attempt = F.lit(0) if attempts is None else F.coalesce(F.get(F.map_values(F.map_filter(attempts, lambda k, _: k == F.concat_ws("|", e["kind"], e["canon"]))), F.lit(0)), F.lit(0))
-            return surrogate(e["kind"], e["canon"], attempt, key)
+            if drawn is None:
+                return surrogate(e["kind"], e["canon"], F.lit(0), key)
+            own = F.get(F.map_values(F.map_filter(drawn, lambda k, _: k == F.concat_ws("|", e["kind"], e["canon"]))), F.lit(0))
+            return _let(own, lambda d: surrogate(F.coalesce(d["as_kind"], e["kind"]), e["canon"], F.coalesce(d["attempt"], F.lit(0)), key))
 
         return _let(F.transform(entities_of(m), new), lambda s: _written(m, s))
 
     text = F.col("text")
-    rows = rows.select(*columns, *([] if attempts is None else ["__draws"]), _found(text).alias("__found"))
-    new = F.when(F.size("__found") > 0, F.array_join(F.zip_with(
-        F.split(text, PATTERN, -1), F.transform("__found", replaced), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
+    rows = rows.select(*columns, *([] if drawn is None else [draws]), _found(text).alias(found))
+    new = F.when(F.size(found) > 0, F.array_join(F.zip_with(
+        F.split(text, PATTERN, -1), F.transform(found, replaced), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))
     ), "")).otherwise(text)
     out = rows.withColumn("text", new)
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns, F.when(text.isNull(), 0).otherwise(F.size("__found")).cast("long").alias("n_replaced"))
+        out = out.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*columns, F.when(text.isNull(), 0).otherwise(F.size(found)).cast("long").alias("n_replaced"))

@@ -3,6 +3,7 @@ from collections import defaultdict
 import regex
 from common import AWKWARD, documents, rows
 from conftest import SF
+from pyspark.sql import functions as F
 
 from sensorframe.llm import pii_surrogates as pii
 from sensorframe.llm.queries import QUERIES
@@ -74,6 +75,46 @@ def test_crowded_formats_stay_distinct(spark):
     assert got[1].text == f"{new[0]} and {new[-1]}" and got[0].n_chars == len(got[0].text) and got[2].text is None
 
 
+def test_a_full_private_range_is_permuted(spark):
+    every = [f"192.168.{a}.{b}" for a in range(256) for b in range(256)]
+    docs = documents(spark, [(k, " ".join(every[256 * k : 256 * k + 256])) for k in range(256)])
+    got = {r.doc_id: r.text.split() for r in pii.pseudonymize(docs, "key").collect()}
+    new = [x for k in range(256) for x in got[k]]
+    assert sorted(new) == sorted(every) and all(a != b for a, b in zip(every, new, strict=True))
+    far = replaced(spark, "10.1.2.3 127.0.0.1 172.16.0.9 172.31.255.255 172.32.0.1 192.168.01.1 192.168.1.1")[0].text.split()
+    assert regex.fullmatch(r"10(\.\d+){3} 127(\.\d+){3} 172\.(1[6-9]|2\d|3[01])(\.\d+){2} 172\.(1[6-9]|2\d|3[01])(\.\d+){2} (\d+)(\.\d+){3} 192\.168(\.\d+){2} 192\.168(\.\d+){2}", " ".join(far))
+    assert far[5] == far[6] and 11 <= int(far[4].split(".")[0]) <= 126
+
+
+def mod97(number):
+    s = number.replace(" ", "").upper()
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_account_numbers_keep_their_check_digits(spark):
+    right = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "FR14 2004 1010 0505 0001 3M02 606"]
+    wrong = ["DE88 3704 0044 0532 0130 00", "GB00 WEST 1234 5698 7654 32"]
+    got = replaced(spark, "; ".join(right + wrong))[0].text.split("; ")
+    assert [mod97(x) == 1 for x in got] == [True] * 3 + [False] * 2 and not set(got) & set(right + wrong)
+    assert [regex.sub("[A-Z]", "A", regex.sub(r"\d", "0", x)) for x in got] == [regex.sub("[A-Z]", "A", regex.sub(r"\d", "0", x)) for x in right + wrong]
+
+
+def test_a_title_without_gender_names_the_same_person(spark):
+    got = replaced(spark, "Mrs. Anna Jones", "Dr. Anna Jones", "Mr. Kim Jones, Mrs. Kim Jones, Dr. Kim Jones", "Prof. Otto Weiss", "Dr. Anna Jones")
+    name = {i: r.text.split(" ", 1)[1] for i, r in got.items()}
+    assert name[0] == name[1] == name[4] != "Anna Jones" and got[1].text.startswith("Dr. ")
+    kims = regex.findall(r"\. (\w+) (\w+)", got[2].text)
+    assert len({k[0] for k in kims}) == 3 and {k[1] for k in kims} == {name[0].split()[1]} and name[3] != "Otto Weiss"
+
+
+def test_columns_with_the_names_used_inside(spark):
+    names = ["__found", "found", "draws", "of_text", "n_replaced", "kind", "canon", "attempt", "t"]
+    docs = documents(spark, [(1, "Mrs. Anna Jones"), (2, "Dr. Anna Jones"), (3, None)]).withColumns({c: F.lit("mine") for c in names})
+    got = pii.pseudonymize(docs, "key")
+    assert got.columns == [*(c for c in docs.columns if c != "n_replaced"), "n_replaced"]
+    assert sorted((r.doc_id, r.n_replaced, r.found, r.draws, r.t) for r in got.collect()) == [(1, 1, *["mine"] * 3), (2, 1, *["mine"] * 3), (3, 0, *["mine"] * 3)]
+
+
 def test_another_key_gives_other_surrogates(spark):
     docs = documents(spark, [(1, "a.person@mail.example.com")])
     one, two = (pii.pseudonymize(docs, k).first().text for k in ("k1", "k2"))
