@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from common import prose
 from test_html_consensus import pages
@@ -17,3 +19,91 @@ def test_articles_with_parts_stay_whole(spark, source):
     for i, p in enumerate(parts):
         assert all(x in got[i] for k, x in enumerate(p) if f"{{{k}}}" in source)
         assert "menu" not in got[i] and "foot" not in got[i]
+
+
+def words(n, seed):
+    return " ".join(prose(n, seed).split())
+
+
+#: Templates without article and main: the parts that make up the text, by place, and how many words each has.
+TEMPLATES = {
+    "parts of a body": ("<div class='top'><h1>{0}</h1></div><div class='lead'>{1}</div><div class='txt'><p>{2}</p><p>{3}</p></div><div class='end'><p>{4}</p></div>",
+                        (6, 12, 150, 150, 9)),
+    "parts in a wrapper": ("<div id='w' class='c{n}'><div class='t'><h1>{0}</h1></div><div class='a1'><p>{1}</p></div><div class='a2'><p>{2}</p></div><p>{3}</p></div>",
+                           (5, 60, 70, 30)),
+    "short lead": ("<div class='top'><h1>{0}</h1></div><div class='lead'>{1}</div><div class='txt'><p>{2}</p></div><div class='end'><p>{3}</p></div>", (4, 5, 900, 6)),
+    "cells of a table": ("<table><tr><td><h1>{0}</h1></td></tr><tr><td><p>{1}</p><p>{2}</p></td></tr><tr><td>{3}</td></tr></table>", (5, 90, 90, 20)),
+    "loose paragraphs": ("<h1>{0}</h1><p>{1}</p><div class='more'><p>{2}</p></div><p>{3}</p>", (5, 20, 400, 12)),
+}
+AROUND = (
+    "<header><h1>The site</h1></header><div class='site-menu'><a href=/>Home</a></div>", "<div class='x9'><a href=/a>Other page</a> <a href=/b>one more</a></div>"
+    "<div class='commentsSection'><p>reader says</p></div><div class='cookie-banner-2'>we use</div><div class='own'>All of it by us, since 1990.</div><footer>foot</footer>",
+)
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_hosts_without_article_or_main(spark, name):
+    """Title, lead and closing paragraph belong to the text, what the template repeats does not."""
+    template, sizes = TEMPLATES[name]
+    parts = [[words(n, 1000 * i + k) for k, n in enumerate(sizes)] for i in range(6)]
+    rows = [(i, "http://h.org/x", f"<body>{AROUND[0]}{template.format(*p, n=i)}{AROUND[1]}</body>") for i, p in enumerate(parts)]
+    got = {r.page_id: r.text for r in hc.extract(pages(spark, rows)).collect()}
+    left = {t for i, p in enumerate(parts) for t in got[i].split("\n") if t not in p}
+    assert all("\n".join(p) in got[i] for i, p in enumerate(parts))
+    assert left <= {"All of it by us, since 1990."}
+    if name == "short lead":
+        assert not left
+
+
+@pytest.mark.parametrize("part", [
+    "<section class='related-work'>{0}</section>", "<p class='notice-period'>{0}</p>", "<div class='share-price'>{0}</div>", "<div class='social-history'><p>{0}</p></div>",
+    "<div id='menuOfTheDay'>{0}</div>", "<section class='search-engines'>{0}</section>", "<div class='with-sidebar no-comments'>{0}</div>",
+])
+def test_names_that_hold_a_word_of_boilerplate(part):
+    assert hc.main_text(hc.parse(f"<article><p>one</p>{part.format('two')}</article>"), []) == "one\ntwo"
+
+
+@pytest.mark.parametrize("name", [
+    "related-posts", "post-comments", "comments__list", "cookieBanner", "ad-slot-3", "ad2", "sidebar-left", "main-nav", "share_buttons", "newsletter-signup", "site-footer",
+    "newsletter", "user-comments", "x site-header", "tag-list social",
+])
+def test_names_of_boilerplate(name):
+    body = f"<body><div class='{name}'><p>two</p></div><div class='c'><p>one and some more</p></div></body>"
+    inside = f"<article><p>one</p><div class='{'comment' if 'header' in name else name}'><p>two</p></div></article>"
+    assert hc.main_text(hc.parse(body), []) == "one and some more"
+    assert hc.main_text(hc.parse(inside), []) == "one"
+
+
+def test_a_main_inside_a_named_wrapper_counts():
+    assert hc.main_text(hc.parse("<div class='sidebar-wrap'><p>gone</p><main><p>the text</p></main><div>gone too</div></div>"), []) == "the text"
+
+
+def test_two_templates_on_one_host(spark):
+    rows = [(i, "http://h.org/x", f"<body><div class='{'ab'[i % 2]}'><p>{words(80, i)}</p></div></body>") for i in range(8)]
+    got = {r.page_id: r.text for r in hc.extract(pages(spark, rows)).collect()}
+    assert got == {i: words(80, i) for i in range(8)}
+
+
+def test_copies_of_a_page_in_several_partitions_count_once(spark):
+    """Six copies and one other page: the lead is on two pages, with two texts."""
+    def page(i):
+        return f"<body><div class='lead'>{words(3, i)}</div><div class='txt'><p>{words(300, 50 + i)}</p></div></body>"
+
+    rows = [(i, "http://h.org/x", page(0)) for i in range(6)] + [(6, "http://h.org/x", page(1))]
+    got = {r.page_id: r.text for r in hc.extract(pages(spark, rows).repartition(7)).collect()}
+    assert got == {i: f"{words(3, i == 6)}\n{words(300, 50 + (i == 6))}" for i in range(7)}
+
+
+@pytest.mark.parametrize("source", [
+    "<div>" * 100_000 + "deep", "<span>" * 50_000 + "<p>x" * 50_000, "<div class='a'>x" * 50_000, "</b>" * 200_000, "<ul><li><dl><dt>" * 30_000 + "x",
+    "<a '" * 100_000, "<h1><span>x" * 40_000, "<!" * 200_000, "<p>" + "</i><i>x" * 80_000, "<section><p>a</p>" * 30_000 + "<p>end",
+], ids=lambda s: s[:8])
+def test_time_grows_with_the_length_alone(source):
+    def seconds(text):
+        start = time.process_time()
+        page = hc.parse(text)
+        hc.votes(page), hc.part_texts(page), hc.main_text(page, [], 0, frozenset([1]))
+        return time.process_time() - start
+
+    seconds(source[: len(source) // 4])
+    assert seconds(source) < 12 * max(seconds(source[: len(source) // 4]), 0.05) and seconds(source) < 15
