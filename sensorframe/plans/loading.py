@@ -16,7 +16,8 @@ from sensorframe.sources import (
     read_steps, refresh_rollup, to_points, upsert_points, upsert_stored, variance, write_bucketed, write_events,
 )
 from sensorframe.streaming import (
-    latest_buckets, load_numbered, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress, upsert_available,
+    append_available, latest_buckets, load_numbered, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_gap_fill,
+    stream_progress, upsert_available,
 )
 
 
@@ -190,8 +191,17 @@ def stream_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_buckets(spark, updates)
 
 
+def stream_gapfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts per series for 24 hours from the midpoint as a stream, hours without rows included."""
+    lo, hi = around_midpoint(user_events(spark, sf_dir, uncut=True), 0, 24)
+    stream = event_columns(spark.readStream.schema(EVENTS).parquet(f"{sf_dir}/events.parque[t]"))
+    hourly = stream_gap_fill(stream, 3600, lo, hi, ["user_id", "ssid"], "1 hour")
+    return append_available(hourly, scratch_dir(spark, "gaps"), scratch_dir(spark, "gaps-checkpoint")).withColumnRenamed("bucket", "hour")
+
+
 QUERIES = {q.__name__: q for q in (
     ingest_readings, ingest_chunk_order, ingest_stream, ingest_stream_progress, ingest_append, ingest_progress, surrogate_id, ingest_resumed_ids,
     layout_time_partition, layout_pruned_slice, layout_shards, layout_bucketed, layout_sorted, points_long, points_upsert, points_upsert_stored,
     points_upsert_stream, rollup_daily_variance, rollup_hour_of_day, rollup_peak_hours, distinct_over_appends, stream_hourly,
+    stream_gapfill,
 )}

@@ -302,3 +302,6 @@ ORACLES = {
         WHERE engine <> (SELECT engine FROM base)) q WHERE r = 1"""),
     "r_file_counts": _with([INGEST_LOG], "SELECT engine, count(DISTINCT run) AS runs FROM ingest_log GROUP BY 1"),
 }
+
+#: A stream fills gaps like a batch does, once time has passed the range.
+ORACLES["stream_gapfill"] = ORACLES["v_window_gapfill"]
