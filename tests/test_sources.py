@@ -9,13 +9,14 @@ from sensorframe import session
 from sensorframe.functions import rfc3339
 from sensorframe.operators import around_midpoint, bucket_agg, midpoint, row_count, time_bounds, time_slice, with_dense_id
 from sensorframe.plans import QUERIES
+from sensorframe.plans.loading import _streamed
 from sensorframe.plans.tables import user_events
 from sensorframe.session import scratch_dir
 from sensorframe.sources import (
     as_variant, chunk_files, chunk_progress, read_events, read_readings, to_points, upsert_points, write_events,
 )
 from sensorframe.streaming import (
-    latest_buckets, load_available, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress,
+    latest_buckets, load_available, load_shares, load_with_progress, run_bucket_agg, scan_stream, stream_bucket_agg, stream_progress,
     stream_readings,
 )
 
@@ -94,6 +95,44 @@ def test_incomplete_readings_are_rejected_and_counted(spark, tmp_path):
     assert len(os.listdir(steps)) == 6 + 1
 
 
+def test_shares_are_loaded_at_a_time_one_file_a_step(spark, tmp_path):
+    folder = write_chunks(tmp_path, {n: [reading("a", n), reading(None, n)][: n % 3] for n in range(13)})
+    expected = [tuple(r) for r in chunk_progress(spark, folder).orderBy("chunk").collect()]
+    table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+
+    def load():
+        # the last share has no file
+        load_shares([scan_stream(spark, f"{folder}/readings_*{d}.json", files_per_trigger=1) for d in "0123456789x"], table, steps, checkpoint)
+        return [tuple(r) for r in stream_progress(spark, folder, steps).orderBy("chunk").collect()]
+
+    for _ in range(2):  # the second load finds nothing new and repeats nothing
+        assert load() == expected
+        rows = spark.read.parquet(table).groupBy("share", "step").agg(F.collect_list("chunk").alias("chunks")).collect()
+        assert sorted(r.chunks for r in rows) == [[n] for n in range(13) if n % 3]
+        assert len({r.share for r in rows}) > 1
+    assert [len(os.listdir(f"{steps}/share={d}")) for d in range(11)] == [3, 3, 3, 2, 2, 2, 2, 2, 2, 2, 1]
+
+
+def test_a_share_that_fails_is_loaded_by_the_next_call(spark, tmp_path):
+    folder = write_chunks(tmp_path, {n: [reading("a", n)] for n in range(6)})
+    broken = tmp_path / "readings_3.json"
+    whole = broken.read_text()
+    broken.write_text(whole[:-9])
+    table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+    shares = [scan_stream(spark, f"{folder}/readings_*{d}.json", files_per_trigger=1) for d in range(6)]
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_shares(shares, table, steps, checkpoint)
+    assert not spark.streams.active
+    broken.write_text(whole)
+    load_shares(shares, table, steps, checkpoint)
+    assert sorted(r.chunk for r in spark.read.parquet(table).collect()) == list(range(6))
+
+
+def test_registered_stream_loads_one_file_a_step_in_shares(spark):
+    rows = spark.read.parquet(f"{_streamed(spark, SF)}/rows").groupBy("share", "step").agg(F.count_distinct("chunk").alias("n")).collect()
+    assert {r.n for r in rows} == {1} and len({r.share for r in rows}) == 10
+
+
 def test_broken_document_fails_the_load(spark, tmp_path):
     (tmp_path / "readings_0.json").write_text('{"response": [{"userId": "a", ')
     with pytest.raises(Exception, match="(?i)malformed"):
