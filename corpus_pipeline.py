@@ -21,7 +21,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of documents linked by five-word similarity of 0.8 or more."""
+    """The smallest id of each group of documents linked by five-word similarity of 0.8 or more, found by SimHash and MinHash."""
     return near_jaccard.keep_first(docs)
 
 

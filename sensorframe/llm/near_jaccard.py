@@ -1,4 +1,4 @@
-"""Near duplicates by similarity: MinHash bands find candidates, the exact Jaccard index of five-word shingles decides."""
+"""Near duplicates by similarity: SimHash fingerprints and MinHash bands find candidates, the exact Jaccard index of five-word shingles decides."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorframe.llm import simhash
 from sensorframe.llm.components import connected_components
 from sensorframe.llm.textscan import blocks, mix, windows
 from sensorframe.session import materialize
@@ -38,12 +39,14 @@ def _lowered(column: pa.Array) -> pa.Array:
 
 
 def signatures(documents: DataFrame) -> DataFrame:
-    """``(doc_id, same, bands)``: a 128-bit hash of the lower-cased words, and a key for every band, none if under five words."""
+    """``(doc_id, same, fp, bands)``: a 128-bit hash of the lower-cased words, the SimHash, and a key for every band, none if under five words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _lowered(batch.column("text"))
-            same = [blake2b(b" ".join(t.as_py().split()), digest_size=16).digest() for t in texts.cast(pa.large_binary())]
+            words = [b" ".join(t.as_py().split()) for t in texts.cast(pa.large_binary())]
+            same = [blake2b(w, digest_size=16).digest() for w in words]
+            fps = np.array([simhash.fingerprint(w, shingle=SHINGLE) for w in words], np.uint64).view(np.int64)
             keys = [None] * len(texts)
             for b in blocks(texts):
                 at, h = windows(b.word_hashes(), b.word_row, SHINGLE)
@@ -59,10 +62,22 @@ def signatures(documents: DataFrame) -> DataFrame:
                 for r, x in zip((b.first + row[first]).tolist(), bands.view(np.int64).tolist(), strict=True):
                     keys[r] = x
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "bands"]
+                [batch.column("doc_id"), pa.array(same, pa.binary()), pa.array(fps), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "same", "fp", "bands"],
             )
 
-    return documents.mapInArrow(run, "doc_id long, same binary, bands array<long>")
+    return documents.mapInArrow(run, "doc_id long, same binary, fp long, bands array<long>")
+
+
+def close(classes: DataFrame) -> DataFrame:
+    """``(a, b)``, a below b, of ``(rep, fp)``: all whose fingerprints differ in at most two bits are in one component of these.
+
+    Texts of one fingerprint are paired with the first of them, fingerprints by ``simhash.links``: rows for each member, never one
+    for each pair.
+    """
+    firsts = materialize(classes.groupBy("fp").agg(F.min("rep").alias("rep")), "fingerprints")
+    equal = classes.join(firsts.withColumnRenamed("rep", "a"), "fp").where("a < rep").select("a", F.col("rep").alias("b"))
+    return equal.union(simhash.links(firsts).select(F.least("a", "b"), F.greatest("a", "b")))
 
 
 def candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -179,7 +194,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(documents: DataFrame) -> DataFrame:
     """Distinct ``(doc_id, component_id)`` of every id: documents of equal words or of similarity SIMILAR and more are linked.
 
-    ``component_id`` is the smallest doc_id reachable. Each node's one candidate is verified first; of the other candidates
+    ``component_id`` is the smallest doc_id reachable. Candidates are texts with SimHash fingerprints at most two bits apart and, as most
+    similar texts are further apart, those that share a MinHash band. Each node's one candidate is verified first; of the other candidates
     only those between different components are left to verify, so a large group of copies costs few sets. Members of crowded
     buckets that are in different components after that are searched by their rarest shingles.
 
@@ -189,9 +205,12 @@ def components(documents: DataFrame) -> DataFrame:
     """
     documents = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(signatures(documents), "signatures")
-    classes = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    found, crowded = candidates(classes.where("bands is not null").select("rep", "bands"))
-    pairs, crowded = materialize(found, "candidates"), materialize(crowded, "crowded")
+    firsts = [F.first(c).alias(c) for c in ("fp", "bands")]
+    classes = materialize(rows.groupBy("same").agg(F.min("doc_id").alias("rep"), *firsts), "classes")
+    long = classes.where("bands is not null")
+    found, crowded = candidates(long.select("rep", "bands"))
+    pairs = materialize(close(long.select("rep", "fp")).union(found).distinct(), "candidates")
+    crowded = materialize(crowded, "crowded")
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = materialize(shingles(documents.join(involved, "doc_id")), "sets")
     one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")

@@ -24,15 +24,15 @@ BLOCK_BITS = 16
 KEPT_BLOCKS = list(combinations(range(4), 2))
 
 
-def fingerprint(text: bytes, piece: int = 1 << 16) -> int:
-    """64-bit SimHash of the lower-cased 3-word shingles of a UTF-8 text, repeats included; 0 without words."""
+def fingerprint(text: bytes, piece: int = 1 << 16, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of the lower-cased shingles of a UTF-8 text, repeats included; 0 without words."""
     joined = b" ".join(text.lower().split())  # both treat exactly A-Z and the bytes 9 to 13 and 32
     if not joined:
         return 0
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(joined))
-    if len(starts) > SHINGLE:
-        starts, ends = starts[: 1 - SHINGLE], ends[SHINGLE - 1 :]
+    if len(starts) > shingle:
+        starts, ends = starts[: 1 - shingle], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
     digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)

@@ -6,7 +6,8 @@ from conftest import SF
 from test_simhash import groups
 
 import corpus_pipeline
-from sensorframe.llm import near_jaccard
+from sensorframe.llm import near_jaccard, simhash
+from sensorframe.llm.components import connected_components
 
 
 def shingles(text):
@@ -50,6 +51,33 @@ def test_edited_copies_chains_and_large_groups(spark, shipped):  # noqa: F811
     assert got == kept_by_brute_force(texts)
 
 
+def test_close_fingerprints_are_in_one_component(spark):
+    rng = random.Random(6)
+    fps = [rng.getrandbits(64) for _ in range(12)]
+    for _ in range(150):
+        fps.append(rng.choice(fps) ^ (1 << rng.randrange(64)) ^ (rng.randrange(2) << rng.randrange(64)))
+    fps += fps[::7]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    pairs = near_jaccard.close(spark.createDataFrame(list(enumerate(signed)), "rep long, fp long"))
+    assert pairs.where("a >= b").count() == 0
+    got = {r.node: r.component for r in connected_components(pairs).collect()}
+    expected = groups(range(len(fps)), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2)
+    assert {i: got.get(i, i) for i in expected} == expected
+
+
+def test_simhash_step_finds_near_copies_by_itself(spark, shipped, monkeypatch):  # noqa: F811
+    """Without any band, texts with close fingerprints are candidates, and the exact index still decides."""
+    long = [f"w{k}" for k in range(3000)]
+    texts = {0: " ".join(long), 1: " ".join([*long, "end"]), 2: " ".join(["start", *long[1:]]), 3: "a b a b a b", 4: " ".join(["a b"] * 50), 5: "other words of a short text"}
+    fps = {i: simhash.fingerprint(t.encode(), shingle=near_jaccard.SHINGLE) for i, t in texts.items()}
+    assert all((fps[0] ^ fps[i]).bit_count() <= 2 for i in (1, 2)) and fps[3] != fps[5]
+    none = lambda classes: (spark.createDataFrame([], "a long, b long"), spark.createDataFrame([], "key long, rep long"))
+    monkeypatch.setattr(near_jaccard, "candidates", none)
+    got = {r.doc_id: r.component_id for r in near_jaccard.components(documents(spark, list(texts.items()))).collect()}
+    linked = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 2 and similar(shingles(texts[a]), shingles(texts[b]))
+    assert got == groups(sorted(texts), linked) and got[1] == got[2] == 0
+
+
 def template_corpus(pairs, shared, own, apart, seed=0):
     """Texts on one template: ``shared`` words of all, ``own`` of each pair, ``apart`` of each text, in an order of blocks."""
     rng = random.Random(seed)
