@@ -15,7 +15,7 @@ from sensorframe.sources import (
     upsert_stored, variance, write_events, write_step,
 )
 from sensorframe.sources import points as points_module
-from sensorframe.streaming import load_numbered, scan_stream, upsert_available
+from sensorframe.streaming import load_numbered, newest_points, scan_stream, upsert_available
 
 ROWS = "chunk INT, pos BIGINT, v STRING, id BIGINT"
 
@@ -133,6 +133,35 @@ def test_streamed_upserts_do_not_depend_on_arrival(spark, tmp_path):
     assert tables[0] == tables[1] and len(tables[0]) == 3 and any("id=9" in r for r in tables[0])
 
 
+def test_streamed_upserts_reduce_rows_before_the_state(spark):
+    rows = spark.range(1000).selectExpr("id", "'u' AS user_id", "TIMESTAMP'2024-01-01' AS ts", "CAST(id AS FLOAT) AS v", "map(id, 1) AS `a b`")
+    newest = newest_points(rows, ["user_id", "ts"], "ts", "id", 60)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Python" not in plan and "Pandas" not in plan
+    assert newest.columns == rows.columns and [(r.id, r.v, r["a b"]) for r in newest.collect()] == [(999, 999.0, {999: 1})]
+
+
+def test_streamed_versions_that_are_equal_or_missing(spark, tmp_path):
+    """One whole row of equal versions, the same in any order of arrival; rows behind the watermark change nothing."""
+    kind = "id long, user_id string, ts timestamp, v float, s string"
+    rows = [
+        (None, "a", 10, -5.5, "x"), (None, "a", 10, -4.5, "x"), (None, "a", 10, None, None), (None, None, 10, 1.0, "n"), (0, None, 10, None, "m"),
+        (7, "b", 20, -1.0, "y"), (7, "b", 20, -2.0, "z"), (6, "b", 20, -9.0, "zz"), (8, "c", None, 0.0, "c"),
+    ]
+    tables = []
+    for n, order in enumerate((rows, rows[::-1], sorted(rows, key=repr))):
+        source, path = f"{tmp_path}/in{n}", f"{tmp_path}/t{n}"
+        for step in (order[:4], order[4:], [(1, "late", 200_000, 0.0, "l")], [(9, "b", 20, 0.0, "too late")]):
+            frame = spark.createDataFrame([(i, u, None if t is None else at(t), v, s) for i, u, t, v, s in step], kind)
+            frame.withColumn("day", day_date("ts")).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(f"{kind}, day date").parquet(source)
+            upsert_available(stream, path, ["user_id", "ts", "day"], "ts", "id", "day", 90_000, f"{tmp_path}/c{n}").awaitTermination()
+        tables.append({r.user_id: (r.id, r.v, r.s) for r in spark.read.schema(f"{kind}, day date").parquet(path).collect()})
+    assert tables[0] == tables[1] == tables[2] and len(tables[0]) == 4
+    assert tables[0][None] == (0, None, "m") and tables[0]["b"] in [(7, -1.0, "y"), (7, -2.0, "z")]
+    assert tables[0]["a"] in [(i, v, s) for i, u, _, v, s in rows if u == "a"]
+
+
 def test_rollup_reads_changed_days_only(spark, make_events, tmp_path):
     events, path = f"{tmp_path}/events", f"{tmp_path}/rollup"
     day, values = 86_400, []
