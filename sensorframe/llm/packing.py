@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ WINDOW = 4096
 END_ID = 2
 #: Fill levels are counted in steps of so many tokens. A piece that overruns a window by less is cut there.
 GRAIN = 32
+#: Bytes of texts tokenized together; a longer text is tokenized by itself.
+TOGETHER = 8 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -28,68 +32,120 @@ class WordTokenizer:
 
     For tokenizers that lower-case, whose pre-tokenizer never joins what ASCII white space separates nor a
     letter with a following full stop or comma, and that mark the last token of a word: the ids of a text
-    are then those of its parts.
+    are then those of its parts. Each distinct word of a call is looked up once.
     """
 
     WORD_END = "</w>"
 
     def __init__(self, path: str, cached: int = 1 << 19):
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        self.tokenizer, self.cache = Tokenizer.from_file(path), {b"": b""}
         self.cached = cached
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {m: self._one(m.decode()) for m in (b".", b",")}
+        # such words need no normalizer, and of letters only no pre-tokenizer
+        self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        plain, letters = "".join(map(chr, [*range(0x21, 0x41), *range(0x5B, 0x7F)])), "abcdefghijklmnopqrstuvwxyz"
+        as_is = self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(plain) == plain
+        self.direct = as_is and self.split is not None and self.split.pre_tokenize_str(letters) == [(letters, (0, 26))]
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        coded, open_texts, unknown = [], [], set()
+        raw = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
+        return self.encode_column(raw.view(pa.large_string()))
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        """Of each text; a null one counts as empty."""
+        texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower goes wrong on what cast makes of a slice
+        raw = pc.fill_null(texts.cast(pa.large_string(), safe=False), "")
+        low = pc.ascii_lower(raw)  # A-Z only; the names of special tokens keep their case
+        for s in self.special:
+            low = pc.if_else(pc.match_substring(low, s.decode(), ignore_case=True), raw, low)
+        words = pc.ascii_split_whitespace(low)
+        each = words.flatten().dictionary_encode()
+        ids = pa.array(self._ids(each.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).take(each.indices)
+        _, ends, data = ids.buffers()
+        if data is None:
+            return [b""] * len(texts)
+        bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy() - words.offsets[0].as_py() + ids.offset].tolist()
+        data = memoryview(data)
+        return [bytes(data[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, an empty one included. Of letters and a mark, the letters alone are kept in the cache."""
         known = self.cache.get
-        for t in texts:
-            raw = t.encode("utf-8", "surrogatepass")
-            low = raw.lower()  # A-Z only; the names of special tokens keep their case
-            words = (raw if any(s in low for s in self.special) else low).split()
-            parts = list(map(known, words))
-            if None in parts:
-                unknown.update(w for w, p in zip(words, parts, strict=True) if p is None)
-                open_texts.append((len(coded), words, parts))
-                coded.append(b"")
-            else:
-                coded.append(b"".join(parts))
+        parts = list(map(known, words))
+        missing = [k for k, p in enumerate(parts) if p is None]
+        unknown, marked = set(), {}
+        for k in missing:
+            w = words[k]
+            if w[-1:] in self.marks and self._letters(w[:-1]):
+                marked[k] = w = w[:-1]
+            if w not in self.cache:
+                unknown.add(w)
         new = self._learn(unknown)
-        for k, words, parts in open_texts:
-            coded[k] = b"".join([new[w] if p is None else p for w, p in zip(words, parts, strict=True)])
+        for k in missing:
+            w = marked.get(k, words[k])
+            ids = new[w] if w in new else known(w)
+            parts[k] = ids + self.marks[words[k][-1:]] if k in marked else ids
         if len(self.cache) + len(new) <= self.cached:  # a full cache stays as it is: frequent words come first
             self.cache.update(new)
-        return coded
+        return parts
+
+    @staticmethod
+    def _letters(word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode("utf-8", "surrogatepass")
+        return text.isalpha() and text.lower().isalpha()
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of new words. Words of letters only go through the tokenizer together, and are told apart by their last tokens."""
-        plain, odd, found = {}, [], {}
+        """Ids of new words. ASCII ones go to the model piece by piece, others of letters through the tokenizer together."""
+        new, mixed, stems = {}, [], []
         for w in words:
-            stem = w[:-1] if w[-1:] in self.marks else w
-            text = stem.decode("utf-8", "surrogatepass")
-            if text.isalpha() and (text.isascii() or text.lower().isalpha()):
-                plain.setdefault(stem, text)
+            if self.direct and w.isascii() and w.isalpha() and w.islower():
+                new[w] = self._piece(w.decode())
+            elif self.direct and _PLAIN.fullmatch(w) and not any(s in w for s in self.special):
+                mixed.append(w)
+            elif self._letters(w):
+                stems.append(w)
             else:
-                odd.append(w)
-        stems = list(plain)
-        for k in range(0, len(stems), 1000):
+                new[w] = self._one(w.decode("utf-8", "surrogatepass"))
+        for k in range(0, len(mixed), 200):
+            new.update(self._mixed(mixed[k : k + 200]))
+        for k in range(0, len(stems), 1000):  # told apart by their last tokens
             some = stems[k : k + 1000]
-            ids = np.array(self.tokenizer.encode(" ".join(plain[w] for w in some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) == len(some):
                 raw = ids.tobytes()
-                found.update(zip(some, (raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+                new.update(zip(some, (raw[4 * i : 4 * j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
             else:
-                found.update((w, self._one(plain[w])) for w in some)
-        new = {w: found[w] if w in found else found[w[:-1]] + self.marks[w[-1:]] for w in words if w in found or w[:-1] in found and w[-1:] in self.marks}
-        new.update((w, self._one(w.decode("utf-8", "surrogatepass"))) for w in odd)
+                new.update((w, self._one(w.decode())) for w in some)
         return new
 
+    def _mixed(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the normalizer leaves as they are, by the pre-tokenizer's pieces; equal pieces are looked up once."""
+        pieces: dict[str, bytes] = {}
+        ends, own = np.cumsum([len(w) + 1 for w in words]), [[] for _ in words]
+        found = self.split.pre_tokenize_str(b" ".join(words).decode())
+        for k, (piece, _) in zip(np.searchsorted(ends, [at for _, (at, _) in found], "right").tolist(), found, strict=True):
+            if piece not in pieces:
+                ids = self.cache.get(piece.encode()) if piece.isalpha() else None
+                pieces[piece] = self._piece(piece) if ids is None else ids
+            own[k].append(pieces[piece])
+        return {w: b"".join(x) for w, x in zip(words, own, strict=True)}
+
+
+#: Visible ASCII without capital letters.
+_PLAIN = re.compile(rb"[!-@\[-~]+")
 
 _tokenizers: dict[str, WordTokenizer] = {}
 
@@ -166,6 +222,16 @@ class SumOfSquares:
         self.__init__(self.window, self.grain)
 
 
+def _together(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """First row and end of runs of texts of TOGETHER bytes at most, or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes, dtype=np.int64), 0
+    while first < len(ends):
+        last = int(np.searchsorted(ends, ends[first] - sizes[first] + TOGETHER, "right"))
+        yield first, (last := max(first + 1, last))
+        first = last
+
+
 def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in windows, one row a piece.
 
@@ -199,9 +265,9 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
 
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text")
-            for k in range(0, b.num_rows, 200):
-                coded = words.encode([t or "" for t in texts.slice(k, 200).to_pylist()])
-                for doc_id, tokens in zip(ids[k : k + 200], coded, strict=True):
+            for first, last in _together(texts):
+                coded = words.encode_column(texts.slice(first, last - first))
+                for doc_id, tokens in zip(ids[first:last], coded, strict=True):
                     for full in windows.place((doc_id, len(tokens) // 4 + 1), 0, tokens + end):
                         emit(full)
                 if len(out["doc_id"]) >= 5000:

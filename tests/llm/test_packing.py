@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common import AWKWARD, documents, prose, shipped  # noqa: F401
 from conftest import SF
@@ -90,3 +91,29 @@ def test_open_windows_stay_few():
     rest = list(s.rest())
     assert sum(len(p[2]) // 4 for w in rest for p in w) == total
     assert sum(sum(len(p[2]) // 4 for p in w) < packing.WINDOW for w in rest) <= 12
+
+
+def test_new_ascii_words_go_to_the_model(plain):
+    """With nothing cached, the whole tokenizer isn't called for words that it needs no normalizer for."""
+    words = packing.WordTokenizer(TOKENIZER, cached=0)
+    texts = ["Zqxvorb zqxvorb, it's 12a.b@c-d%%% They'll,, x1.  qvorb.\n3.14 'S 're", "a", "", "zqxv..., ''s ''S ~{}"]
+    expected = [ids(plain, t)[:-1].tobytes() for t in texts]
+    words.tokenizer = None
+    assert words.encode(texts) == expected and len(words.cache) == 1
+
+
+def test_slices_of_a_column(plain):
+    """Also beside null, spaced and non-ASCII texts, and with the names of special tokens in one of them."""
+    texts = ["Ünï ê È,", None, "  lead  ", "éa È. 一二", *ODD, "x" * 50, "tail\t", ""]
+    column, words = pa.array(texts), packing.WordTokenizer(TOKENIZER, cached=20)
+    for first in range(len(texts)):
+        got = words.encode_column(column.slice(first, 7))
+        assert got == [ids(plain, t)[:-1].tobytes() for t in texts[first : first + 7]]
+
+
+def test_runs_of_texts():
+    big = "x" * (packing.TOGETHER // 2)
+    for texts in ([], ["a", None, "b"], [big, big, "a", big + big + "c", None, big], [None, big * 3, "a"]):
+        runs = list(packing._together(pa.array(texts, pa.string())))
+        assert [k for first, last in runs for k in range(first, last)] == list(range(len(texts)))
+        assert all(last - first == 1 or sum(len(t or "") for t in texts[first:last]) <= packing.TOGETHER for first, last in runs)
