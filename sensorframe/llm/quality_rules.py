@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ MIN_PROBABILITY = 0.5
 BITS = 16
 #: Features are shares of a text's n-grams; this brings them to a useful size.
 SCALE = 40.0
+#: Sparse rows that a step of the fit takes at a time.
+TOGETHER = 50
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -117,29 +120,47 @@ def _calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[f
     return float(max(w[0], 0.05)), float(w[1])
 
 
+def _parts(rows: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """TOGETHER sparse rows at a time: the first one's number, then row from there on, column and value of each entry."""
+    for first in range(0, len(rows), TOGETHER):
+        columns, values = zip(*rows[first : first + TOGETHER], strict=True)
+        row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
+        yield first, row, np.concatenate(columns).astype(np.intp), np.concatenate(values)
+
+
+def _sums(rows: list[tuple[np.ndarray, np.ndarray]], w: np.ndarray) -> np.ndarray:
+    """Sum of the weighted values of each row."""
+    return np.concatenate([
+        np.bincount(row, value * w[column], minlength=min(TOGETHER, len(rows) - k)) for k, row, column, value in _parts(rows)
+    ])
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sizes: dict[int, int], steps: int = 120, ridge: float = 1e-4) -> RulesModel | None:
-    """Logistic regression on sparse rows; every fourth row is kept back for the calibration. None if a class is missing."""
+    """Logistic regression on sparse rows; every fourth row is kept back for the calibration. None if a class is missing.
+
+    A step takes TOGETHER rows at a time, so that it holds no copy of all of them.
+    """
     if len(set(y.tolist())) < 2:
         return None
     apart = np.arange(len(y)) % 4 == 3
     if len(set(y[~apart].tolist())) < 2 or len(set(y[apart].tolist())) < 2:
         apart[:] = False
-    row = np.repeat(np.arange(len(y), dtype=np.int32), [len(c) for c, _ in rows])
-    column = np.concatenate([c for c, _ in rows])
-    value = np.concatenate([v for _, v in rows])
     weight = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * ~apart
     weight /= weight.sum()
     w, intercept = np.zeros(2 ** (BITS + 1)), 0.0
     first, second, g0, g1 = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        margin = np.bincount(row, value * w[column], minlength=len(y)) + intercept
+        margin = _sums(rows, w) + intercept
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - y)
-        gradient = np.bincount(column, value * error[row], minlength=len(w)) + ridge * w
+        gradient = np.zeros_like(w)
+        for k, row, column, value in _parts(rows):
+            np.add.at(gradient, column, value * error[k + row])
+        gradient += ridge * w
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         w = w - 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-4)
         g0, g1 = 0.9 * g0 + 0.1 * error.sum(), 0.99 * g1 + 0.01 * error.sum() ** 2
         intercept -= 0.1 * (g0 / (1 - 0.9**t)) / (np.sqrt(g1 / (1 - 0.99**t)) + 1e-4)
-    margin = np.bincount(row, value * w[column], minlength=len(y)) + intercept
+    margin = _sums(rows, w) + intercept
     use = apart if apart.any() else ~apart
     share = np.where(y == 1, sizes[1] / (y == 1).sum(), sizes[0] / (y == 0).sum())
     share = share * len(share) / share.sum()
@@ -167,11 +188,15 @@ def learn(documents: DataFrame, labels: DataFrame, per_class: int = 1000) -> Rul
                 ["doc_id", "y", "c", "v"],
             )
 
-    rows = chosen.mapInArrow(run, "doc_id long, y int, c array<int>, v array<float>").where("c is not null").toArrow().sort_by("doc_id")
+    rows = chosen.mapInArrow(run, "doc_id long, y int, c array<int>, v array<float>").where("c is not null").toArrow()
     if not rows.num_rows:
         return None
-    sparse = list(zip((x.values.to_numpy() for x in rows["c"]), (x.values.to_numpy() for x in rows["v"]), strict=True))
-    return fit(sparse, rows["y"].to_numpy(), labelled.class_sizes(labels, "quality"))
+    order = pc.sort_indices(rows.select(["doc_id"]), [("doc_id", "ascending")]).to_pylist()
+    sparse = [(rows["c"][k].values.to_numpy(), rows["v"][k].values.to_numpy()) for k in order]
+    model = fit(sparse, rows["y"].to_numpy()[order], labelled.class_sizes(labels, "quality"))
+    del sparse, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 SCHEMA = (

@@ -1,4 +1,5 @@
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -111,3 +112,17 @@ def test_model_scores_any_text(text):
     model = quality_rules.RulesModel(np.zeros(1 << 16, np.float32), np.ones(1 << 16, np.float32), 0.1)
     b = next(blocks(pa.array([text])))
     assert 0 <= model.probability(b)[0] <= 1
+
+
+def test_rules_fit_holds_no_copy_of_the_rows():
+    rng, n = np.random.default_rng(3), 3000
+    sparse = [(np.sort(rng.choice(2**17, n, replace=False)).astype(np.int32), rng.random(n, np.float32)) for _ in range(600)]
+    y = np.arange(600) % 2
+    tracemalloc.start()
+    model = quality_rules.fit(sparse, y, {0: 5000, 1: 400}, steps=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 600 * n * 8 + 8 * 2**20  # bytes of the rows, and a few arrays of a weight for each column
+    assert model.word.shape == model.char.shape == (2**quality_rules.BITS,)
+    weights = np.arange(2.0**17)
+    assert np.allclose(quality_rules._sums(sparse, weights), [v @ weights[c] for c, v in sparse])

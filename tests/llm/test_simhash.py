@@ -95,3 +95,14 @@ def test_empty_and_all_null(spark, shipped):  # noqa: F811
 def test_long_text_is_hashed_in_pieces():
     text = " ".join(f"w{i % 977}" for i in range(5000))
     assert simhash.fingerprint(text.encode(), 100) == simhash.fingerprint(text.encode()) == reference(text)
+
+
+def test_stars_take_no_step(spark, monkeypatch):
+    from sensorframe.llm import components
+
+    steps, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: steps.append(1) or star(edges))
+    found = connected_components(spark.createDataFrame([(1, 5), (6, 1), (2, 7), (7, 2), (3, 3), (None, 1)], "a long, b long"))
+    assert rows(found) == [(1, 1), (2, 2), (5, 1), (6, 1), (7, 2)] and not steps
+    assert rows(connected_components(spark.createDataFrame([(1, 5), (5, 6)], "a long, b long"))) == [(1, 1), (5, 1), (6, 1)] and steps == [1]
+    assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0 and steps == [1]
