@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ END_ID = 2
 #: Fill levels are counted in steps of so many tokens. A piece that overruns a window by less is cut there.
 GRAIN = 32
 #: Bytes of texts tokenized together; a longer text is tokenized by itself.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,25 +39,28 @@ class WordTokenizer:
 
     WORD_END = "</w>"
 
-    def __init__(self, path: str, cached: int = 1 << 19):
+    def __init__(self, path: str, cached: int = 1 << 18):
         self.tokenizer, self.cache = Tokenizer.from_file(path), {b"": b""}
         self.cached = cached
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = {m: self._one(m.decode()) for m in (b".", b",")}
         # such words need no normalizer, and of letters only no pre-tokenizer
         self.split, self.model = self.tokenizer.pre_tokenizer, self.tokenizer.model
         plain, letters = "".join(map(chr, [*range(0x21, 0x41), *range(0x5B, 0x7F)])), "abcdefghijklmnopqrstuvwxyz"
         as_is = self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str(plain) == plain
         self.direct = as_is and self.split is not None and self.split.pre_tokenize_str(letters) == [(letters, (0, 26))]
+        apart = self.direct and [x for x, _ in self.split.pre_tokenize_str(f"a{_MARKS}")] == ["a", _MARKS]
+        apart = apart and not any(set(s) & set(_MARKS.encode()) for s in self.special)
+        self.marks = (_MARKS if apart else ".,").encode()
 
     def _one(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes()
+        ids = [t.id for t in self.model.tokenize(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         raw = pa.array([t.encode("utf-8", "surrogatepass") for t in texts], pa.large_binary())
@@ -63,40 +68,54 @@ class WordTokenizer:
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
         """Of each text; a null one counts as empty."""
-        texts = texts.take(pa.array(np.arange(len(texts))))  # ascii_lower goes wrong on what cast makes of a slice
+        n = len(texts)
+        texts = texts.take(pa.array(np.arange(n)))  # ascii_lower goes wrong on what cast makes of a slice
         raw = pc.fill_null(texts.cast(pa.large_string(), safe=False), "")
         low = pc.ascii_lower(raw)  # A-Z only; the names of special tokens keep their case
         for s in self.special:
             low = pc.if_else(pc.match_substring(low, s.decode(), ignore_case=True), raw, low)
         words = pc.ascii_split_whitespace(low)
+        del texts, raw, low  # each step's columns go before the next one's come
+        first = words.offsets.to_numpy() - words.offsets[0].as_py()
         each = words.flatten().dictionary_encode()
-        ids = pa.array(self._ids(each.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).take(each.indices)
+        del words
+        often = np.bincount(each.indices.to_numpy(), minlength=len(each.dictionary)) > 1
+        ids = self._ids(each.dictionary.cast(pa.large_binary()).to_pylist(), often.tolist())
+        ids = pa.array(ids, pa.large_binary()).take(each.indices)
+        del each
         _, ends, data = ids.buffers()
         if data is None:
-            return [b""] * len(texts)
-        bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy() - words.offsets[0].as_py() + ids.offset].tolist()
+            return [b""] * n
+        bounds = np.frombuffer(ends, np.int64)[first + ids.offset].tolist()
         data = memoryview(data)
         return [bytes(data[i:j]) for i, j in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def _ids(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words, an empty one included. Of letters and a mark, the letters alone are kept in the cache."""
+    def _ids(self, words: list[bytes], often: list[bool]) -> list[bytes]:
+        """Ids of distinct words, an empty one included. Of letters and marks behind them, the letters alone are kept in the cache.
+
+        Only words that are met ``often`` are kept, so that the many that a text alone has take no room.
+        """
         known = self.cache.get
         parts = list(map(known, words))
         missing = [k for k, p in enumerate(parts) if p is None]
-        unknown, marked = set(), {}
+        unknown, marked, marks = {}, {}, {b"": b""}
         for k in missing:
-            w = words[k]
-            if w[-1:] in self.marks and self._letters(w[:-1]):
-                marked[k] = w = w[:-1]
+            w, again = words[k], often[k]
+            stem = w.rstrip(self.marks)
+            if len(stem) < len(w) and (stem.isalpha() or self._letters(stem)):
+                marked[k] = stem, w[len(stem) :]
+                marks[w[len(stem) :]] = b""
+                again, w = again or stem in unknown, stem
             if w not in self.cache:
-                unknown.add(w)
+                unknown[w] = again or unknown.get(w, False)
         new = self._learn(unknown)
+        marks.update(self._learn(m for m in marks if m))
         for k in missing:
-            w = marked.get(k, words[k])
-            ids = new[w] if w in new else known(w)
-            parts[k] = ids + self.marks[words[k][-1:]] if k in marked else ids
-        if len(self.cache) + len(new) <= self.cached:  # a full cache stays as it is: frequent words come first
-            self.cache.update(new)
+            w, mark = marked.get(k) or (words[k], b"")
+            parts[k] = (new[w] if w in new else known(w)) + marks[mark]
+        room = self.cached - len(self.cache)  # a full cache stays as it is: frequent words come first
+        if room > 0:
+            self.cache.update((w, new[w]) for w in islice((w for w, again in unknown.items() if again), room))
         return parts
 
     @staticmethod
@@ -106,11 +125,11 @@ class WordTokenizer:
         text = word.decode("utf-8", "surrogatepass")
         return text.isalpha() and text.lower().isalpha()
 
-    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
         """Ids of new words. ASCII ones go to the model piece by piece, others of letters through the tokenizer together."""
         new, mixed, stems = {}, [], []
         for w in words:
-            if self.direct and w.isascii() and w.isalpha() and w.islower():
+            if self.direct and w.isalpha() and w.islower():
                 new[w] = self._piece(w.decode())
             elif self.direct and _PLAIN.fullmatch(w) and not any(s in w for s in self.special):
                 mixed.append(w)
@@ -118,8 +137,9 @@ class WordTokenizer:
                 stems.append(w)
             else:
                 new[w] = self._one(w.decode("utf-8", "surrogatepass"))
+        pieces: dict[str, bytes] = {}
         for k in range(0, len(mixed), 200):
-            new.update(self._mixed(mixed[k : k + 200]))
+            new.update(self._mixed(mixed[k : k + 200], pieces))
         for k in range(0, len(stems), 1000):  # told apart by their last tokens
             some = stems[k : k + 1000]
             ids = np.array(self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
@@ -131,9 +151,8 @@ class WordTokenizer:
                 new.update((w, self._one(w.decode())) for w in some)
         return new
 
-    def _mixed(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Ids of words that the normalizer leaves as they are, by the pre-tokenizer's pieces; equal pieces are looked up once."""
-        pieces: dict[str, bytes] = {}
+    def _mixed(self, words: list[bytes], pieces: dict[str, bytes]) -> dict[bytes, bytes]:
+        """Ids of words that the normalizer leaves as they are, by the pre-tokenizer's ``pieces``; equal pieces are looked up once."""
         ends, own = np.cumsum([len(w) + 1 for w in words]), [[] for _ in words]
         found = self.split.pre_tokenize_str(b" ".join(words).decode())
         for k, (piece, _) in zip(np.searchsorted(ends, [at for _, (at, _) in found], "right").tolist(), found, strict=True):
@@ -144,6 +163,8 @@ class WordTokenizer:
         return {w: b"".join(x) for w, x in zip(words, own, strict=True)}
 
 
+#: What may stand behind a letter and is apart from it, if the pre-tokenizer says so; else full stops and commas.
+_MARKS = "!#$%&*,.:;?"
 #: Visible ASCII without capital letters.
 _PLAIN = re.compile(rb"[!-@\[-~]+")
 
@@ -275,6 +296,7 @@ def pack(documents: DataFrame, tokenizer_path: str, window: int = WINDOW) -> Dat
         for full in windows.rest():
             emit(full)
         yield flush()
+        pa.default_memory_pool().release_unused()  # the worker process goes on to other tasks
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

@@ -117,3 +117,28 @@ def test_runs_of_texts():
         runs = list(packing._together(pa.array(texts, pa.string())))
         assert [k for first, last in runs for k in range(first, last)] == list(range(len(texts)))
         assert all(last - first == 1 or sum(len(t or "") for t in texts[first:last]) <= packing.TOGETHER for first, last in runs)
+
+
+def test_words_met_once_are_not_kept(plain):
+    """Nor more words than the cache may hold; letters are shared by what stands behind them."""
+    rng = np.random.default_rng(3)
+    once = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(3000)]
+    texts = [" ".join(once[:1500]) + " again é", "again  é!! Again?", " ".join(once[1500:]), "ab!!, ab*** ab İ# İ&&&x Σ$ it's!! ''!! <|endoftext|>!! a;:."]
+    words, small = packing.WordTokenizer(TOKENIZER), packing.WordTokenizer(TOKENIZER, cached=3)
+    for _ in range(2):
+        expected = [ids(plain, t)[:-1].tobytes() for t in texts]
+        assert words.encode(texts) == small.encode(texts) == expected
+        assert {b"again", b"ab"} < set(words.cache) and len(words.cache) < 20 and len(small.cache) == 3
+
+
+def test_memory_of_tokenizing():
+    """A step's columns are gone when the next one's are made."""
+    text = " ".join(f"w{k % 5000}" for k in range(200_000))
+    column, words, pool = pa.array([text]), packing.WordTokenizer(TOKENIZER), pa.default_memory_pool()
+    counted = pa.proxy_memory_pool(pool)
+    pa.set_memory_pool(counted)
+    try:
+        words.encode_column(column)
+    finally:
+        pa.set_memory_pool(pool)
+    assert 0 < counted.max_memory() < 7 * len(text)
