@@ -1,5 +1,6 @@
 import json
 import os
+import pathlib
 
 import pytest
 from conftest import SF, at, scan_lines
@@ -95,6 +96,47 @@ def test_incomplete_readings_are_rejected_and_counted(spark, tmp_path):
     assert len(os.listdir(steps)) == 6 + 1
 
 
+def test_a_step_of_one_chunk_is_one_job(spark, chunks):
+    table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+    load = load_with_progress(scan_stream(spark, chunks, files_per_trigger=1), table, steps, checkpoint)
+    load.awaitTermination()
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(load.runId))) == 12  # one for each file
+
+
+def test_a_step_of_many_chunks_counts_each(spark, tmp_path):
+    folder = write_chunks(tmp_path, {n: [reading("a", n), reading(None, n), reading("b", n)][: n % 4] for n in range(9)})
+    table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+    load_with_progress(scan_stream(spark, folder), table, steps, checkpoint).awaitTermination()
+    assert sorted(os.listdir(steps)) == ["step=-1", "step=0"]
+    expected, got = chunk_progress(spark, folder), stream_progress(spark, folder, steps)
+    assert [tuple(r) for r in got.orderBy("chunk").collect()] == [tuple(r) for r in expected.orderBy("chunk").collect()]
+
+
+def test_a_repeated_step_replaces_its_rows_and_counts(spark, tmp_path):
+    folder = write_chunks(tmp_path, {0: [reading("a", 1), reading(None, 2)], 1: [reading("b", 3)]})
+    table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+    for _ in range(2):
+        load_with_progress(scan_stream(spark, folder, files_per_trigger=1), table, steps, checkpoint).awaitTermination()
+        assert [tuple(r) for r in stream_progress(spark, folder, steps).orderBy("chunk").collect()] == [(0, 1, 1, 1), (1, 1, 0, 2)]
+        assert spark.read.parquet(table).count() == 2
+        for name in ("1", ".1.crc"):  # as if the load had broken off at the end of its last step
+            (pathlib.Path(checkpoint) / "commits" / name).unlink(missing_ok=True)
+
+
+def test_the_setting_for_log_entries_is_given_back(spark, chunks):
+    name = "spark.sql.streaming.checkpointFileManagerClass"
+    for own in (None, "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager"):
+        if own:
+            spark.conf.set(name, own)
+        try:
+            table, steps, checkpoint = (scratch_dir(spark, x) for x in "tsc")
+            load_shares([scan_stream(spark, chunks, files_per_trigger=6)], table, steps, checkpoint)
+            assert spark.conf.get(name, None) == own
+            assert spark.read.parquet(table).count() == 24
+        finally:
+            spark.conf.unset(name)
+
+
 def test_shares_are_loaded_at_a_time_one_file_a_step(spark, tmp_path):
     folder = write_chunks(tmp_path, {n: [reading("a", n), reading(None, n)][: n % 3] for n in range(13)})
     expected = [tuple(r) for r in chunk_progress(spark, folder).orderBy("chunk").collect()]
