@@ -12,7 +12,7 @@ from sensorframe.operators import around_midpoint, bucket_agg, midpoint, row_cou
 from sensorframe.plans import QUERIES
 from sensorframe.plans.loading import _streamed
 from sensorframe.plans.tables import user_events
-from sensorframe.session import scratch_dir
+from sensorframe.session import scratch_dir, write_text
 from sensorframe.sources import (
     as_variant, chunk_files, chunk_progress, read_events, read_readings, to_points, upsert_points, write_events,
 )
@@ -123,6 +123,21 @@ def test_a_repeated_step_replaces_its_rows_and_counts(spark, tmp_path):
             (pathlib.Path(checkpoint) / "commits" / name).unlink(missing_ok=True)
 
 
+def test_many_steps_are_listed_in_few_tasks(spark, chunks):
+    steps, context = scratch_dir(spark, "s"), spark.sparkContext
+    for n in range(120):
+        write_text(spark, f"{steps}/step={n}/counts.json", json.dumps({"chunk": n % 12, "n": 1, "rejected": 0}))
+    context.setJobGroup("listing", "")
+    try:
+        progress = stream_progress(spark, chunks, steps)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    assert tasks and max(tasks) <= 4 * context.defaultParallelism
+    assert [tuple(r) for r in progress.orderBy("chunk").collect()] == [(n, 10, 0, 10 * (n + 1)) for n in range(12)]
+
+
 def test_the_setting_for_log_entries_is_given_back(spark, chunks):
     name = "spark.sql.streaming.checkpointFileManagerClass"
     for own in (None, "org.apache.spark.sql.execution.streaming.checkpointing.FileContextBasedCheckpointFileManager"):
